@@ -14,6 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import mixing
+
+    return mixing.summary(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import quality_rules
+
+    made = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anchorloom.llm import token_files
 
@@ -22,8 +35,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import packing
+
+    made = packing.pack(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mix": op3_source_mix,
+    "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
