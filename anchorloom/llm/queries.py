@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import near_join
+
+    return near_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anchorloom.llm import mixing
 
@@ -43,6 +49,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_join": op2_near_join,
     "op3_source_mix": op3_source_mix,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
