@@ -40,6 +40,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import language_model as lm
+
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(~lm.held_out()))
+    made = lm.score(docs, model)
+    return made.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anchorloom.llm import token_files
 
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_model": op6_language_model,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
 }

@@ -48,6 +48,7 @@ class Lookup:
 
     def __init__(self, index: Index, types: dict[str, str]):
         self.index, self.types, self.key = index, types, next(iter(types))
+        self.bases = np.cumsum([0, *(n for _, _, n in index)])
         self.firsts = np.array([first for _, first, _ in index], np.int64)
         self.parts: dict[int, dict[str, np.ndarray]] = {}
 
@@ -57,10 +58,11 @@ class Lookup:
         return self.parts[i]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Which of the keys are there, and the other columns' values (0 where not)."""
+        """Which of the keys are there, and the other columns' values and row numbers, "row" (0 where not)."""
         distinct, back = np.unique(keys.astype(np.int64, copy=False), return_inverse=True)
         there = np.zeros(len(distinct), bool)
         values = {k: np.zeros(len(distinct), t) for k, t in self.types.items() if k != self.key}
+        values["row"] = np.zeros(len(distinct), np.int64)
         if len(self.firsts) and len(distinct):
             part = np.searchsorted(self.firsts, distinct, "right") - 1
             cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
@@ -72,10 +74,29 @@ class Lookup:
                 hit = columns[self.key][at] == distinct[a:b]
                 there[a:b] = hit
                 for k in values:
-                    values[k][a:b][hit] = columns[k][at[hit]]
+                    values[k][a:b][hit] = at[hit] + self.bases[part[a]] if k == "row" else columns[k][at[hit]]
         return there[back], {k: v[back] for k, v in values.items()}
 
 
+def summed(keys: Iterator[np.ndarray], hold: int = 4_000_000, rows: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys and how often they occur, summed over up to `hold` keys: combined before any shuffle."""
+    held, n = [], 0
+
+    def out() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if held:
+            value, many = np.unique(np.concatenate(held), return_counts=True)
+            for a in range(0, len(value), rows):
+                yield value[a : a + rows], many[a : a + rows]
+
+    for k in keys:
+        held.append(k)
+        n += len(k)
+        if n >= hold:
+            yield from out()
+            held, n = [], 0
+    yield from out()
+
+
 _open: dict[str, Lookup] = {}
 
 

@@ -90,9 +90,9 @@ def remove(docs: DataFrame, size: int = 20, gram: int = 8) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, found in _batches(batches, size, gram):
-            value, many = np.unique(np.concatenate([w.anchors() for w in found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(many, pa.int64())], ["anchor", "many"])
+        occurring = (np.concatenate([w.anchors() for w in found]) for _, _, found in _batches(batches, size, gram))
+        for value, many in sorted_files.summed(occurring):
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(many)], ["anchor", "many"])
 
     counts = docs.mapInArrow(anchors, "anchor long, many long").groupBy("anchor").agg(F.sum("many").alias("many"))
     index = sorted_files.write(counts.where("many > 1"), common.scratch(spark), ANCHORS)
