@@ -64,6 +64,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import vector_dedup
+
+    return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_join": op2_near_join,
     "op3_source_mix": op3_source_mix,
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_model": op6_language_model,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

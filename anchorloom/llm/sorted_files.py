@@ -18,7 +18,9 @@ Index = list[tuple[str, int, int]]
 
 
 def write(df: DataFrame, to: str, types: dict[str, str]) -> Index:
-    """Write columns of df (key first, a long, distinct; no nulls): (stem, first key, rows) of each part, in order."""
+    """Write columns of df (key first, a long, distinct; no nulls): (stem, first key, rows) of each part, in order.
+
+    A type such as "<f8*64" stands for a binary column whose values are that many numbers in a row."""
     names = list(types)
     ordered = df.select(*names).repartitionByRange(common.parts(df.sparkSession), names[0]).sortWithinPartitions(names[0])
 
@@ -32,7 +34,8 @@ def write(df: DataFrame, to: str, types: dict[str, str]) -> Index:
             if files is None:
                 files, first = {k: common.SharedFile(f"{stem}.{k}") for k in names}, b.column(0)[0].as_py()
             for k in names:
-                files[k].write(b.column(names.index(k)).to_numpy(zero_copy_only=False).astype(types[k]).tobytes())
+                column = b.column(names.index(k))
+                files[k].write(b"".join(column.to_pylist()) if "*" in types[k] else column.to_numpy(zero_copy_only=False).astype(types[k]).tobytes())
             n += b.num_rows
         if files:
             for f in files.values():
@@ -54,14 +57,18 @@ class Lookup:
 
     def _part(self, i: int) -> dict[str, np.ndarray]:
         if i not in self.parts:
-            self.parts[i] = {k: common.mapped(f"{self.index[i][0]}.{k}", t) for k, t in self.types.items()}
+            self.parts[i] = {k: self._shaped(common.mapped(f"{self.index[i][0]}.{k}", t.partition("*")[0]), t) for k, t in self.types.items()}
         return self.parts[i]
 
+    @staticmethod
+    def _shaped(a: np.ndarray, kind: str) -> np.ndarray:
+        return a.reshape(-1, int(kind.partition("*")[2])) if "*" in kind else a
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Which of the keys are there, and the other columns' values and row numbers, "row" (0 where not)."""
         distinct, back = np.unique(keys.astype(np.int64, copy=False), return_inverse=True)
         there = np.zeros(len(distinct), bool)
-        values = {k: np.zeros(len(distinct), t) for k, t in self.types.items() if k != self.key}
+        values = {k: self._shaped(np.zeros(len(distinct) * int(t.partition("*")[2] or 1), t.partition("*")[0]), t) for k, t in self.types.items() if k != self.key}
         values["row"] = np.zeros(len(distinct), np.int64)
         if len(self.firsts) and len(distinct):
             part = np.searchsorted(self.firsts, distinct, "right") - 1
