@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import personal_data as pd
+
+    made = pd.spans(table(spark, sf_dir, "documents"))
+    count = lambda k: F.expr(f"cast(size(filter(_pii_spans, x -> x.k = {k})) as bigint)").alias(f"n_{pd.KINDS[k]}")
+    return made.select("doc_id", *map(count, range(len(pd.BASE))), F.sha2(pd.named(base=True).cast("binary"), 256).alias("base_sha256"), pd.named(base=False).alias("spans"))
+
+
 def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anchorloom.llm import near_join
 
@@ -71,6 +79,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op2_near_join": op2_near_join,
     "op3_source_mix": op3_source_mix,
     "op4_substring_dedup": op4_substring_dedup,
