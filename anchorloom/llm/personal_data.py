@@ -174,7 +174,7 @@ def named(base: bool) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets; overlapping spans by the first one's."""
     row = docs.select("doc_id", "text", F.struct("*").alias("_pii_row"))
-    slim = common.written(candidates(docs.select("doc_id", "text")).select("_pii_spans").where("size(_pii_spans) > 0"))
+    slim = common.written(candidates(docs.select("doc_id", "text")).select("_pii_spans"))
     out = kept(candidates(row), _learned(slim))
     names = ", ".join(_sql(k) for k in KINDS)
     step = f"""if(x.at < a.end, named_struct('end', greatest(a.end, x.end), 'out', a.out),

@@ -138,4 +138,6 @@ def rows_kept(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     stats = statistics(docs.select("doc_id", "lang", "text", F.struct("*").alias("_rule_row")))
     slim = common.written(stats.drop("text", "_rule_row"))
     top, cutoffs = fitted(slim, labels, alpha, delta)
-    return judged(placed(stats, top), cutoffs).where("kept").select("_rule_row.*")
+    # A filter would be pushed below the statistics and repeat them; a generator is not.
+    once = F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int")))
+    return judged(placed(stats, top), cutoffs).select("_rule_row", once.alias("_rule_once")).select("_rule_row.*")

@@ -72,6 +72,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import quality_model
+
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from anchorloom.llm import vector_dedup
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_model": op6_language_model,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op9_quality_model": op9_quality_model,
     "op10_vector_dedup": op10_vector_dedup,
 }
 
