@@ -1,6 +1,479 @@
-"""Registered queries over the driver's tables and their SQL."""
+"""Registered queries over the driver's tables and their SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from anchorloom.functions.genomic import CELL, anchor_name, apart, bare_chr, chromosome_rank, log10p1, middle_even, middle_floor, windowed
+from anchorloom.operators import evaluation as ev
+from anchorloom.operators import features, intervals, motifs, pairs, sampling, signal
+from anchorloom.plans.fixtures import load, with_clause
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *names: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (with_clause(*names) + (", " if sql.lstrip().startswith("--cte") else " ") if names else "") + sql.replace("--cte", "")
+        return f
+
+    return add
+
+
+ANCHORS = """anchors as (select distinct cell_type, chr, x as center, x_start as start, x_end as "end" from loops
+    union select distinct cell_type, chr, y, y_start, y_end from loops)"""
+PAIRS = "chr, x, x_start, x_end, y, y_start, y_end, cell_type"
+
+
+def _loops(spark, d):
+    return load(spark, d, "loops")
+
+
+def _peaks(spark, d):
+    return load(spark, d, "peaks")
+
+
+def _spots(spark, d):
+    return pairs.anchors(_loops(spark, d))
+
+
+# Readers, projections, sorts.
+
+
+@query("select chr, cast(round_even((x1 + x2) / 2, 0) as bigint) x, cast(round_even((y1 + y2) / 2, 0) as bigint) y, cell_type, cast(round_even((x1 + x2) / 2, 0) as bigint) - 2500 x_start, cast(round_even((x1 + x2) / 2, 0) as bigint) + 2500 x_end, cast(round_even((y1 + y2) / 2, 0) as bigint) - 2500 y_start, cast(round_even((y1 + y2) / 2, 0) as bigint) + 2500 y_end from raw_loops", "raw_loops")
+def read_loops_human(spark, d):
+    raw = load(spark, d, "raw_loops")
+    return raw.select("chr", middle_even("x1", "x2").alias("x"), middle_even("y1", "y2").alias("y"), CELL).withColumns(windowed(2500))
+
+
+@query("select chr, cast((x1 + x2) // 2 as bigint) x, cast((y1 + y2) // 2 as bigint) y, cell_type, cast((x1 + x2) // 2 - 2500 as bigint) x_start, cast((x1 + x2) // 2 + 2500 as bigint) x_end, cast((y1 + y2) // 2 - 2500 as bigint) y_start, cast((y1 + y2) // 2 + 2500 as bigint) y_end from raw_loops", "raw_loops")
+def read_loops_fly(spark, d):
+    raw = load(spark, d, "raw_loops")
+    return raw.select("chr", middle_floor("x1", "x2").alias("x"), middle_floor("y1", "y2").alias("y"), CELL).withColumns(windowed(2500))
+
+
+@query("""select cell_type, regexp_extract('chr' || chr, '.*chr(.*)', 1) chr, start, "end" from peaks where cell_type in ('A', 'B')""", "peaks")
+def read_peaks_norm(spark, d):
+    raw = _peaks(spark, d).withColumn("chr", F.concat(F.lit("chr"), "chr"))
+    return raw.where(F.col(CELL).isin("A", "B")).select(CELL, bare_chr("chr").alias("chr"), "start", "end")
+
+
+@query(f"--cte {ANCHORS} select * from anchors", "loops")
+def anchors_unpivot(spark, d):
+    return _spots(spark, d)
+
+
+@query(f"""--cte {ANCHORS} select cell_type, chr, center, row_number() over (partition by cell_type order by case when chr = 'X' then 100 when chr = 'Y' then 200 else cast(chr as int) end, start) rn from anchors""", "loops")
+def genomic_order(spark, d):
+    # Ranks per cell: the range-partitioned sort of sort_pairs() is what a writer uses; ranks make the order comparable.
+    from pyspark.sql import Window as W
+
+    rn = F.row_number().over(W.partitionBy(CELL).orderBy(chromosome_rank(), "start"))
+    return _spots(spark, d).select(CELL, "chr", "center", rn.cast("long").alias("rn"))
+
+
+@query("select chr, x, y, cell_type, y - x distance, round(log10(y - x), 6) log_distance, round(log10(y - x + 1), 6) log_distance1 from loops", "loops")
+def distance_features(spark, d):
+    p = features.with_distance(_loops(spark, d))
+    return p.select("chr", "x", "y", CELL, F.col("distance").cast("long").alias("distance"), F.round(F.log10("distance"), 6).alias("log_distance"), F.round(log10p1("distance"), 6).alias("log_distance1"))
+
+
+@query("select cell_type, chr, x, y from loops where x < y and x + 400000 < y - 400000", "loops")
+def pair_filters(spark, d):
+    return _loops(spark, d).where((F.col("x") < F.col("y")) & apart(400000)).select(CELL, "chr", "x", "y")
+
+
+@query("""select cell_type, chr, count(*) n from peaks p where exists (select 1 from loops l where l.chr = p.chr and l.cell_type = p.cell_type and l.x < 100000) group by 1, 2""", "loops", "peaks")
+def chr_semi(spark, d):
+    near = _loops(spark, d).where("x < 100000").select(CELL, "chr").distinct()
+    return _peaks(spark, d).join(near, [CELL, "chr"], "left_semi").groupBy(CELL, "chr").agg(F.count("*").alias("n"))
+
+
+# Interval joins.
+
+
+@query(f"""--cte {ANCHORS} select a.cell_type, a.chr, a.start, a."end", count(p.start) cnt from anchors a left join peaks p
+    on a.cell_type = p.cell_type and a.chr = p.chr and a.start < p."end" and p.start < a."end" group by 1, 2, 3, 4""", "loops", "peaks")
+def overlap_count(spark, d):
+    return intervals.overlap_count(_spots(spark, d), _peaks(spark, d))
+
+
+@query(f"""--cte {ANCHORS} select a.cell_type, a.chr, a.start a_start, a."end" a_end, p.start b_start, p."end" b_end from anchors a join peaks p
+    on a.cell_type = p.cell_type and a.chr = p.chr and a.start < p."end" and p.start < a."end" """, "loops", "peaks")
+def overlap_pairs(spark, d):
+    return intervals.overlap_join(_spots(spark, d).drop("center"), _peaks(spark, d))
+
+
+@query(f"""--cte {ANCHORS} select a.chr, greatest(a.start, p.start) as start, least(a."end", p."end") as "end", concat_ws(':', a.chr, greatest(a.start, p.start), least(a."end", p."end"), a.cell_type) as name
+    from anchors a join peaks p on a.cell_type = p.cell_type and a.chr = p.chr and a.start < p."end" and p.start < a."end" """, "loops", "peaks")
+def overlap_segments(spark, d):
+    return intervals.overlap_segments(_spots(spark, d), _peaks(spark, d)).select("chr", "start", "end", anchor_name().alias("name"))
+
+
+@query(f"""--cte {ANCHORS} select a.cell_type, a.chr, a.center p, min(greatest(0, p.start - a.center, a.center - p."end")) dist from (select distinct cell_type, chr, center from anchors) a
+    join peaks p on a.cell_type = p.cell_type and a.chr = p.chr group by 1, 2, 3""", "loops", "peaks")
+def nearest_distance(spark, d):
+    points = _spots(spark, d).select(CELL, "chr", F.col("center").alias("p"))
+    return intervals.nearest_distance(points, _peaks(spark, d)).where("dist is not null")
+
+
+@query(f"""--cte {ANCHORS} select distinct a.chr, a.start, a."end" from anchors a where cell_type <> 'A' and not exists (select 1 from anchors b where b.cell_type = 'A' and a.chr = b.chr and a.start < b."end" and b.start < a."end")""", "loops")
+def neg_anchor_anti(spark, d):
+    spots = _spots(spark, d).drop("center")
+    others = spots.where(F.col(CELL) != "A").select("chr", "start", "end").distinct()
+    return intervals.overlap_anti(others, spots.where(F.col(CELL) == "A").drop(CELL), ("chr",))
+
+
+@query(f"""--cte {ANCHORS}, p as (select a.cell_type, a.chr, a.center x, b.center y from anchors a join anchors b on a.cell_type = b.cell_type and a.chr = b.chr and a.center < b.center)
+    select cell_type, chr, count(*) n, cast(sum(y - x) as bigint) s from p where not exists (select 1 from loops l where l.cell_type = p.cell_type and l.chr = p.chr and l.x = p.x and l.y = p.y) group by 1, 2""", "loops")
+def pair_anti_exact(spark, d):
+    free = pairs.without_known(pairs.ordered_pairs(_spots(spark, d), radius=None), _loops(spark, d))
+    return free.groupBy(CELL, "chr").agg(F.count("*").alias("n"), F.sum(F.col("y") - F.col("x")).alias("s"))
+
+
+@query(f"""--cte {ANCHORS} select a.cell_type, a.chr, count(*) n, cast(sum(b.center - a.center) as bigint) s from anchors a join anchors b on a.cell_type = b.cell_type and a.chr = b.chr and a.center < b.center
+    where a.center + 2500 < b.center - 2500 group by 1, 2""", "loops")
+def all_pairs(spark, d):
+    return pairs.ordered_pairs(_spots(spark, d)).groupBy(CELL, "chr").agg(F.count("*").alias("n"), F.sum(F.col("y") - F.col("x")).alias("s"))
+
+
+LABELLED = f"labelled as (select {PAIRS}, case when y - x > 1000000 then 1 else 0 end as label from loops)"
+
+
+@query(f"""--cte {LABELLED} select n.* from labelled n where label = 1 or not exists (select 1 from labelled p where p.label = 1 and p.cell_type = n.cell_type and p.chr = n.chr
+    and n.x_start < p.x_end and p.x_start < n.x_end and n.y_start < p.y_end and p.y_start < n.y_end)""", "loops")
+def pair_anti_2d(spark, d):
+    out = pairs.short_loops(_loops(spark, d))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("x", "x_start", "x_end", "y", "y_start", "y_end")} | {"label": F.col("label").cast("int")})
+
+
+@query(f"""--cte {LABELLED}, cut as (select r.chr, r.cell_type, r.value, greatest(r.start, c.start) s, least(r."end", c."end") e, c.start cs, c."end" ce, to_chr, to_start, strand from runs r join chain c on r.chr = c.chr and r.start < c."end" and c.start < r."end")
+    select to_chr as chr, cast(case when strand = '-' then to_start + ce - e else to_start + s - cs end as bigint) as start, cast(case when strand = '-' then to_start + ce - s else to_start + e - cs end as bigint) as "end", cell_type, value from cut""", "loops", "runs", "chain")
+def liftover(spark, d):
+    return intervals.liftover(load(spark, d, "runs"), load(spark, d, "chain"))
+
+
+# Negative examples.
+
+HASH = "md5(concat_ws('|', '42', {}))"
+NEG_TAIL = f"select chr, x, x - 2500 x_start, x + 2500 x_end, y, y - 2500 y_start, y + 2500 y_end, cell_type, 0 as label from"
+POS = f"select {PAIRS}, 1 as label from loops"
+CAND2 = """cand as (select a.cell_type, a.chr, a.center x, b.center y from {0} a join {0} b on a.cell_type = b.cell_type and a.chr = b.chr and a.center < b.center where a.center + 2500 < b.center - 2500)"""
+PICK = f"select *, row_number() over (partition by cell_type order by {HASH.format('cell_type, x, y')}, x, y) rn from "
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in ("x", "x_start", "x_end", "y", "y_start", "y_end")} | {"label": F.col("label").cast("int")})
+
+
+@query(f"""--cte {ANCHORS}, cells as (select distinct cell_type from loops), others as (select distinct c.cell_type, a.chr, a.center, a.start, a."end" from cells c join anchors a on a.cell_type <> c.cell_type),
+    free as (select * from others o where not exists (select 1 from anchors b where b.cell_type = o.cell_type and b.chr = o.chr and o.start < b."end" and b.start < o."end")),
+    ranked as (select *, row_number() over (partition by cell_type order by {HASH.format('cell_type, chr, center')}, cell_type, chr, center) rk, count(*) over (partition by cell_type) n from free),
+    half as (select * from ranked where rk <= round_even(n * 0.5, 0)), {CAND2.format('half')}, want as (select cell_type, cast(floor(count(*) * 5) as bigint) w from loops group by 1),
+    picked as (select c.*, w.w, row_number() over (partition by c.cell_type order by {HASH.format('c.cell_type, c.x, c.y')}, c.cell_type, c.x, c.y) rn from cand c join want w on c.cell_type = w.cell_type)
+    {POS} union all {NEG_TAIL} picked where rn <= w""", "loops")
+def neg_n1(spark, d):
+    return _plain(pairs.add_labels(_unique_pairs(spark, d), pairs.MODES[0]))
+
+
+def _unique_pairs(spark, d):
+    return _loops(spark, d)
+
+
+@query(f"""--cte {ANCHORS}, {CAND2.format('anchors')}, free as (select * from cand c where not exists (select 1 from loops l where l.cell_type = c.cell_type and l.chr = c.chr and l.x = c.x and l.y = c.y)),
+    want as (select cell_type, cast(floor(count(*) * 5) as bigint) w from loops group by 1),
+    picked as (select c.*, w.w, row_number() over (partition by c.cell_type order by {HASH.format('c.cell_type, c.x, c.y')}, c.cell_type, c.x, c.y, c.chr) rn from free c join want w on c.cell_type = w.cell_type)
+    {POS} union all {NEG_TAIL} picked where rn <= w""", "loops")
+def neg_n2(spark, d):
+    return _plain(pairs.add_labels(_loops(spark, d), pairs.MODES[1]))
+
+
+REGIONS = f"""centers as (select cell_type, chr, cast((start + "end") // 2 as bigint) center, start, "end" from peaks),
+    capped as (select * from (select *, row_number() over (partition by cell_type, chr order by {HASH.format('cell_type, chr, start, "end"')}, cell_type, chr, start, "end") rk from centers c
+        where exists (select 1 from loops l where l.cell_type = c.cell_type and l.chr = c.chr)) q where rk <= 1000),
+    spots as (select distinct cell_type, chr, center from capped), """
+
+
+def _open(ratio: str) -> str:
+    return f"""{REGIONS} {CAND2.format('spots')}, want as (select cell_type, chr, cast(round_even(count(*) * {ratio}, 0) as bigint) w from loops group by 1, 2),
+    picked as (select c.*, w.w, row_number() over (partition by c.cell_type, c.chr order by {HASH.format('c.cell_type, c.chr, c.x, c.y')}, c.x, c.y) rn from cand c join want w on c.cell_type = w.cell_type and c.chr = w.chr),
+    opened as ({NEG_TAIL} picked where rn <= w)"""
+
+
+@query(f"--cte {_open('5')} {POS} union all select * from opened", "loops", "peaks")
+def neg_n3(spark, d):
+    return _plain(pairs.add_labels(_loops(spark, d), pairs.MODES[2], _peaks(spark, d)))
+
+
+@query(f"""--cte {LABELLED} select n.* from labelled n where label = 1 or not exists (select 1 from labelled p where p.label = 1 and p.cell_type = n.cell_type and p.chr = n.chr
+    and n.x_start < p.x_end and p.x_start < n.x_end and n.y_start < p.y_end and p.y_start < n.y_end)""", "loops")
+def neg_n4(spark, d):
+    return _plain(pairs.add_labels(_loops(spark, d), pairs.MODES[4]))
+
+
+@query(f"""--cte {_open('2.5')}, both_ as (select {PAIRS} from loops union select {PAIRS} from opened), spots2 as (select distinct cell_type, chr, x center from both_ union select distinct cell_type, chr, y from both_),
+    {CAND2.format('spots2').replace('cand as', 'cand2 as')}, free as (select * from cand2 c where not exists (select 1 from both_ l where l.cell_type = c.cell_type and l.chr = c.chr and l.x = c.x and l.y = c.y)),
+    want2 as (select cell_type, cast(floor(count(*) * 2.5) as bigint) w from both_ group by 1),
+    picked2 as (select c.*, w.w, row_number() over (partition by c.cell_type order by {HASH.format('c.cell_type, c.x, c.y')}, c.cell_type, c.x, c.y, c.chr) rn from free c join want2 w on c.cell_type = w.cell_type)
+    select cell_type, chr, label, count(*) n, cast(sum(x) as bigint) sx, cast(sum(y) as bigint) sy from ({POS} union all select * from opened union all {NEG_TAIL} picked2 where rn <= w) q group by 1, 2, 3""", "loops", "peaks")
+def neg_combined(spark, d):
+    out = pairs.add_labels(_loops(spark, d), pairs.MODES[3], _peaks(spark, d))
+    return out.groupBy(CELL, "chr", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+
+
+@query(f"""--cte {LABELLED}, one as (select * from labelled n where label = 0 and not exists (select 1 from labelled p where p.label = 1 and p.cell_type = n.cell_type and p.chr = n.chr and p.x = n.x))
+    select * from labelled where label = 1 union all select * from one n where not exists (select 1 from labelled p where p.label = 1 and p.cell_type = n.cell_type and p.chr = n.chr and p.y = n.y)""", "loops")
+def neg_drop_shared(spark, d):
+    return pairs.drop_shared_anchors(_labelled(spark, d)).select(*pairs.PAIR, "label")
+
+
+def _labelled(spark, d):
+    return _loops(spark, d).select(*pairs.PAIR, (F.col("y") - F.col("x") > pairs.LONG).cast("int").alias("label"))
+
+
+@query(f"""--cte {LABELLED}, want as (select cell_type, count(*) w from labelled where label = 1 group by 1),
+    picked as (select l.*, w.w, row_number() over (partition by l.cell_type order by {HASH.format('l.cell_type, l.x, l.y')}, l.x, l.y, l.chr) rn from labelled l join want w on l.cell_type = w.cell_type where label = 0)
+    select {PAIRS}, label from labelled where label = 1 union all select {PAIRS}, label from picked where rn <= w""", "loops")
+def neg_random(spark, d):
+    return pairs.random_negatives(_labelled(spark, d))
+
+
+# Sampling.
+
+
+@query(f"select o_orderkey from (select o_orderkey, row_number() over (order by {HASH.format('o_orderkey')}, o_orderkey) rn from orders) q where rn <= 1000")
+def sample_exact_n(spark, d):
+    return sampling.sample_exact(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), ["o_orderkey"], 42, 1000)
+
+
+@query(f"select chr, cell_type, x, y from (select *, row_number() over (partition by chr order by {HASH.format('cell_type, x, y')}, cell_type, x, y) rn from loops) q where rn <= 20", "loops")
+def sample_per_chr(spark, d):
+    return sampling.sample_exact(_loops(spark, d).select("chr", CELL, "x", "y"), [CELL, "x", "y"], 42, 20, ["chr"])
+
+
+@query(f"select o_orderkey from (select o_orderkey, row_number() over (order by {HASH.format('o_orderkey')}, o_orderkey) rn, count(*) over () n from orders) q where rn <= round_even(n * 0.5, 0)")
+def sample_fraction(spark, d):
+    return sampling.sample_fraction(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), ["o_orderkey"], 42, 0.5)
+
+
+@query(f"""select o_orderkey, o_orderpriority, case when rn <= round_even(n * 0.3, 0) then 'test' else 'train' end split from
+    (select o_orderkey, o_orderpriority, row_number() over (partition by o_orderpriority order by {HASH.format('o_orderkey')}, o_orderkey) rn, count(*) over (partition by o_orderpriority) n from orders) q""")
+def stratified_split(spark, d):
+    return sampling.train_test(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority"), ["o_orderkey"], 42, 0.3, ["o_orderpriority"])
+
+
+@query(f"""select o_orderkey, o_orderpriority, cast((row_number() over (partition by o_orderpriority order by {HASH.format('o_orderkey')}, o_orderkey) - 1) % 10 as int) fold from orders""")
+def kfold(spark, d):
+    return sampling.folds(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority"), ["o_orderkey"], 42, 10, ["o_orderpriority"])
+
+
+# Signal.
+
+DENSE = f"""{ANCHORS}, spots as (select distinct cell_type, chr, start, "end" from anchors),
+    met as (select a.cell_type, a.chr, a.start, a."end", r.value v, greatest(a.start, r.start) - a.start o0, least(a."end", r."end") - a.start o1 from spots a join runs r on a.cell_type = r.cell_type and a.chr = r.chr and a.start < r."end" and r.start < a."end"),
+    blocks as (select m.cell_type, m.chr, m.start, m."end", b.i, sum(m.v * (least(m.o1, (b.i + 1) * 20) - greatest(m.o0, b.i * 20))) / 20.0 m from met m join range(250) b(i) on m.o0 < (b.i + 1) * 20 and b.i * 20 < m.o1 group by 1, 2, 3, 4, 5),
+    ext as (select cell_type, chr, start, "end", min(m) lo, max(m) hi, count(*) c from blocks group by 1, 2, 3, 4),
+    sums as (select cell_type, chr, start, "end", sum(v * (o1 - o0)) / 5000.0 mean,
+        sum(v * ((case when o1 <= 2500 then o1 * (o1 + 1) / 2.0 else 6252500 - 0 - (5000 - o1) * (5000 - o1 + 1) / 2.0 end) - (case when o0 <= 2500 then o0 * (o0 + 1) / 2.0 else 6252500 - 0 - (5000 - o0) * (5000 - o0 + 1) / 2.0 end)) / 6252500.0) weighted_mean from met group by 1, 2, 3, 4),
+    stats as (select s.cell_type, s.chr, s.start, s."end", coalesce(mean, 0) mean, coalesce(weighted_mean, 0) weighted_mean,
+        coalesce(case when c < 250 then least(lo, 0) else lo end, 0) "min", coalesce(case when c < 250 then greatest(hi, 0) else hi end, 0) "max"
+        from spots s left join sums u on s.cell_type = u.cell_type and s.chr = u.chr and s.start = u.start left join ext e on s.cell_type = e.cell_type and s.chr = e.chr and s.start = e.start)"""
+
+
+@query(f"""--cte {DENSE} select cell_type, chr, start, "end", round(mean, 6) mean, round(weighted_mean, 6) weighted_mean, round("min", 6) "min", round("max", 6) "max" from stats""", "loops", "runs")
+def signal_stats(spark, d):
+    out = signal.signal_stats(_spots(spark, d), load(spark, d, "runs"))
+    return out.select(CELL, "chr", "start", "end", *[F.round(c, 6).alias(c) for c in signal.STATS])
+
+
+@query(f"""--cte {DENSE}, level as (select cell_type, avg(mean) l from stats group by 1), n as (select s.cell_type, s.chr, s.start, mean / l mean, "max" / l mx from stats s join level v on s.cell_type = v.cell_type)
+    select p.cell_type, p.chr, p.x, p.y, round(a.mean, 6) x_mean, round(b.mean, 6) y_mean, round(a.mx, 6) x_max, round(b.mx, 6) y_max from loops p left join n a on a.cell_type = p.cell_type and a.chr = p.chr and a.start = p.x_start left join n b on b.cell_type = p.cell_type and b.chr = p.chr and b.start = p.y_start""", "loops", "runs")
+def signal_normalised(spark, d):
+    loops = _loops(spark, d)
+    out = signal.normalised(loops, signal.signal_stats(pairs.anchors(loops), load(spark, d, "runs")), "S")
+    return out.select(CELL, "chr", "x", "y", *[F.round(f"{s}_S_{m}", 6).alias(f"{s}_{m}") for m in ("mean", "max") for s in "xy"])
+
+
+# Motifs.
+
+COUNTS = {"M1": np.array([[9, 0, 0, 0], [0, 9, 0, 9], [0, 0, 9, 0], [0, 0, 0, 0]]), "M2": np.array([[0, 9, 0, 4, 0], [0, 0, 0, 4, 9], [9, 0, 0, 0, 0], [0, 0, 9, 1, 0]])}
+WEIGHTS = {m: motifs.weights(c) for m, c in COUNTS.items()}
+CUTS = {"M1": 500, "M2": 600}
+_PWM = ", ".join(f"('{m}', '{s}', {k}, '{b}', {int(x[i, k])})" for m, w in WEIGHTS.items() for s, x in (("+", w), ("-", w[::-1, ::-1])) for k in range(w.shape[1]) for i, b in enumerate("ACGT"))
+HITS = f"""pwm(motif_id, strand, k, base, w) as (values {_PWM}), lens as (select motif_id, strand, max(k) + 1 l from pwm group by 1, 2),
+    places as (select s.doc_id, s.seq, l.motif_id, l.strand, l.l, p.i from seqs s join lens l on true join range(200) p(i) on p.i <= length(s.seq) - l.l),
+    hits as (select doc_id name, q.motif_id, q.strand, i pos, cast(sum(w) as bigint) score from places q join pwm w on w.motif_id = q.motif_id and w.strand = q.strand and w.base = substr(q.seq, cast(q.i + w.k + 1 as bigint), 1)
+        group by 1, 2, 3, 4 having sum(w) >= case q.motif_id when 'M1' then 500 else 600 end)"""
+
+
+def _hits(spark, d):
+    return motifs.scan(load(spark, d, "seqs"), WEIGHTS, CUTS, "doc_id", "seq")
+
+
+@query(f"--cte {HITS} select * from hits", "seqs")
+def motif_scan(spark, d):
+    return _hits(spark, d)
+
+
+@query(f"""--cte {HITS} select name, {', '.join(f"count(*) filter (motif_id = '{m}' and strand = '{s}') as {m}_{t}" for m in COUNTS for s, t in (('+', 'f'), ('-', 'r')))} from hits group by 1""", "seqs")
+def motif_pivot(spark, d):
+    return motifs.motif_pivot(_hits(spark, d), list(COUNTS), ["name"])
+
+
+def _spot_counts(spark, d):
+    """Anchors with the motif counts of the document whose id their centre gives."""
+    wide = motifs.motif_pivot(_hits(spark, d), list(COUNTS), ["name"])
+    spots = _spots(spark, d).withColumn("name", F.expr("(center div 1000) % 1300"))
+    return spots.join(wide, "name").select(CELL, "chr", "start", "end", *motifs.names(list(COUNTS)))
+
+
+_W = ", ".join(f"count(*) filter (motif_id = '{m}' and strand = '{s}') as {m}_{t}" for m in COUNTS for s, t in (("+", "f"), ("-", "r")))
+_XY = ", ".join(f"case when a.chr is null or b.chr is null then 0 else {q}.{m}_{t if q == 'a' else {'f': 'r', 'r': 'f'}[t]} end as {p}_{m}_{t}" for q, p in (("a", "x"), ("b", "y")) for m in COUNTS for t in "fr")
+
+
+@query(f"""--cte {ANCHORS}, {HITS}, wide as (select name, {_W} from hits group by 1), sc as (select a.cell_type, a.chr, a.start, w.* from anchors a join wide w on (a.center // 1000) % 1300 = w.name)
+    select p.cell_type, p.chr, p.x, p.y, {_XY} from loops p left join sc a on a.cell_type = p.cell_type and a.chr = p.chr and a.start = p.x_start left join sc b on b.cell_type = p.cell_type and b.chr = p.chr and b.start = p.y_start""", "loops", "seqs")
+def motif_merge(spark, d):
+    return motifs.motif_merge(_loops(spark, d).select(CELL, "chr", "x", "y", "x_start", "x_end", "y_start", "y_end"), _spot_counts(spark, d), list(COUNTS)).drop("x_start", "x_end", "y_start", "y_end")
+
+
+@query("""select 's' || s.doc_id chr, o_orderkey % 150 as start, o_orderkey % 150 + 20 as "end", 'n' || o_orderkey as name, substr(s.seq, cast(o_orderkey % 150 + 1 as bigint), 20) seq from orders o join seqs s on s.doc_id = o.o_custkey % 500""", "seqs")
+def sequence_slice(spark, d):
+    genome = load(spark, d, "seqs").select(F.concat(F.lit("s"), "doc_id").alias("chr"), "seq")
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    start = F.col("o_orderkey") % 150
+    parts = o.select(F.concat(F.lit("s"), (F.col("o_custkey") % 500).cast("string")).alias("chr"), start.alias("start"), (start + 20).alias("end"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"))
+    return motifs.slices(parts, genome)
+
+
+# Sets and columns.
+
+
+@query("select chr, x, y, cell_type, null as extra from loops union all select chr, start, null, cell_type, \"end\" from peaks", "loops", "peaks")
+def concat_aligned(spark, d):
+    return features.concat_aligned([_loops(spark, d).select("chr", "x", "y", CELL), _peaks(spark, d).select("chr", F.col("start").alias("x"), CELL, F.col("end").alias("extra"))])
+
+
+@query(f"--cte {LABELLED} select x, y, label, cell_type from labelled", "loops")
+def feature_select(spark, d):
+    return features.select_features(_labelled(spark, d), ["x", "y"])
+
+
+# Evaluation.
+
+_CM = "cm as (select grp, count(*) filter (label = 1 and pred = 1) tp, count(*) filter (label = 0 and pred = 1) fp, count(*) filter (label = 1 and pred = 0) fn, count(*) filter (label = 0 and pred = 0) tn from preds group by 1)"
+_OVER = "case when {1} = 0 then 0.0 else cast({0} as double) / ({1}) end"
+_MET = f"""met as (select grp, {_OVER.format('(tp + tn)', '(tp + fp + fn + tn)')} accuracy, {_OVER.format('tp', '(tp + fp)')} as precision_, {_OVER.format('tp', '(tp + fn)')} recall, {_OVER.format('2 * tp', '(2 * tp + fp + fn)')} f1,
+    ({_OVER.format('tp', '(tp + fn)')} + {_OVER.format('tn', '(tn + fp)')}) / 2 roc_auc, case when (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 then 0.0 else (cast(tp as double) * tn - cast(fp as double) * fn) / sqrt(cast(tp + fp as double) * (tp + fn) * (tn + fp) * (tn + fn)) end mcc from cm)"""
+
+
+def _rounded(df: DataFrame, *first: str) -> DataFrame:
+    return df.select(*first, *[F.round(m, 6).alias(m) for m in ev.METRICS])
+
+
+_R = ", ".join(f"round({'precision_' if m == 'precision' else m}, 6) as \"{m}\"" for m in ev.METRICS)
+
+
+@query(f"--cte {_CM} select * from cm", "preds")
+def confusion(spark, d):
+    return ev.confusion(load(spark, d, "preds"))
+
+
+@query(f"--cte {_CM}, {_MET} select grp, {_R} from met", "preds")
+def metrics_binary(spark, d):
+    return _rounded(ev.binary_metrics(load(spark, d, "preds")), "grp")
+
+
+_AVG = ", ".join(f"round(avg({'precision_' if m == 'precision' else m}), 6) as \"{m}\"" for m in ev.METRICS)
+
+
+@query(f"--cte {_CM}, {_MET} select {_AVG} from met", "preds")
+def metrics_mean(spark, d):
+    return _rounded(ev.mean_metrics(ev.binary_metrics(load(spark, d, "preds"))))
+
+
+@query("""--cte per as (select grp, pred score, count(*) filter (label = 1) p, count(*) filter (label = 0) n from preds group by 1, 2), cum as (select grp, score, sum(p) over w p, sum(n) over w n, sum(p) over (partition by grp) tp, sum(n) over (partition by grp) tn from per window w as (partition by grp order by score desc))
+    select grp, score, round(case when tp = 0 then 0 else cast(p as double) / tp end, 6) tpr, round(case when tn = 0 then 0 else cast(n as double) / tn end, 6) fpr from cum""", "preds")
+def roc_points(spark, d):
+    return ev.roc_points(load(spark, d, "preds")).select("grp", "score", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+_C = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query(" union all ".join(f"select '{a}' a, '{b}' b, round(corr({a}, {b}), 6) corr from lineitem" for i, a in enumerate(_C) for b in _C[i:]))
+def corr_matrix(spark, d):
+    return ev.correlations(spark.read.parquet(f"{d}/lineitem.parquet"), _C).withColumn("corr", F.round("corr", 6))
+
+
+@query("select event_type grp, min(value) lowest, round(quantile_cont(value, 0.25), 6) q25, round(quantile_cont(value, 0.5), 6) q50, round(quantile_cont(value, 0.75), 6) q75, max(value) highest from events group by 1")
+def group_quantiles(spark, d):
+    out = ev.quantiles(spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_type", "grp"), "grp", "value")
+    return out.select("grp", "lowest", *[F.round(q, 6).alias(q) for q in ("q25", "q50", "q75")], "highest")
+
+
+@query("select cell_type, count(*) n, count(*) filter (y - x > 1000000) far, count(*) filter (chr = 'X') on_x from loops group by 1", "loops")
+def count_by_predicate(spark, d):
+    return _loops(spark, d).groupBy(CELL).agg(F.count("*").alias("n"), F.count_if(F.col("y") - F.col("x") > 1_000_000).alias("far"), F.count_if(F.col("chr") == "X").alias("on_x"))
+
+
+@query("select p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 20")
+def top_features(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
+
+
+# Whole tables and models.
+
+
+def _assembled(spark, d, mode):
+    from anchorloom.plans import workflow
+
+    return workflow.assemble(_loops(spark, d), mode, {"CTCF": _peaks(spark, d)}, {"DNase": load(spark, d, "runs")}, _spot_counts(spark, d), list(COUNTS))
+
+
+for _name, _mode in (("human_n1", 0), ("human_n2", 1), ("human_n3", 2), ("fly_n4", 4)):
+    QUERIES[f"features_{_name}"] = lambda spark, d, m=_mode: _assembled(spark, d, pairs.MODES[m])
+
+
+def _model_input(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("lang").alias(CELL), "n_chars", F.length(F.regexp_replace("text", "[^*#$%&|!]", "")).alias("marks"), F.size(F.split("text", "\n")).alias("rows"))
+    return docs.join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+for _kind in ("logistic_regression", "random_forest", "gradient_boosting", "decision_tree"):
+
+    def _train(spark, d, kind=_kind):
+        from anchorloom.ml import training
+
+        return training.within(_model_input(spark, d), kind, ["doc_id"])
+
+    QUERIES[f"train_{_kind}"] = _train
+
+
+@query()
+def loco_eval(spark, d):
+    from anchorloom.ml import training
+
+    return training.across(_model_input(spark, d), "decision_tree")
+
+
+@query()
+def cv_eval(spark, d):
+    from anchorloom.ml import training
+
+    return ev.binary_metrics(training.cross_predicted(_model_input(spark, d), "decision_tree", ["doc_id"], k=3).withColumn("grp", F.lit("all")), label="label", pred="prediction")
+
+
+@query()
+def tune(spark, d):
+    from anchorloom.ml import training
+
+    best, score = training.optimise(_model_input(spark, d), "decision_tree", ["doc_id"], trials=3)
+    return spark.createDataFrame([(k, str(v), score) for k, v in sorted(best.items())] or [("default", "", score)], "parameter string, value string, score double")
