@@ -1,18 +1,24 @@
 """Token ids of texts by a public tokenizer, one word at a time with a bounded memory of words seen.
 
-The tokenizer drops white space and never joins words across it, so a text's ids are its words' ids in a row
-(tests/llm holds this against encoding whole texts).
+The tokenizer drops white space and never joins words across it, so a text's ids are its words' ids in a row. Nor does
+it join letters with punctuation, and it ignores case, so words of Latin-1 letters are remembered in lower case and
+without the punctuation that follows (tests/llm holds all this against encoding whole texts).
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
 from anchorloom.llm.common import words
 
 TOKENIZER, END = "word_bpe_49k.json", 1
+#: Letters with one lower case letter each, and punctuation that is in no contraction or special token.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-Þà-öø-ÿ]+")
+MARKS = ".,;:!?*$%&#"
 
 
 def tokenizer_path() -> str:
@@ -22,30 +28,70 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids as little-endian integers of `width` bytes."""
+    """Ids as little-endian integers of `width` bytes; `bound`: parts of words that are remembered."""
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype, self.code = ("<u2", "H") if len(vocabulary) <= 1 << 16 else ("<u4", "I")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        self.parts: dict[str, bytes] = {}
         self.memory: dict[bytes, bytes] = {}
         self.bound = bound
 
+    def _one(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, cores: list[str]) -> None:
+        """Remember words of letters: encoded in one text, each ends at the token that ends a word."""
+        for at in range(0, len(cores), 2000):
+            block = cores[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(cut) == len(block):
+                raw, starts = ids.tobytes(), [0, *cut.tolist()]
+                self.parts.update((c, raw[starts[k] : starts[k + 1]]) for k, c in enumerate(block))
+            else:
+                self.parts.update((c, self._one(c)) for c in block)
+
+    def _learn(self, missing: set[bytes]) -> None:
+        if len(self.parts) > self.bound:
+            self.parts.clear()
+        parts, split, new = self.parts, [], set()
+        for w in missing:
+            text = w.decode("utf-8", "surrogatepass")
+            core = text.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or LATIN.fullmatch(core)):
+                tail = text[len(core) :]
+                core = core.lower()
+                if core not in parts:
+                    new.add(core)
+                if tail and tail not in parts:
+                    parts[tail] = self._one(tail)
+                split.append((w, core, tail))
+            else:
+                self.memory[w] = self._one(text)
+        self._plain(list(new))
+        self.memory.update((w, parts[core] + parts[tail] if tail else parts[core]) for w, core, tail in split)
+
     def encode(self, texts: list[str | None], end: int | None = END) -> list[np.ndarray]:
         split = [words(t) for t in texts]
-        missing = set().union(*split).difference(self.memory) if split else set()
-        if len(self.memory) + len(missing) > self.bound:
+        if len(self.memory) > self.bound:
             self.memory.clear()
-            missing = set().union(*split)
-        order = list(missing)
-        for i in range(0, len(order), 20_000):
-            block = order[i : i + 20_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in block], add_special_tokens=False)
-            self.memory.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(block, found, strict=True))
-        get, tail = self.memory.__getitem__, b"" if end is None else np.array([end], self.dtype).tobytes()
-        return [np.frombuffer(b"".join(map(get, ws)) + tail, self.dtype) for ws in split]
+        found = [list(map(self.memory.get, ws)) for ws in split]
+        gaps = [(ws, ids, [i for i, x in enumerate(ids) if x is None]) for ws, ids in zip(split, found, strict=True) if None in ids]
+        if gaps:
+            self._learn({ws[i] for ws, _, at in gaps for i in at})
+            for ws, ids, at in gaps:
+                for i in at:
+                    ids[i] = self.memory[ws[i]]
+        tail = b"" if end is None else array(self.code, [end]).tobytes()
+        return [np.frombuffer(b"".join(ids) + tail, self.dtype) for ids in found]
 
 
 _encoders: dict[str, Encoder] = {}
