@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorloom.llm import common
+from anchorloom.llm import common, oracles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,4 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vector_dedup": op10_vector_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_join": oracles.NEAR_JOIN,
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op10_vector_dedup": oracles.VECTOR_DEDUP,
+}
