@@ -3,10 +3,10 @@
 Vectors of one label and length are a space; equal vectors are one class, represented by the smallest vec_id. Centroids
 are fitted on a bounded sample (SAMPLE rows); every class goes to its OVERLAP nearest clusters, clusters beyond SHARD
 vectors to slices. Each shard builds a graph: nearest candidates, pruned robustly (a candidate goes if a kept neighbour
-is ALPHA times nearer to it than the node is). Adjacency lists of a node's shards are united and written, with the
+is ALPHA times nearer to it than the node is), with edges both ways. Adjacency lists of a node's shards are united and written, with the
 vectors, as flat sorted files that workers memory-map. Every class is a query: a greedy search from the shards' medoids
 keeps a beam and expands all nodes in range of the threshold, whatever the beam. Pairs are verified in double precision.
-An audit compares a sample of queries with all vectors; while recall is below RECALL the beam doubles.
+An audit compares a sample of queries with all vectors; while recall is below RECALL the beam doubles, up to MOST_BEAM.
 
 Defined cases: vectors that are null, empty or zero, hold null or non-finite components, or have a null label or
 vec_id link with nothing (n_links 0, component themselves, kept); rows that share a vec_id are one node, and each counts;
@@ -27,8 +27,8 @@ from anchorloom.llm import common, sorted_files
 from anchorloom.llm.graph import components
 
 THRESHOLD, SAMPLE, CLUSTER, SHARD, OVERLAP = 0.93, 50_000, 1000, 3000, 3
-CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 48, 24, 1.2, 32, 0.05
-AUDIT, RECALL, MOST_CLUSTERS = 256, 0.97, 20_000
+CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 48, 16, 1.2, 12, 0.05
+AUDIT, RECALL, MOST_BEAM, MOST_CLUSTERS = 256, 0.95, 48, 20_000
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -99,7 +99,16 @@ def prune(x: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, alp
         apart = 1 - sims[pick[:, None], near]  # squared distances, but for a factor
         alive &= alpha**2 * apart > 1 - mine
         alive[rows, first] = False
-    return [r[r >= 0] for r in kept]
+    # Both ways, nearest first, up to twice the degree: what is pruned from all lists would never be reached.
+    a, b = np.repeat(rows, (kept >= 0).sum(1)), kept[kept >= 0]
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    edge = np.unique(a * n + b)
+    a, b = edge // n, edge % n
+    order = np.lexsort((-sims[a, b], a))
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a, "left")
+    a, b = a[place < 2 * degree], b[place < 2 * degree]
+    return np.split(b, np.searchsorted(a, rows[1:], "left"))
 
 
 def _assigned(reps: DataFrame, centers: dict[str, np.ndarray], width: int) -> DataFrame:
@@ -166,7 +175,8 @@ def search(queries: np.ndarray, starts: list[np.ndarray], index: sorted_files.Lo
         # Not those held already: both lists as single sorted keys.
         number = np.unique(np.concatenate([held_node, pair_node]))
         key = lambda a, b: a * len(number) + np.searchsorted(number, b)  # noqa: B023, E731
-        fresh = ~np.isin(key(pair_q, pair_node), key(held_q, held_node))
+        held, asked = np.sort(key(held_q, held_node)), key(pair_q, pair_node)
+        fresh = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] != asked
         new_q, new_node = pair_q[fresh], pair_node[fresh]
     near = held_sim >= threshold - 1e-9
     return held_q[near], held_node[near]
@@ -198,7 +208,7 @@ def links(reps: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) -> Da
     for r in graph.where("medoid is not null").select("rep", "medoid").collect():  # one for each shard
         cluster, _, space = r.medoid.split("|", 2)
         entries[space, int(cluster)].append(r.rep)
-    degree = OVERLAP * DEGREE
+    degree = 2 * OVERLAP * DEGREE
     united = graph.groupBy("rep").agg(F.collect_list("near").alias("lists"))
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +250,7 @@ def links(reps: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) -> Da
 
     while True:
         found = common.written(homes.mapInArrow(run_with(beam), "a long, b long").distinct())
-        if audit(reps, found, total, width, threshold) >= RECALL or beam >= 512:
+        if audit(reps, found, total, width, threshold) >= RECALL or beam >= MOST_BEAM:
             common.forget(assigned)
             return found
         common.forget(found)
