@@ -171,12 +171,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+STEP = 0x9E3779B97F4A7C15
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all windows of k words, given the words' hashes; order matters."""
+    """64-bit hashes of all windows of k words, given the words' hashes: polynomials in STEP, joined from windows of powers
+    of two words, and mixed."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + mix(h[i : i + n] + np.uint64(i + 1))
+    power = lambda w: np.uint64(pow(STEP, w, 1 << 64))
+    levels, w = {1: h}, 1
+    while 2 * w <= k:
+        levels[2 * w] = levels[w][:-w] * power(w) + levels[w][w:]
+        w *= 2
+    out, span = levels[w][:n], w
+    while w > 1:
+        w //= 2
+        if k & w:
+            out = out * power(w) + levels[w][span : span + n]
+            span += w
     return mix(out)

@@ -20,6 +20,7 @@ keep their bytes; an empty table gives an empty result; extra columns are not re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ class Windows:
         self.n = max(0, len(hashes) - size + 1)
         self.hashes, self.size, self.gram = hashes, size, gram
         if not self.n:
-            self.prefix = self.anchor_at = self.anchor = np.empty(0, np.int64)
+            self.prefix = self.anchors = self.many = np.empty(0, np.int64)
             return
         h = common.grams(hashes, gram)
         self.prefix = h
@@ -53,12 +54,11 @@ class Windows:
             a = np.minimum(a[: self.n], a[width - step : width - step + self.n])
         low = (a[: self.n] & np.uint64(0xFFFFF)).astype(np.int64)
         start = np.arange(self.n)
-        self.anchor_at = start + ((low - start) & 0xFFFFF)
-        self.anchor = h[self.anchor_at].astype(np.int64)
-
-    def anchors(self) -> np.ndarray:
-        """The anchor at each place that is one."""
-        return self.prefix[np.unique(self.anchor_at)].astype(np.int64) if self.n else self.anchor
+        at = start + ((low - start) & 0xFFFFF)
+        # Windows of one anchor follow each other: each anchor once, and how many windows it has.
+        first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+        self.anchors = h[at[first]].astype(np.int64)
+        self.many = np.diff(np.concatenate([first, [self.n]]))
 
     def nodes(self) -> np.ndarray:
         """Keys: 24 bits of the prefix and 40 of the whole window."""
@@ -77,9 +77,9 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterato
 
 def _flagged(found: list[Windows], index: sorted_files.Index) -> list[np.ndarray]:
     """For each text the starts of windows with a repeated anchor."""
-    there, _ = sorted_files.lookup(index, ANCHORS).find(np.concatenate([w.anchor for w in found]))
-    ends = np.cumsum([w.n for w in found])
-    return [np.flatnonzero(there[e - w.n : e]) for w, e in zip(found, ends, strict=True)]
+    there, _ = sorted_files.lookup(index, ANCHORS).find(np.concatenate([w.anchors for w in found]))
+    ends = np.cumsum([len(w.anchors) for w in found])
+    return [np.flatnonzero(np.repeat(there[e - len(w.anchors) : e], w.many)) for w, e in zip(found, ends, strict=True)]
 
 
 def remove(docs: DataFrame, size: int = 20, gram: int = 8) -> DataFrame:
@@ -90,7 +90,7 @@ def remove(docs: DataFrame, size: int = 20, gram: int = 8) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurring = (np.concatenate([w.anchors() for w in found]) for _, _, found in _batches(batches, size, gram))
+        occurring = (np.concatenate([w.anchors for w in found]) for _, _, found in _batches(batches, size, gram))
         for value, many in sorted_files.summed(occurring):
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(many)], ["anchor", "many"])
 
@@ -126,11 +126,11 @@ def remove(docs: DataFrame, size: int = 20, gram: int = 8) -> DataFrame:
                 start = a[gone[end : end + len(a)]]
                 end += len(a)
                 cover = np.zeros(len(ws) + 1, np.int64)
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + size, -1)
+                cover[start] += 1  # starts are distinct
+                cover[start + size] -= 1
                 stays = np.cumsum(cover[:-1]) == 0
                 removed.append(len(ws) - int(stays.sum()))
-                kept.append(b" ".join(ws if not removed[-1] else [w for w, s in zip(ws, stays.tolist(), strict=True) if s]).decode("utf-8", "surrogatepass"))
+                kept.append(b" ".join(compress(ws, stays.tolist()) if removed[-1] else ws).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, split)), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return docs.mapInArrow(texts, "doc_id long, n_words long, n_removed long, kept string")
