@@ -11,22 +11,30 @@ from anchorloom.llm import common
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node reachable.
 
-    Each round takes the least label among neighbours and then the label's own label, so paths halve; labels are
-    written each round. Sums per node combine before the shuffle, and Spark splits skewed joins, so hubs are no hot task.
+    Rounds of contraction: each node joins its neighbour (or itself) of least priority, equal edges become one and loops
+    go, so rounds shrink; a round's map is written, so that lost executors lose nothing. Priorities are ids in the first
+    round (stars around small ids vanish at once) and hashes afterwards (which shrink any path). Minima combine before
+    the shuffle, and Spark splits skewed joins, so hubs are no hot task.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = common.written(both)
-    labels = common.written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        new = step.join(jump, step.next == jump.at, "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("moved"))
-        new = common.written(new)
-        moved = new.where("moved").limit(1).count()
-        common.forget(labels)
-        if not moved:
-            common.forget(both)
-            return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
-        labels._scratch = new._scratch
+    left, levels = common.written(edges.select("a", "b").where("a <> b").distinct()), []
+    while left.limit(1).count():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = (lambda c: F.col(c)) if not levels else (lambda c, salt=len(levels): F.xxhash64(F.col(c), F.lit(salt)))
+        near = both.groupBy("a").agg(F.min_by("b", first("b")).alias("b"))
+        level = common.written(near.select(F.col("a").alias("node"), F.when(first("a") <= first("b"), F.col("a")).otherwise(F.col("b")).alias("up")))
+        ends = left.join(level.withColumnRenamed("up", "x"), F.col("a") == F.col("node")).select("b", "x")
+        ends = ends.join(level.withColumnRenamed("up", "y"), F.col("b") == F.col("node")).select("x", "y").where("x <> y")
+        new = common.written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        common.forget(left)
+        left, levels = new, [*levels, level]
+    common.forget(left)
+    if not levels:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    whole = levels[-1]
+    for level in reversed(levels[:-1]):
+        later = whole.select(F.col("node").alias("at"), F.col("up").alias("root"))
+        whole = level.join(later, level.up == later.at, "left").select("node", F.coalesce("root", "up").alias("up"))
+    whole = common.written(whole)
+    common.forget(*levels)
+    least = whole.groupBy("up").agg(F.min("node").alias("component")).withColumnRenamed("up", "root")
+    return whole.join(least, whole.up == least.root).select("node", "component")
