@@ -84,3 +84,18 @@ def test_bm25_returns_related_documents_first():
         windows[w].add(d % 3)
     assert sum(len(x) == 1 for x in windows.values()) >= len(windows) - 2
     assert zlib.crc32(b"") == 0
+
+
+def test_packing_retrieves_across_shards(spark):
+    from anchorloom.llm import packing
+
+    rng = np.random.default_rng(5)
+    names = [[f"{w}{i}" for i in range(30)] for w in ("amber", "birch", "cedar", "delta", "ember", "fjord")]
+    rows = [(i, " ".join(rng.choice(names[i % 6], 60))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = [sorted(map(tuple, packing.pack(df, window=1024, shard_documents=n).collect())) for n in (4, 7, 1000)]
+    assert made[0] == made[1] == made[2]
+    windows = collections.defaultdict(collections.Counter)
+    for r in made[0]:
+        windows[r[4]][r[0] % 6] += r[2]
+    assert sum(max(w.values()) for w in windows.values()) >= 0.7 * sum(sum(w.values()) for w in windows.values())
