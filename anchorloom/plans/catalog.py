@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from anchorloom.functions.genomic import CELL, anchor_name, apart, bare_chr, chromosome_rank, log10p1, middle_even, middle_floor, windowed
 from anchorloom.operators import evaluation as ev
 from anchorloom.operators import features, intervals, motifs, pairs, sampling, signal
-from anchorloom.plans.fixtures import load, with_clause
+from anchorloom.plans.fixtures import load, sequences, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -314,7 +314,7 @@ HITS = f"""pwm(motif_id, strand, k, base, w) as (values {_PWM}), lens as (select
 
 
 def _hits(spark, d):
-    return motifs.scan(load(spark, d, "seqs"), WEIGHTS, CUTS, "doc_id", "seq")
+    return motifs.scan(sequences(spark, d), WEIGHTS, CUTS, "doc_id", "seq")
 
 
 @query(f"--cte {HITS} select * from hits", "seqs")
@@ -346,7 +346,7 @@ def motif_merge(spark, d):
 
 @query("""select 's' || s.doc_id chr, o_orderkey % 150 as start, o_orderkey % 150 + 20 as "end", 'n' || o_orderkey as name, substr(s.seq, cast(o_orderkey % 150 + 1 as bigint), 20) seq from orders o join seqs s on s.doc_id = o.o_custkey % 500""", "seqs")
 def sequence_slice(spark, d):
-    genome = load(spark, d, "seqs").select(F.concat(F.lit("s"), "doc_id").alias("chr"), "seq")
+    genome = sequences(spark, d).select(F.concat(F.lit("s"), "doc_id").alias("chr"), "seq")
     o = spark.read.parquet(f"{d}/orders.parquet")
     start = F.col("o_orderkey") % 150
     parts = o.select(F.concat(F.lit("s"), (F.col("o_custkey") % 500).cast("string")).alias("chr"), start.alias("start"), (start + 20).alias("end"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"))

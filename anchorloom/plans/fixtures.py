@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _chr(k: str) -> str:
@@ -47,6 +48,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, seq): seqs over whole texts. The SQL's seqs end at 200 letters."""
+    letters = F.regexp_replace("text", "[^a-z]", "")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
+
+
 def with_clause(*names: str) -> str:
     made = sql(duckdb=True)
     return "with " + ", ".join(f"{n} as ({made[n]})" for n in names)
