@@ -6,7 +6,8 @@ vectors to slices. Each shard builds a graph: nearest candidates, pruned robustl
 is ALPHA times nearer to it than the node is), with edges both ways. Adjacency lists of a node's shards are united and written, with the
 vectors, as flat sorted files that workers memory-map. Every class is a query: a greedy search from the shards' medoids
 keeps a beam and expands all nodes in range of the threshold, whatever the beam. Pairs are verified in double precision.
-An audit compares a sample of queries with all vectors; while recall is below RECALL the beam doubles, up to MOST_BEAM.
+An audit compares a sample of queries with all vectors; while their average recall is below RECALL the beam doubles, up to
+MOST_BEAM. Where that does not do, all pairs of a space are compared in blocks, which is exact and quadratic.
 
 Defined cases: vectors that are null, empty or zero, hold null or non-finite components, or have a null label or
 vec_id link with nothing (n_links 0, component themselves, kept); rows that share a vec_id are one node, and each counts;
@@ -250,15 +251,51 @@ def links(reps: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) -> Da
 
     while True:
         found = common.written(homes.mapInArrow(run_with(beam), "a long, b long").distinct())
-        if audit(reps, found, total, width, threshold) >= RECALL or beam >= MOST_BEAM:
+        if audit(reps, found, total, width, threshold) >= RECALL:
             common.forget(assigned)
             return found
         common.forget(found)
+        if beam >= MOST_BEAM:
+            common.forget(assigned)
+            return exact(reps, width, threshold)
         beam *= 2
 
 
+def exact(reps: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(a, b), a < b: all links, by comparing every two vectors of a space in blocks."""
+    spark = reps.sparkSession
+    types = {"rep": "<i8", "v": f"<f8*{width}", "space": "<i8"}
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [r + bytes(8 * width - len(r)) for r in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary()), b.column(2)], ["rep", "v", "space"])
+
+    table = reps.select("rep", "v", F.xxhash64("space").alias("space"))
+    index = sorted_files.write(table.mapInArrow(flat, "rep long, v binary, space long"), common.scratch(spark), types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = sorted_files.lookup(index, types)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                ids, space = (b.column(c).slice(at, 256).to_numpy() for c in (0, 2))
+                raw = b.column(1).slice(at, 256).to_pylist()
+                own, x = np.stack([np.frombuffer(r + bytes(8 * width - len(r)), "<f8") for r in raw]), unit(raw, width)
+                for part in range(len(index)):
+                    columns = files._part(part)
+                    for k in range(0, len(columns["rep"]), 4096):
+                        node, v, other = (np.asarray(columns[c][k : k + 4096]) for c in ("rep", "v", "space"))
+                        y = v / np.abs(v).max(1, keepdims=True)
+                        y /= np.linalg.norm(y, axis=1, keepdims=True)
+                        i, j = np.nonzero((x @ y.T >= threshold - 1e-9) & (space[:, None] == other[None]) & (ids[:, None] < node[None]))
+                        sure = cosine(own[i], v[j]) >= threshold if len(i) else np.empty(0, bool)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i[sure]]), pa.array(node[j[sure]])], ["a", "b"])
+
+    return common.written(table.mapInArrow(run, "a long, b long"))
+
+
 def audit(reps: DataFrame, found: DataFrame, total: int, width: int, threshold: float) -> float:
-    """Recall of found links of AUDIT queries, compared with all vectors in blocks."""
+    """Recall of found links, averaged over AUDIT queries that have any, so that no large group outweighs the others."""
     spark = reps.sparkSession
     chosen = reps.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(max(1, total // AUDIT))) == 0).limit(2 * AUDIT).collect()
     ids, spaces = np.array([r.rep for r in chosen], np.int64), np.array([r.space for r in chosen])
@@ -272,13 +309,13 @@ def audit(reps: DataFrame, found: DataFrame, total: int, width: int, threshold:
             i, j = np.nonzero(near)
             a, z = b.column(0).to_numpy()[i], ids[j]
             other = a != z
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)[other]), pa.array(np.maximum(a, z)[other])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)[other]), pa.array(np.maximum(a, z)[other]), pa.array(z[other])], ["a", "b", "query"])
 
-    true = common.written(reps.select("rep", "space", "v").mapInArrow(run, "a long, b long").distinct())
-    n = true.count()
-    hit = true.join(found, ["a", "b"], "left_semi").count()
-    common.forget(true)
-    return hit / n if n else 1.0
+    true = reps.select("rep", "space", "v").mapInArrow(run, "a long, b long, query long")
+    hits = true.join(found.withColumn("hit", F.lit(1.0)), ["a", "b"], "left")
+    each = hits.groupBy("query").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+    recall = each.agg(F.avg("recall")).first()[0]
+    return 1.0 if recall is None else recall
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) -> DataFrame:

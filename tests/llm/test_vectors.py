@@ -59,3 +59,34 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[200] == got[150] == 100 and {got[x] for x in range(500, 560)} == {500}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_failed_audit_ends_in_exact_comparison(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from anchorloom.llm import vector_dedup
+
+    graph = vector_dedup._graph
+    monkeypatch.setattr(vector_dedup, "_graph", lambda *a: graph(*a).withColumn("near", F.lit(b"")))  # without edges nothing is found
+    rng, rows = np.random.default_rng(8), []
+    for i in range(200):
+        v = rng.normal(size=12) if i < 100 else np.array(rows[i - 100][1]) + rng.normal(size=12) * 0.2
+        rows.append((i, v.tolist(), i % 100 % 3))
+    want = brute(rows)
+    assert sum(w[1] for w in want) > 50
+    got = vector_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == want
+
+
+def test_audit_weighs_queries_alike(spark):
+    from anchorloom.llm import vector_dedup
+
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=16)
+    vectors = [hot + rng.normal(size=16) * 0.01 for _ in range(60)]
+    for _ in range(30):
+        v = rng.normal(size=16)
+        vectors += [v, v + rng.normal(size=16) * 0.01]
+    reps = spark.createDataFrame([(i, "s", bytearray(np.asarray(v, "<f8").tobytes())) for i, v in enumerate(vectors)], "rep long, space string, v binary")
+    found = spark.createDataFrame([(a, b) for a in range(60) for b in range(a + 1, 60)], "a long, b long")
+    assert abs(vector_dedup.audit(reps, found, 120, 16, 0.93) - 0.5) < 0.01
