@@ -1,4 +1,4 @@
-"""Token ids of texts by a public tokenizer, one word at a time with a bounded memory of words seen.
+"""Token ids of texts by a public tokenizer, one word at a time with a memory of words seen that is bounded in bytes.
 
 The tokenizer drops white space and never joins words across it, so a text's ids are its words' ids in a row. Nor does
 it join letters with punctuation, and it ignores case, so words of Latin-1 letters are remembered in lower case and
@@ -19,6 +19,8 @@ TOKENIZER, END = "word_bpe_49k.json", 1
 #: Letters with one lower case letter each, and punctuation that is in no contraction or special token.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-Þà-öø-ÿ]+")
 MARKS = ".,;:!?*$%&#"
+#: Bytes remembered by a worker, words encoded at a time, and what a dictionary's entry takes beside the characters.
+MEMORY, BLOCK, ENTRY = 64 << 20, 20_000, 190
 
 
 def tokenizer_path() -> str:
@@ -28,9 +30,9 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids as little-endian integers of `width` bytes; `bound`: parts of words that are remembered."""
+    """Ids as little-endian integers; `bound`: bytes that remembered words and parts of words may take."""
 
-    def __init__(self, path: str, bound: int = 700_000):
+    def __init__(self, path: str, bound: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,7 +44,7 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         self.parts: dict[str, bytes] = {}
         self.memory: dict[bytes, bytes] = {}
-        self.bound = bound
+        self.bound, self.held = bound, 0
 
     def _one(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -60,8 +62,6 @@ class Encoder:
                 self.parts.update((c, self._one(c)) for c in block)
 
     def _learn(self, missing: set[bytes]) -> None:
-        if len(self.parts) > self.bound:
-            self.parts.clear()
         parts, split, new = self.parts, [], set()
         for w in missing:
             text = w.decode("utf-8", "surrogatepass")
@@ -78,11 +78,13 @@ class Encoder:
                 self.memory[w] = self._one(text)
         self._plain(list(new))
         self.memory.update((w, parts[core] + parts[tail] if tail else parts[core]) for w, core, tail in split)
+        self.held += sum(ENTRY + 4 * len(w) for w in missing) + sum(ENTRY + 4 * len(c) for c in new)
 
-    def encode(self, texts: list[str | None], end: int | None = END) -> list[np.ndarray]:
-        split = [words(t) for t in texts]
-        if len(self.memory) > self.bound:
+    def _block(self, split: list[list[bytes]]) -> list[bytes]:
+        if self.held > self.bound:
             self.memory.clear()
+            self.parts.clear()
+            self.held = 0
         found = [list(map(self.memory.get, ws)) for ws in split]
         gaps = [(ws, ids, [i for i, x in enumerate(ids) if x is None]) for ws, ids in zip(split, found, strict=True) if None in ids]
         if gaps:
@@ -90,8 +92,30 @@ class Encoder:
             for ws, ids, at in gaps:
                 for i in at:
                     ids[i] = self.memory[ws[i]]
+        return [b"".join(ids) for ids in found]
+
+    def encode(self, texts: list[str | None], end: int | None = END) -> list[np.ndarray]:
+        """Blocks of BLOCK words; a longer text is encoded piece by piece, so that no text outgrows the memory."""
         tail = b"" if end is None else array(self.code, [end]).tobytes()
-        return [np.frombuffer(b"".join(ids) + tail, self.dtype) for ids in found]
+        out, held, n = [], [], 0
+
+        def done() -> None:
+            nonlocal held, n
+            out.extend(np.frombuffer(raw + tail, self.dtype) for raw in self._block(held))
+            held, n = [], 0
+
+        for t in texts:
+            ws = words(t)
+            if len(ws) > BLOCK:
+                done()
+                out.append(np.frombuffer(b"".join(self._block([ws[k : k + BLOCK]])[0] for k in range(0, len(ws), BLOCK)) + tail, self.dtype))
+                continue
+            held.append(ws)
+            n += len(ws)
+            if n >= BLOCK:
+                done()
+        done()
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
