@@ -1,12 +1,15 @@
-"""Token ids of texts by a public tokenizer, one word at a time with a memory of words seen that is bounded in bytes.
+"""Token ids of texts by a public tokenizer, one word at a time with a memory of words seen that is bounded.
 
-The tokenizer drops white space and never joins words across it, so a text's ids are its words' ids in a row. Nor does
-it join letters with punctuation, and it ignores case, so words of Latin-1 letters are remembered in lower case and
-without the punctuation that follows (tests/llm holds all this against encoding whole texts).
+The tokenizer drops white space and never joins words across it, so a text's ids are its words' ids in a row. It ignores
+case, takes a run of letters as one piece, and does not join letters with the punctuation that follows. So A-Z is lowered,
+and words of ASCII or Latin-1 letters are encoded many at a time by the tokenizer's own merges without its slower steps
+that find such pieces; all other words take the whole way (tests/llm holds all this against encoding whole texts).
 """
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import re
 from array import array
@@ -16,11 +19,15 @@ import numpy as np
 from anchorloom.llm.common import words
 
 TOKENIZER, END = "word_bpe_49k.json", 1
-#: Letters with one lower case letter each, and punctuation that is in no contraction or special token.
-LATIN = re.compile("[A-Za-zÀ-ÖØ-Þà-öø-ÿ]+")
-MARKS = ".,;:!?*$%&#"
-#: Bytes remembered by a worker, words encoded at a time, and what a dictionary's entry takes beside the characters.
-MEMORY, BLOCK, ENTRY = 64 << 20, 20_000, 190
+#: Punctuation that is in no contraction or special token.
+MARKS = b".,;:!?*$%&#"
+#: Words that the tokenizer takes as one piece: ASCII and Latin-1 letters.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Words remembered in each of two generations (about 170 bytes a word), and words encoded at a time.
+MEMORY, BLOCK = 300_000, 20_000
+#: Byte-level alphabets write bytes without a visible Latin-1 character as the characters from U+0100 on, in order.
+HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+ALPHABET = "".join(chr(b if b not in HIDDEN or b == 0x20 else 256 + HIDDEN.index(b)) for b in range(256))
 
 
 def tokenizer_path() -> str:
@@ -30,7 +37,7 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids as little-endian integers; `bound`: bytes that remembered words and parts of words may take."""
+    """Ids as little-endian integers; `bound`: words remembered in each of two generations, of which the older one goes."""
 
     def __init__(self, path: str, bound: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,57 +49,66 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.parts: dict[str, bytes] = {}
+        whole = json.loads(self.tokenizer.to_str())
+        self.merges = Tokenizer.from_str(json.dumps(whole | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        self.tails: dict[bytes, bytes] = {}
         self.memory: dict[bytes, bytes] = {}
-        self.bound, self.held = bound, 0
-
-    def _one(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _plain(self, cores: list[str]) -> None:
-        """Remember words of letters: encoded in one text, each ends at the token that ends a word."""
-        for at in range(0, len(cores), 2000):
-            block = cores[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, self.dtype)
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            if len(cut) == len(block):
-                raw, starts = ids.tobytes(), [0, *cut.tolist()]
-                self.parts.update((c, raw[starts[k] : starts[k + 1]]) for k, c in enumerate(block))
-            else:
-                self.parts.update((c, self._one(c)) for c in block)
+        self.older: dict[bytes, bytes] = {}
+        self.bound = bound
+
+    def _each(self, block: list[bytes]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in block], add_special_tokens=False)
+        return [array(self.code, x.ids).tobytes() for x in made]
+
+    def _letters(self, block: list[bytes]) -> list[bytes]:
+        """Words of letters, encoded in one text: each ends at the token that ends a word."""
+        text = codecs.charmap_decode(b" ".join(block).decode().lower().encode(), "strict", ALPHABET)[0]
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        cut = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        if len(cut) != len(block):
+            return self._each(block)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+
+    def _tail(self, marks: bytes) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks] = self._each([marks])[0]
+        return self.tails[marks]
 
     def _learn(self, missing: set[bytes]) -> None:
-        parts, split, new = self.parts, [], set()
+        memory, older, cores, ended, other = self.memory, self.older, set(), [], []
         for w in missing:
-            text = w.decode("utf-8", "surrogatepass")
-            core = text.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() or LATIN.fullmatch(core)):
-                tail = text[len(core) :]
-                core = core.lower()
-                if core not in parts:
-                    new.add(core)
-                if tail and tail not in parts:
-                    parts[tail] = self._one(tail)
-                split.append((w, core, tail))
+            ids = older.get(w)
+            if ids is not None:
+                memory[w] = ids
+                continue
+            core = w.rstrip(MARKS)
+            if not LETTERS.fullmatch(core):
+                other.append(w)
             else:
-                self.memory[w] = self._one(text)
-        self._plain(list(new))
-        self.memory.update((w, parts[core] + parts[tail] if tail else parts[core]) for w, core, tail in split)
-        self.held += sum(ENTRY + 4 * len(w) for w in missing) + sum(ENTRY + 4 * len(c) for c in new)
+                if core is not w:
+                    ended.append((w, core))
+                if core not in memory and core not in older:
+                    cores.add(core)
+        new: dict[bytes, bytes] = {}
+        letters = list(cores)
+        for a in range(0, len(letters), 200):
+            new.update(zip(letters[a : a + 200], self._letters(letters[a : a + 200]), strict=True))
+        for a in range(0, len(other), 2000):
+            memory.update(zip(other[a : a + 2000], self._each(other[a : a + 2000]), strict=True))
+        for w, core in ended:
+            memory[w] = (new.get(core) or memory.get(core) or older[core]) + self._tail(w[len(core) :])
+        memory.update((w, ids) for w, ids in new.items() if w in missing)
 
     def _block(self, split: list[list[bytes]]) -> list[bytes]:
-        if self.held > self.bound:
-            self.memory.clear()
-            self.parts.clear()
-            self.held = 0
-        found = [list(map(self.memory.get, ws)) for ws in split]
-        gaps = [(ws, ids, [i for i, x in enumerate(ids) if x is None]) for ws, ids in zip(split, found, strict=True) if None in ids]
-        if gaps:
-            self._learn({ws[i] for ws, _, at in gaps for i in at})
-            for ws, ids, at in gaps:
-                for i in at:
-                    ids[i] = self.memory[ws[i]]
-        return [b"".join(ids) for ids in found]
+        if len(self.memory) > self.bound:
+            self.older, self.memory = self.memory, {}
+        memory = self.memory
+        if missing := set().union(*split).difference(memory):
+            self._learn(missing)
+        return [b"".join(map(memory.__getitem__, ws)) for ws in split]
 
     def encode(self, texts: list[str | None], end: int | None = END) -> list[np.ndarray]:
         """Blocks of BLOCK words; a longer text is encoded piece by piece, so that no text outgrows the memory."""
@@ -105,7 +121,7 @@ class Encoder:
             held, n = [], 0
 
         for t in texts:
-            ws = words(t)
+            ws = words(t, lower=True)
             if len(ws) > BLOCK:
                 done()
                 out.append(np.frombuffer(b"".join(self._block([ws[k : k + BLOCK]])[0] for k in range(0, len(ws), BLOCK)) + tail, self.dtype))
