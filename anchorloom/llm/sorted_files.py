@@ -109,7 +109,9 @@ _open: dict[str, Lookup] = {}
 
 def lookup(index: Index, types: dict[str, str]) -> Lookup:
     """This worker's lookup for the files; only the last few stay mapped."""
-    name = index[0][0] if index else ""
+    if not index:
+        return Lookup(index, types)
+    name = index[0][0]
     if name not in _open:
         while len(_open) > 3:
             _open.pop(next(iter(_open)))

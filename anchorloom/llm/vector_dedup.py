@@ -1,17 +1,21 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 Vectors of one label and length are a space; equal vectors are one class, represented by the smallest vec_id. Centroids
-are fitted on a bounded sample (SAMPLE rows); every class goes to its OVERLAP nearest clusters, clusters beyond SHARD
-vectors to slices. Each shard builds a graph: nearest candidates, pruned robustly (a candidate goes if a kept neighbour
-is ALPHA times nearer to it than the node is), with edges both ways. Adjacency lists of a node's shards are united and written, with the
-vectors, as flat sorted files that workers memory-map. Every class is a query: a greedy search from the shards' medoids
-keeps a beam and expands all nodes in range of the threshold, whatever the beam. Pairs are verified in double precision.
-An audit compares a sample of queries with all vectors; while their average recall is below RECALL the beam doubles, up to
-MOST_BEAM. Where that does not do, all pairs of a space are compared in blocks, which is exact and quadratic.
-
-Defined cases: vectors that are null, empty or zero, hold null or non-finite components, or have a null label or
-vec_id link with nothing (n_links 0, component themselves, kept); rows that share a vec_id are one node, and each counts;
-equal vectors link (cosine 1); an empty table gives an empty result; extra columns are not read.
+are fitted on a bounded sample (SAMPLE rows and SAMPLE_BYTES); every class goes to its OVERLAP nearest clusters, clusters
+beyond SHARD vectors to slices. Each shard builds a graph: nearest candidates, pruned robustly (a candidate goes if a kept
+neighbour is ALPHA times nearer to it than the node is); then edges run both ways and what a node has is pruned again.
+Adjacency lists of a node's shards are united and written, with the vectors, as flat sorted files that workers memory-map.
+Every class is a query: neighbouring queries search together, greedily from their shards' medoids; nodes in any query's
+beam, and all in range of the threshold whatever the beam, are expanded once for the block, and a round's new nodes meet
+the block's queries in one matrix product. Pairs are verified in double precision. An audit compares a sample of queries
+with all vectors; while their average recall is below RECALL the beam doubles, up to MOST_BEAM. Where that does not do, all
+pairs of a space are compared in blocks, which is exact and quadratic.
+
+Defined cases: vectors that are null, empty or zero, hold null or non-finite components, have a squared length outside
+1e-150 to 1e150 (cosines then overflow or vanish in double precision), or have a null label or vec_id link with nothing
+(n_links 0, component themselves, kept); rows that share a vec_id are one node, and each counts; equal vectors link
+(cosine 1); a row without vec_id has no component and is kept; an empty table gives an empty result; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from anchorloom.llm import common, sorted_files
 from anchorloom.llm.graph import components
 
-THRESHOLD, SAMPLE, CLUSTER, SHARD, OVERLAP = 0.93, 50_000, 1000, 3000, 3
+THRESHOLD, SAMPLE, SAMPLE_BYTES, CLUSTER, SHARD, OVERLAP = 0.93, 50_000, 64 << 20, 1000, 3000, 3
 CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 48, 16, 1.2, 12, 0.05
 AUDIT, RECALL, MOST_BEAM, MOST_CLUSTERS = 256, 0.95, 48, 20_000
 
@@ -36,7 +40,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
     """(vec_id, space, k1, k2, v): usable vectors as float64 bytes with a 128-bit key of their values."""
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
     good = good.where("vec_id is not null and label is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    good = good.where("exists(e, x -> x <> 0)").select("vec_id", F.concat_ws("|", F.size("e"), "label").alias("space"), "e")
+    good = good.where("aggregate(e, 0D, (a, x) -> a + x * x) between 1e-150 and 1e150").select("vec_id", F.concat_ws("|", F.size("e"), "label").alias("space"), "e")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -76,20 +80,13 @@ def centroids(sample: list[tuple[str, bytes]], share: float, width: int, seed: i
     return out
 
 
-def prune(x: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Robustly pruned neighbours of each row among its nearest candidates, nearest first."""
-    n = len(x)
-    if n < 2:
-        return [np.empty(0, np.int64)] * n
-    sims = (x @ x.T).astype(np.float32)
-    np.fill_diagonal(sims, -2)
-    k = min(candidates, n - 1)
-    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    mine = np.take_along_axis(sims, near, 1)
+def _robust(sims: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Of each row's candidates (-1: none) those that no kept one covers, nearest first; -1 fills the rest."""
+    rows = np.arange(len(sims))
+    mine = np.where(near >= 0, sims[rows[:, None], near], -2)
     order = np.argsort(-mine, axis=1, kind="stable")
     near, mine = np.take_along_axis(near, order, 1), np.take_along_axis(mine, order, 1)
-    alive, kept = np.ones(near.shape, bool), np.full((n, degree), -1)
-    rows = np.arange(n)
+    alive, kept = near >= 0, np.full((len(sims), degree), -1)
     for d in range(degree):
         first = alive.argmax(1)
         any_left = alive[rows, first]
@@ -100,16 +97,29 @@ def prune(x: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, alp
         apart = 1 - sims[pick[:, None], near]  # squared distances, but for a factor
         alive &= alpha**2 * apart > 1 - mine
         alive[rows, first] = False
-    # Both ways, nearest first, up to twice the degree: what is pruned from all lists would never be reached.
-    a, b = np.repeat(rows, (kept >= 0).sum(1)), kept[kept >= 0]
+    return kept
+
+
+def prune(x: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
+    """Robustly pruned neighbours of each row among its nearest candidates and the rows that kept it, nearest first."""
+    n = len(x)
+    if n < 2:
+        return [np.empty(0, np.int64)] * n
+    sims = (x @ x.T).astype(np.float32)
+    np.fill_diagonal(sims, -2)
+    k = min(candidates, n - 1)
+    kept = _robust(sims, np.argpartition(-sims, k - 1, axis=1)[:, :k], degree, alpha)
+    # Both ways: of those that kept a row the nearest, with its own, are pruned again.
+    a, b = np.repeat(np.arange(n), (kept >= 0).sum(1)), kept[kept >= 0]
     a, b = np.concatenate([a, b]), np.concatenate([b, a])
     edge = np.unique(a * n + b)
     a, b = edge // n, edge % n
     order = np.lexsort((-sims[a, b], a))
     a, b = a[order], b[order]
     place = np.arange(len(a)) - np.searchsorted(a, a, "left")
-    a, b = a[place < 2 * degree], b[place < 2 * degree]
-    return np.split(b, np.searchsorted(a, rows[1:], "left"))
+    both = np.full((n, candidates), -1)
+    both[a[place < candidates], place[place < candidates]] = b[place < candidates]
+    return [r[r >= 0] for r in _robust(sims, both, degree, alpha)]
 
 
 def _assigned(reps: DataFrame, centers: dict[str, np.ndarray], width: int) -> DataFrame:
@@ -132,7 +142,7 @@ def _assigned(reps: DataFrame, centers: dict[str, np.ndarray], width: int) -> Da
 
 
 def _graph(assigned: DataFrame, width: int) -> DataFrame:
-    """(rep, near, medoid): neighbours in each shard as int64 bytes; of its medoid, the shard's name too."""
+    """(rep, space, cluster, near, medoid): neighbours in each shard as int64 bytes; medoid is not null for its medoid."""
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("rep").to_numpy()
@@ -140,76 +150,57 @@ def _graph(assigned: DataFrame, width: int) -> DataFrame:
         ids, raw = ids[order], group.column("v").to_pylist()
         x = unit([raw[i] for i in order], width)
         near, medoid = prune(x), int((x @ x.mean(0)).argmax())
-        name = "|".join(str(group.column(c)[0].as_py()) for c in ("cluster", "slice", "space"))
-        return pa.table([pa.array(ids), pa.array([ids[k].astype("<i8").tobytes() for k in near], pa.binary()), pa.array([name if i == medoid else None for i in range(len(ids))], pa.string())], ["rep", "near", "medoid"])
-
-    return assigned.groupBy("space", "cluster", "slice").applyInArrow(run, "rep long, near binary, medoid string")
-
-
-def search(queries: np.ndarray, starts: list[np.ndarray], index: sorted_files.Lookup, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all nodes found in range. queries: unit vectors; starts: entry nodes of each."""
-    q = np.repeat(np.arange(len(queries)), [len(s) for s in starts])
-    new_q, new_node = q, np.concatenate(starts) if starts else np.empty(0, np.int64)
-    held_q, held_node, held_sim, done = (np.empty(0, t) for t in (np.int64, np.int64, float, bool))
-    while len(new_q):
-        found, rows = index.find(new_node)
-        v = rows["v"]
-        v = v / np.maximum(np.abs(v).max(1, keepdims=True), 1e-300)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        sim = np.einsum("ij,ij->i", queries[new_q], v)
-        held_q, held_node, held_sim, done = np.concatenate([held_q, new_q]), np.concatenate([held_node, new_node]), np.concatenate([held_sim, sim]), np.concatenate([done, ~found])
-        order = np.lexsort((-held_sim, held_q))
-        held_q, held_node, held_sim, done = held_q[order], held_node[order], held_sim[order], done[order]
-        place = np.arange(len(held_q)) - np.searchsorted(held_q, held_q, "left")
-        turn = ~done & ((place < beam) | (held_sim >= threshold - SLACK))
-        if not turn.any():
-            break
-        done |= turn
-        near = index.find(held_node[turn])[1]["near"]
-        pair_q, pair_node = np.repeat(held_q[turn], near.shape[1]), near.ravel()
-        real = pair_node >= 0
-        pair_q, pair_node = pair_q[real], pair_node[real]
-        order = np.lexsort((pair_node, pair_q))
-        pair_q, pair_node = pair_q[order], pair_node[order]
-        first = np.concatenate([[True], (np.diff(pair_q) != 0) | (np.diff(pair_node) != 0)]) if len(pair_q) else np.empty(0, bool)
-        pair_q, pair_node = pair_q[first], pair_node[first]
-        # Not those held already: both lists as single sorted keys.
-        number = np.unique(np.concatenate([held_node, pair_node]))
-        key = lambda a, b: a * len(number) + np.searchsorted(number, b)  # noqa: B023, E731
-        held, asked = np.sort(key(held_q, held_node)), key(pair_q, pair_node)
-        fresh = held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] != asked
-        new_q, new_node = pair_q[fresh], pair_node[fresh]
-    near = held_sim >= threshold - 1e-9
-    return held_q[near], held_node[near]
+        space, cluster = ([group.column(c)[0].as_py()] * len(ids) for c in ("space", "cluster"))
+        return pa.table([pa.array(ids), pa.array(space, pa.string()), pa.array(cluster, pa.int64()), pa.array([ids[k].astype("<i8").tobytes() for k in near], pa.binary()), pa.array([True if i == medoid else None for i in range(len(ids))], pa.bool_())], ["rep", "space", "cluster", "near", "medoid"])
+
+    return assigned.groupBy("space", "cluster", "slice").applyInArrow(run, "rep long, space string, cluster long, near binary, medoid boolean")
+
+
+def search(queries: np.ndarray, starts: np.ndarray, index: sorted_files.Lookup, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, cosine) of all nodes found in range. queries: unit vectors of one space; starts: entry nodes.
+
+    A node's rank in a query's beam only falls as more nodes are met, so only a round's new nodes need be tested."""
+    new, met = np.unique(starts), np.empty(0, np.int64)
+    best = np.full((len(queries), beam), -2.0)
+    out = []
+    while len(new):
+        there, rows = index.find(new)
+        new, v = new[there], rows["v"][there]
+        v = v / np.abs(v).max(1, keepdims=True)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        sims = queries @ v.T
+        met = np.union1d(met, new)
+        best = np.partition(np.concatenate([best, sims], axis=1), -beam, axis=1)[:, -beam:]
+        q, k = np.nonzero(sims >= threshold - 1e-9)
+        out.append((q, new[k], sims[q, k]))
+        turn = (sims >= np.minimum(best.min(1), threshold - SLACK)[:, None]).any(0)
+        near = np.unique(rows["near"][there][turn])
+        new = np.setdiff1d(near[near >= 0], met, assume_unique=True)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows, in double precision, by the plain formula; scaled only where squares could overflow or vanish."""
-    big = np.maximum(np.abs(a).max(1), np.abs(b).max(1))
-    small = np.minimum(np.abs(a).max(1), np.abs(b).max(1))
-    if ((big > 1e100) | (small < 1e-100)).any():
-        a, b = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
+    """Of rows, in double precision, by the plain formula."""
     return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
 
 
-def links(reps: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) -> DataFrame:
-    """(a, b), a < b: pairs of classes found with a cosine of at least threshold. reps: (rep, space, v), written."""
-    spark = reps.sparkSession
+def links(reps: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM, report: dict | None = None) -> DataFrame:
+    """(a, b), a < b: pairs of classes found with a cosine of at least threshold. reps: (rep, space, v), written.
+
+    report gets the audited recall and the beam (0: compared exactly)."""
+    spark, report = reps.sparkSession, {} if report is None else report
     total, longest = reps.agg(F.count("*"), F.max(F.length("v"))).first()
     if not total:
         return spark.createDataFrame([], "a long, b long")
-    width, share = longest // 8, min(1.0, SAMPLE / total)
+    width, rows = longest // 8, min(SAMPLE, SAMPLE_BYTES // longest)
+    share = min(1.0, rows / total)
     sample = reps.where((F.xxhash64("rep", F.lit(11)) % (1 << 20) + (1 << 20)) / float(1 << 21) < share) if share < 1 else reps
-    centers = centroids([(r.space, bytes(r.v)) for r in sample.select("space", "v").limit(2 * SAMPLE).collect()], share, width)
+    centers = centroids([(r.space, bytes(r.v)) for r in sample.select("space", "v").limit(2 * rows).collect()], share, width)
     assigned = common.written(_assigned(reps, centers, width))
     sizes = assigned.groupBy("space", "cluster").count().select("space", "cluster", F.ceil(F.col("count") / SHARD).alias("slices"))
     sliced = assigned.join(sizes, ["space", "cluster"]).withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")))
     graph = common.written(_graph(sliced, width))
-    entries = defaultdict(list)
-    for r in graph.where("medoid is not null").select("rep", "medoid").collect():  # one for each shard
-        cluster, _, space = r.medoid.split("|", 2)
-        entries[space, int(cluster)].append(r.rep)
-    degree = 2 * OVERLAP * DEGREE
+    degree = OVERLAP * DEGREE
     united = graph.groupBy("rep").agg(F.collect_list("near").alias("lists"))
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,39 +215,49 @@ def links(reps: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) -> Da
     types = {"rep": "<i8", "v": f"<f8*{width}", "near": f"<i8*{degree}"}
     whole = reps.select("rep", "v").join(united, "rep").mapInArrow(flat, "rep long, v binary, near binary")
     index = sorted_files.write(whole, common.scratch(spark), types)
-    common.forget(graph)
-    homes = assigned.groupBy("rep").agg(F.max("space").alias("space"), F.collect_set("cluster").alias("clusters"), F.max("v").alias("v"))
-    shared = spark.sparkContext.broadcast(dict(entries))
+    # The medoids of a class's shards; classes of one nearest cluster lie together, however large it is.
+    medoids = graph.where("medoid is not null").select("space", "cluster", F.col("rep").alias("start"))
+    medoids = medoids.groupBy("space", "cluster").agg(F.collect_list("start").alias("starts"))
+    places = assigned.select("rep", "space", "cluster", "rank").join(medoids, ["space", "cluster"])
+    places = places.groupBy("rep").agg(F.min_by("cluster", "rank").alias("home"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    homes = common.written(reps.join(places, "rep").select("rep", "space", "home", "starts", "v"))
+    dealt = homes.repartitionByRange(common.parts(spark), "space", "home", "rep").sortWithinPartitions("space", "home", "rep")
+    common.forget(graph, assigned)
 
     def run_with(wide: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files = sorted_files.lookup(index, types)
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    block = b.slice(at, 256)
-                    ids, spaces, clusters = block.column(0).to_numpy(), block.column(1).to_pylist(), block.column(2).to_pylist()
-                    raw = block.column(3).to_pylist()
-                    starts = [np.unique([m for c in cs for m in shared.value.get((s, c), [])]).astype(np.int64) for s, cs in zip(spaces, clusters, strict=True)]
-                    q, node = search(unit(raw, width), starts, files, threshold, wide)
+                spaces = b.column(1).to_pylist()
+                cuts = sorted({0, *(i for i in range(1, len(spaces)) if spaces[i] != spaces[i - 1]), len(spaces)})
+                for at, end in ((k, min(k + 256, z)) for a, z in zip(cuts[:-1], cuts[1:], strict=True) for k in range(a, z, 256)):
+                    block = b.slice(at, end - at)
+                    ids, raw = block.column(0).to_numpy(), block.column(4).to_pylist()
+                    starts = np.array(list({s for x in block.column(3).to_pylist() for s in x}), np.int64)
+                    q, node, sim = search(unit(raw, width), starts, files, threshold, wide)
                     other = ids[q] != node
-                    q, node = q[other], node[other]
-                    own = np.zeros((len(raw), width))
-                    for i, r in enumerate(raw):
-                        own[i, : len(r) // 8] = np.frombuffer(r, "<f8")
-                    sure = cosine(own[q], files.find(node)[1]["v"]) >= threshold if len(q) else np.empty(0, bool)
+                    q, node, sim = q[other], node[other], sim[other]
+                    near = np.flatnonzero(np.abs(sim - threshold) < 1e-6)  # only there can rounding matter
+                    sure = sim >= threshold
+                    for k in range(0, len(near), 4096):
+                        some = near[k : k + 4096]
+                        own = np.stack([np.frombuffer(raw[i] + bytes(8 * width - len(raw[i])), "<f8") for i in q[some]])
+                        sure[some] = cosine(own, files.find(node[some])[1]["v"]) >= threshold
                     a, z = ids[q[sure]], node[sure]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], ["a", "b"])
 
         return run
 
     while True:
-        found = common.written(homes.mapInArrow(run_with(beam), "a long, b long").distinct())
-        if audit(reps, found, total, width, threshold) >= RECALL:
-            common.forget(assigned)
+        found = common.written(dealt.mapInArrow(run_with(beam), "a long, b long").distinct())
+        report |= {"recall": audit(reps, found, total, width, threshold), "beam": beam}
+        if report["recall"] >= RECALL:
+            common.forget(homes)
             return found
         common.forget(found)
         if beam >= MOST_BEAM:
-            common.forget(assigned)
+            common.forget(homes)
+            report |= {"recall": 1.0, "beam": 0}
             return exact(reps, width, threshold)
         beam *= 2
 
@@ -318,8 +319,10 @@ def audit(reps: DataFrame, found: DataFrame, total: int, width: int, threshold:
     return 1.0 if recall is None else recall
 
 
-def dedup(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row for each row of vectors (vec_id, embedding, label)."""
+def dedup(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM, report: dict | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), one row for each row of vectors (vec_id, embedding, label).
+
+    report gets what links() found in its audit."""
     spark = vectors.sparkSession
     common.ship(spark)
     common.small_batches(spark)
@@ -328,7 +331,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, beam: int = BEAM) ->
     reps = common.written(rows.groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.min("v").alias("v")))
     # A vec_id in several rows may represent several classes; the node's vector is then the one of least key.
     nodes = common.written(reps.groupBy("rep").agg(F.min(F.struct(*keys, "v")).alias("x")).select("rep", "x.space", "x.v"))
-    found = links(nodes, threshold, beam)
+    found = links(nodes, threshold, beam, report)
     size = reps.groupBy("rep").agg(F.max("many").alias("many"))
     both = found.select("a", "b").union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(size, F.col("b") == F.col("rep")).groupBy("a").agg(F.sum("many").alias("linked"))
