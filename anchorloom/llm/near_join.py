@@ -7,8 +7,10 @@
 2. Count-vector R-tree. In each block shingles are hashed into groups; a document is the point of its group counts.
    A packed R-tree keeps coordinate maxima; sums of coordinate minima bound the overlap of nodes and of documents.
    Surviving pairs that are not yet connected are verified on the sets.
-3. Blocks beyond BLOCK documents are dealt in chunks; then one document of each component stands for it; what is still
-   apart is compared chunk by chunk, so no task holds more than two chunks and no link is lost.
+3. Blocks beyond BLOCK documents are dealt in chunks; then one document of each component stands for it. What is still
+   apart is compared by shingle: a link not made yet joins two components that share a shingle of step 1, so only shingles
+   whose documents are in several components are taken, each set of documents once. Their documents meet in chunks too,
+   but for those of one component, so no task holds more than two chunks and no link is lost.
 
 Equal sets are one class from the start. Only components are wanted, so of a class of n linked texts n - 1 links do.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from anchorloom.llm import common
 from anchorloom.llm.graph import components
 
-SHINGLE, PERCENT, GROUPS, LEAF, BLOCK = 5, 75, 64, 16, 512
+SHINGLE, PERCENT, GROUPS, LEAF, BLOCK, SALTS = 5, 75, 64, 16, 512, 16
 
 
 def shingles(text: str | None, hashes: common.WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -130,8 +132,8 @@ def _shared(pieces: DataFrame, buckets: int) -> DataFrame:
     return pieces.groupBy("bucket").applyInArrow(run, "doc_id long, shingle long, df int")
 
 
-def blocks(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """(doc_id, block) of class representatives that may link with another; table: classes() with rep."""
+def prefixes(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, prefix), written: shingles by which class representatives may link. table: classes() with rep."""
     buckets = 16 * common.parts(docs.sparkSession)
     shared = _shared(_pieces(docs, buckets), buckets).groupBy("doc_id").agg(F.collect_list(F.struct("df", "shingle")).alias("shared"))
     reps = table.where("doc_id = rep").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("counted").alias("counted"), F.count("*").alias("texts"))
@@ -139,13 +141,18 @@ def blocks(docs: DataFrame, table: DataFrame) -> DataFrame:
     left = F.expr("n - cast(ceil(75 * n / 100) as bigint) + 1 - (counted - size(shared))")
     take = F.when(F.col("texts") > 1, F.size("shared")).otherwise(F.greatest(left, F.lit(0))).cast("int")
     first = F.slice(F.array_sort("shared"), F.lit(1), take)
-    rows = common.written(shared.join(reps, "doc_id").select("doc_id", F.explode(first).alias("x")).select("doc_id", F.col("x.shingle").alias("shingle")))
-    star = rows.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
-    edges = common.written(rows.join(star, "shingle").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    common.forget(rows)
+    return common.written(shared.join(reps, "doc_id").select("doc_id", F.transform(first, lambda x: x.shingle).alias("prefix")))
+
+
+def blocks(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """(doc_id, block, prefix), written: documents that share shingles of their prefixes, directly or by others."""
+    placed = prefixes(docs, table)
     common.free_shuffles(docs.sparkSession)
-    out = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    common.forget(edges)
+    rows = placed.select("doc_id", F.explode("prefix").alias("shingle"))
+    star = rows.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
+    grown = components(rows.join(star, "shingle").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    out = common.written(placed.join(grown, placed.doc_id == grown.node).select("doc_id", F.col("component").alias("block"), "prefix"))
+    common.forget(placed)
     return out
 
 
@@ -231,62 +238,66 @@ def _linked(rows: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links that connect exactly what all links connect. placed: blocks(), written."""
+    """(a, b), written: verified links that connect exactly what all links connect. placed: blocks()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
 
-    ids = common.written(placed.select("doc_id"))
-    sets = common.written(common.semi(_texts(docs), ids, "doc_id").mapInArrow(run, "doc_id long, shingles binary").where("length(shingles) > 0"))
+    sets = common.written(common.semi(_texts(docs), placed.select("doc_id"), "doc_id").mapInArrow(run, "doc_id long, shingles binary").where("length(shingles) > 0"))
     many = common.written(placed.groupBy("block").count().withColumnRenamed("block", "many_block"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.greatest(F.ceil(F.col("count") / block), F.lit(1)))
-    dealt = placed.join(many, placed.block == many.many_block).select("doc_id", "block", "count", chunk.alias("chunk"))
-    small = sets.join(dealt, "doc_id").select(F.struct("block", "chunk").alias("task"), "doc_id", F.col("doc_id").alias("known"), "shingles")
-    found = common.written(_linked(small))
+    dealt = placed.join(many, placed.block == many.many_block).select("doc_id", F.struct("block", chunk.alias("chunk")).alias("task"), F.col("doc_id").alias("known"))
+    found = common.written(_linked(sets.join(dealt, "doc_id")))
     large = common.written(placed.join(many.where(F.col("count") > block), placed.block == F.col("many_block"), "left_semi"))
-    while large.limit(1).count():
-        grown = components(found)
-        now = common.written(large.join(grown.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "block", F.coalesce("component", "doc_id").alias("known")))
-        open_blocks = now.groupBy("block").agg(F.min("known").alias("k0"), F.max("known").alias("k1")).where("k0 < k1").select("block")
-        large = common.written(now.join(open_blocks, "block", "left_semi"))
-        before = large.select("block", "known").distinct().count()
-        if not before:
-            break
-        # One document for each component, components dealt in chunks by hash.
-        each = common.written(large.groupBy("block").agg(F.count_distinct("known").alias("parts")).withColumnRenamed("block", "each_block"))
-        heads = large.where("doc_id = known").join(each, F.col("block") == F.col("each_block"))
-        heads = heads.withColumn("chunk", F.pmod(F.xxhash64("known", F.lit(before)), F.ceil(F.col("parts") / block)))
-        met = common.written(_linked(sets.join(heads.select("doc_id", "known", F.struct("block", "chunk").alias("task")), "doc_id")))
-        found = common.written(found.union(met))
-        if 2 * met.count() < before:
-            found = common.written(found.union(_across(sets, large, found, block)))
-            break
-        large = large.select("doc_id", "block")
-    common.forget(sets, ids, many)
+    if large.limit(1).count():
+        found = _more(found, _linked(sets.join(_heads(large, found, block), "doc_id")))
+        found = _more(found, _linked(sets.join(_apart(large, found, block), "doc_id")))
+    common.forget(sets, many, large)
     return found
 
 
-def _across(sets: DataFrame, large: DataFrame, found: DataFrame, block: int) -> DataFrame:
-    """Links between documents of large blocks that are still apart: every two chunks meet, but for those of one component."""
-    grown = components(found).withColumnRenamed("node", "doc_id")
-    now = large.select("doc_id", "block").join(grown, "doc_id", "left").select("doc_id", "block", F.coalesce("component", "doc_id").alias("known"))
-    now = common.written(now)
-    size = common.written(now.groupBy("block", "known").count())
-    whole = common.written(size.where(F.col("count") >= block // 2).select(F.col("known").alias("big"), F.ceil(2 * F.col("count") / block).alias("slices")))
-    mixed = now.join(whole, now.known == whole.big, "left")
-    rest = common.written(mixed.where("big is null").groupBy("block").count().select(F.col("block").alias("rest_block"), F.ceil(2 * F.col("count") / block).alias("rest_slices")))
-    mixed = mixed.join(rest, mixed.block == rest.rest_block, "left")
+def _more(found: DataFrame, met: DataFrame) -> DataFrame:
+    out = common.written(found.union(met))
+    common.forget(found)
+    return out
+
+
+def _known(large: DataFrame, found: DataFrame) -> DataFrame:
+    """large with known, the component so far."""
+    grown = components(found).withColumnRenamed("node", "known_id")
+    return common.written(large.join(grown, large.doc_id == grown.known_id, "left").select("doc_id", "block", "prefix", F.coalesce("component", "doc_id").alias("known")))
+
+
+def _heads(large: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """(doc_id, known, task): of each component of a block one document, dealt in chunks."""
+    heads = common.written(_known(large, found).where("doc_id = known").drop("prefix"))
+    each = heads.groupBy("block").agg(F.count("*").alias("parts")).withColumnRenamed("block", "each_block")
+    chunk = F.pmod(F.xxhash64("known", F.lit(1)), F.ceil(F.col("parts") / block))
+    return heads.join(each, heads.block == each.each_block).select("doc_id", "known", F.struct("block", chunk.alias("chunk")).alias("task"))
+
+
+def _apart(large: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """(doc_id, known, task): documents of different components that share a shingle meet, chunk by chunk."""
+    held = _known(large, found).select("doc_id", "known", F.explode("prefix").alias("shingle"))
+    # Each set of documents once, if it is in several components.
+    alike = held.groupBy("shingle").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("key"), F.min("known").alias("k0"), F.max("known").alias("k1"))
+    alike = alike.where("k0 < k1").groupBy("n", "key").agg(F.min("shingle").alias("group"))
+    held = common.written(held.join(alike.select("group"), F.col("shingle") == F.col("group")).select("doc_id", "known", "group"))
+    size = held.groupBy("group", "known").count()
+    whole = common.written(size.where(F.col("count") >= block // 2).select(F.col("group").alias("big_group"), F.col("known").alias("big"), F.ceil(2 * F.col("count") / block).alias("slices")))
+    mixed = held.join(whole, (held.group == whole.big_group) & (held.known == whole.big), "left")
+    rest = common.written(mixed.where("big is null").groupBy("group").count().select(F.col("group").alias("rest_group"), F.ceil(2 * F.col("count") / block).alias("rest_slices")))
+    mixed = mixed.join(rest, mixed.group == rest.rest_group, "left")
     own = F.coalesce("big", F.lit(-1)).alias("own")
     part = F.pmod(F.xxhash64("doc_id"), F.coalesce("slices", "rest_slices")).alias("part")
-    chunks = common.written(mixed.select("doc_id", "block", "known", own, part))
-    names = chunks.select("block", F.struct("own", "part").alias("chunk")).distinct()
-    a, b = names.select("block", F.col("chunk").alias("x")), names.select("block", F.col("chunk").alias("y"))
-    meet = a.join(b, "block").where("x <= y and (x.own <> y.own or x.own = -1)")
-    ends = common.written(meet.select("block", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"), F.struct("block", "x", "y").alias("task")))
-    sent = chunks.select("doc_id", "known", "block", F.struct("own", "part").alias("chunk")).join(ends, ["block", "chunk"])
-    return _linked(sets.join(sent.select("doc_id", "known", "task"), "doc_id"))
+    chunks = common.written(mixed.select("doc_id", "group", "known", F.struct(own, part).alias("chunk")))
+    names = chunks.select("group", "chunk").distinct()
+    a, b = names.select("group", F.col("chunk").alias("x")), names.select("group", F.col("chunk").alias("y"))
+    meet = a.join(b, "group").where("x <= y and (x.own <> y.own or x.own = -1)")
+    ends = meet.select("group", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"), F.struct("group", "x", "y").alias("task"))
+    return chunks.join(ends, ["group", "chunk"]).select("doc_id", "known", "task")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -295,14 +306,19 @@ def join(docs: DataFrame) -> DataFrame:
     common.ship(spark)
     common.small_batches(spark)
     table = common.written(classes(docs))
-    rep = table.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    named = common.written(table.alias("t").join(rep, ["n", "k1", "k2"], "left").select("doc_id", "n", "counted", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
+    # Sets that several rows hold; salted, so that no set's copies are one task's.
+    copies = table.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("n", "k1", "k2", "salt", "least")
+    salted = table.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("least", "doc_id"))
+    named = common.written(salted.join(copies, ["n", "k1", "k2", "salt"], "left").select("doc_id", "n", "counted", rep.alias("rep")))
     common.forget(table)
-    placed = common.written(blocks(docs, named))
+    placed = blocks(docs, named)
     common.free_shuffles(spark)
     found = links(docs, placed)
     same = named.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     grown = components(found.union(same))
+    common.forget(placed, found)
     out = named.join(grown, named.doc_id == grown.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
