@@ -9,8 +9,9 @@
    Surviving pairs that are not yet connected are verified on the sets.
 3. Blocks beyond BLOCK documents are dealt in chunks; then one document of each component stands for it. What is still
    apart is compared by shingle: a link not made yet joins two components that share a shingle of step 1, so only shingles
-   whose documents are in several components are taken, each set of documents once. Their documents meet in chunks too,
-   but for those of one component, so no task holds more than two chunks and no link is lost.
+   whose documents are in several components are taken, each set of documents once. Their points meet in trees, chunk by
+   chunk, but for those of one component; documents that no bound parts from one of another component are sent on with
+   their sets and verified. So no task holds more than two chunks and no link is lost.
 
 Equal sets are one class from the start. Only components are wanted, so of a class of n linked texts n - 1 links do.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from anchorloom.llm import common
 from anchorloom.llm.graph import components
 
-SHINGLE, PERCENT, GROUPS, LEAF, BLOCK, SALTS = 5, 75, 64, 16, 512, 16
+SHINGLE, PERCENT, GROUPS, LEAF, BLOCK, SALTS = 5, 75, 256, 16, 512, 16
 
 
 def shingles(text: str | None, hashes: common.WordHashes, k: int = SHINGLE) -> np.ndarray:
@@ -156,6 +157,11 @@ def blocks(docs: DataFrame, table: DataFrame) -> DataFrame:
     return out
 
 
+def point(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles by group of hashes."""
+    return np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS)
+
+
 class CountTree:
     """A packed R-tree over group counts: leaves of LEAF points in order of size and then of the fullest groups."""
 
@@ -209,9 +215,8 @@ def forest(sets: list[np.ndarray], known: np.ndarray) -> list[tuple[int, int]]:
     for same in np.split(np.argsort(known, kind="stable"), np.flatnonzero(np.diff(np.sort(known))) + 1):
         for x in same[1:]:
             parent[find(int(x))] = find(int(same[0]))
-    counts = np.array([np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets])
     sizes, out = np.array([len(s) for s in sets]), []
-    for i, j, bound in CountTree(counts, sizes).pairs():
+    for i, j, bound in CountTree(np.array([point(s) for s in sets]), sizes).pairs():
         for k in np.argsort(-bound, kind="stable"):
             x, y = int(i[k]), int(j[k])
             if find(x) == find(y):
@@ -237,15 +242,38 @@ def _linked(rows: DataFrame) -> DataFrame:
     return rows.select("task", "doc_id", "known", "shingles").groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b), written: verified links that connect exactly what all links connect. placed: blocks()."""
+def _sets(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(doc_id, shingles, point), written; the counts of a point take 1, 2 or 4 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "shingles"])
+            sets = [shingles(t, hashes) for t in b.column(1).to_pylist()]
+            points = [p.astype("<u1" if p.max() < 1 << 8 else "<u2" if p.max() < 1 << 16 else "<u4") for p in map(point, sets)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in ([s.astype("<u8") for s in sets], points))], ["doc_id", "shingles", "point"])
+
+    near = common.semi(_texts(docs), placed.select("doc_id"), "doc_id")
+    return common.written(near.mapInArrow(run, "doc_id long, shingles binary, point binary").where("length(shingles) > 0"))
+
+
+def _unparted(rows: DataFrame) -> DataFrame:
+    """Of rows (task, doc_id, known, n, point) those whose bound with one of another component of the task reaches the threshold."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        points = [np.frombuffer(p, f"<u{len(p) // GROUPS}").astype(np.int64) for p in group.column("point").to_pylist()]
+        known, near = group.column("known").to_numpy(), np.zeros(len(points), bool)
+        for i, j, _ in CountTree(np.array(points), group.column("n").to_numpy()).pairs():
+            apart = known[i] != known[j]
+            near[i[apart]] = near[j[apart]] = True
+        return group.select(["task", "doc_id", "known"]).filter(pa.array(near))
+
+    kind = rows.select("task").schema["task"].dataType.simpleString()
+    return rows.select("task", "doc_id", "known", "n", "point").groupBy("task").applyInArrow(run, f"task {kind}, doc_id long, known long")
+
 
-    sets = common.written(common.semi(_texts(docs), placed.select("doc_id"), "doc_id").mapInArrow(run, "doc_id long, shingles binary").where("length(shingles) > 0"))
+def links(docs: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), written: verified links that connect exactly what all links connect. placed: blocks()."""
+    sets = _sets(docs, placed)
     many = common.written(placed.groupBy("block").count().withColumnRenamed("block", "many_block"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.greatest(F.ceil(F.col("count") / block), F.lit(1)))
     dealt = placed.join(many, placed.block == many.many_block).select("doc_id", F.struct("block", chunk.alias("chunk")).alias("task"), F.col("doc_id").alias("known"))
@@ -253,7 +281,10 @@ def links(docs: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataFrame:
     large = common.written(placed.join(many.where(F.col("count") > block), placed.block == F.col("many_block"), "left_semi"))
     if large.limit(1).count():
         found = _more(found, _linked(sets.join(_heads(large, found, block), "doc_id")))
-        found = _more(found, _linked(sets.join(_apart(large, found, block), "doc_id")))
+        points = sets.select("doc_id", (F.length("shingles") / 8).cast("long").alias("n"), "point")
+        near = common.written(_unparted(points.join(_apart(large, found, block), "doc_id")))
+        found = _more(found, _linked(sets.join(near, "doc_id")))
+        common.forget(near)
     common.forget(sets, many, large)
     return found
 
@@ -279,25 +310,28 @@ def _heads(large: DataFrame, found: DataFrame, block: int) -> DataFrame:
 
 
 def _apart(large: DataFrame, found: DataFrame, block: int) -> DataFrame:
-    """(doc_id, known, task): documents of different components that share a shingle meet, chunk by chunk."""
-    held = _known(large, found).select("doc_id", "known", F.explode("prefix").alias("shingle"))
+    """(doc_id, known, task): two chunks of a block meet with those documents that share a shingle with another component's.
+
+    A component of half a block or more has chunks of its own, which need not meet each other."""
+    now = _known(large, found)
+    size = now.groupBy("block", "known").count()
+    whole = common.written(size.where(F.col("count") >= block // 2).select(F.col("known").alias("big"), F.ceil(2 * F.col("count") / block).alias("slices")))
+    mixed = now.join(whole, now.known == whole.big, "left")
+    rest = common.written(mixed.where("big is null").groupBy("block").count().select(F.col("block").alias("rest_block"), F.ceil(2 * F.col("count") / block).alias("rest_slices")))
+    mixed = mixed.join(rest, mixed.block == rest.rest_block, "left")
+    own = F.coalesce("big", F.lit(-1)).alias("own")
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("slices", "rest_slices")).alias("part")
+    placed = mixed.select("doc_id", "known", "block", own, part, "prefix")
+    held = common.written(placed.select("doc_id", "known", F.struct("block", "own", "part").alias("chunk"), F.explode("prefix").alias("shingle")))
     # Each set of documents once, if it is in several components.
     alike = held.groupBy("shingle").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("key"), F.min("known").alias("k0"), F.max("known").alias("k1"))
     alike = alike.where("k0 < k1").groupBy("n", "key").agg(F.min("shingle").alias("group"))
-    held = common.written(held.join(alike.select("group"), F.col("shingle") == F.col("group")).select("doc_id", "known", "group"))
-    size = held.groupBy("group", "known").count()
-    whole = common.written(size.where(F.col("count") >= block // 2).select(F.col("group").alias("big_group"), F.col("known").alias("big"), F.ceil(2 * F.col("count") / block).alias("slices")))
-    mixed = held.join(whole, (held.group == whole.big_group) & (held.known == whole.big), "left")
-    rest = common.written(mixed.where("big is null").groupBy("group").count().select(F.col("group").alias("rest_group"), F.ceil(2 * F.col("count") / block).alias("rest_slices")))
-    mixed = mixed.join(rest, mixed.group == rest.rest_group, "left")
-    own = F.coalesce("big", F.lit(-1)).alias("own")
-    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("slices", "rest_slices")).alias("part")
-    chunks = common.written(mixed.select("doc_id", "group", "known", F.struct(own, part).alias("chunk")))
-    names = chunks.select("group", "chunk").distinct()
+    held = common.written(held.join(alike.select("group"), F.col("shingle") == F.col("group")).select("doc_id", "known", "chunk", "group"))
+    names = held.select("group", "chunk").distinct()
     a, b = names.select("group", F.col("chunk").alias("x")), names.select("group", F.col("chunk").alias("y"))
     meet = a.join(b, "group").where("x <= y and (x.own <> y.own or x.own = -1)")
-    ends = meet.select("group", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"), F.struct("group", "x", "y").alias("task"))
-    return chunks.join(ends, ["group", "chunk"]).select("doc_id", "known", "task")
+    ends = meet.select("group", F.explode(F.array_distinct(F.array("x", "y"))).alias("chunk"), F.struct("x", "y").alias("task"))
+    return held.join(ends, ["group", "chunk"]).select("doc_id", "known", "task").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
