@@ -35,9 +35,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's URI below the folder that all executors share (spark.checkpoint.dir; a temporary one only if unset)."""
+    """A new folder's URI below the folder that all executors share (spark.checkpoint.dir; in local mode a temporary one if unset)."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = Path(tempfile.mkdtemp(prefix="anchorloom-checkpoint-")).as_uri()
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/anchorloom/{uuid.uuid4().hex}"

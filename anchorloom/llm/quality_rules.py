@@ -76,12 +76,12 @@ def strata(stats: DataFrame, labels: DataFrame) -> DataFrame:
 
 def thresholds(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(_rule_stratum, _rule_cutoffs): for each stratum a map from rule to certified cutoff; at most STRATA + 1 rows."""
-    labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    held = stats.join(labels, "doc_id").where("not base_failed")
+    labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_rule_quality")).withColumnRenamed("doc_id", "_rule_doc")
+    held = stats.join(labels, F.col("doc_id") == F.col("_rule_doc")).where("not base_failed")
     # How many grid cutoffs the statistic exceeds says which of them reject the document.
     level = lambda rule: F.size(F.filter(F.array(*[F.lit(x) for x in grid(rule)]), lambda c: F.col(f"_rule_{rule}") > c))
-    cells = held.select("_rule_stratum", "quality", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), level(k).alias("level")) for k in RULES])).alias("x"))
-    counts = cells.groupBy("_rule_stratum", "x.rule", "x.level").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    cells = held.select("_rule_stratum", "_rule_quality", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), level(k).alias("level")) for k in RULES])).alias("x"))
+    counts = cells.groupBy("_rule_stratum", "x.rule", "x.level").agg(F.count_if(F.col("_rule_quality") == 1).alias("good"), F.count_if(F.col("_rule_quality") == 0).alias("bad"))
     at = counts.withColumns({"n_good": F.sum("good").over(W.partitionBy("_rule_stratum", "rule")), "n_bad": F.sum("bad").over(W.partitionBy("_rule_stratum", "rule"))})
     each = at.groupBy("_rule_stratum", "rule", "n_good", "n_bad").agg(F.collect_list(F.struct("level", "good", "bad")).alias("levels"))
     each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("cut"))

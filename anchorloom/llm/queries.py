@@ -19,7 +19,10 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = pd.spans(table(spark, sf_dir, "documents"))
     count = lambda k: F.expr(f"cast(size(filter(_pii_spans, x -> x.k = {k})) as bigint)").alias(f"n_{pd.KINDS[k]}")
-    return made.select("doc_id", *map(count, range(len(pd.BASE))), F.sha2(pd.named(base=True).cast("binary"), 256).alias("base_sha256"), pd.named(base=False).alias("spans"))
+    return made.select(
+        "doc_id", *map(count, range(len(pd.BASE))), F.sha2(pd.named(base=True).cast("binary"), 256).alias("base_sha256"), pd.named(base=False).alias("spans"),
+        *map(count, range(len(pd.BASE), len(pd.KINDS))), F.size("_pii_spans").cast("long").alias("n_spans"),
+    )
 
 
 def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
