@@ -110,7 +110,8 @@ def remove(docs: DataFrame, size: int = 20, gram: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(doc[first]), pa.array(place[first]), pa.array(many, pa.int64())], ["node", "doc", "at", "many"])
 
     suffixes = docs.mapInArrow(leaves, "node long, doc long, at int, many long")
-    nodes = suffixes.groupBy("node").agg(F.min("doc").alias("doc"), F.min_by("at", "doc").alias("at"), F.sum("many").alias("many")).where("many > 1")
+    # The least place of the least document, also where rows share a doc_id.
+    nodes = suffixes.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("many").alias("many")).where("many > 1").select("node", "first.doc", "first.at")
     firsts = sorted_files.write(nodes, common.scratch(spark), NODES)
     common.free_shuffles(spark)
 
