@@ -11,6 +11,7 @@ from anchorloom.operators.sampling import sample_exact, sample_fraction
 
 PAIR = ["chr", "x", "x_start", "x_end", "y", "y_start", "y_end", CELL]
 SEED, RATIO, RADIUS, MOST_REGIONS, LONG = 42, 5, 2500, 1000, 1_000_000
+MOST_KNOWN = 500_000
 MODES = ("anchors_from_other_cell_types", "new_pairs_of_anchors", "open_chromatin_regions", "new_pairs_and_open_chromatin", "FLY_short_loops_as_negatives")
 
 
@@ -35,8 +36,10 @@ def ordered_pairs(centers: DataFrame, keys: tuple[str, ...] = (CELL, "chr"), rad
 
 
 def without_known(candidates: DataFrame, positives: DataFrame) -> DataFrame:
-    """Candidates that are no positive pair."""
-    return candidates.join(positives.select(CELL, "chr", "x", "y").distinct(), [CELL, "chr", "x", "y"], "left_anti")
+    """Candidates that are no positive pair; up to MOST_KNOWN pairs are broadcast, as candidates are quadratic."""
+    known = positives.select(CELL, "chr", "x", "y").distinct()
+    some = known.limit(MOST_KNOWN + 1).count() <= MOST_KNOWN
+    return candidates.join(F.broadcast(known) if some else known, [CELL, "chr", "x", "y"], "left_anti")
 
 
 def finished(pairs: DataFrame, label: int, radius: int = RADIUS) -> DataFrame:
@@ -56,7 +59,8 @@ def positives(loops: DataFrame) -> DataFrame:
 def _quota(candidates: DataFrame, sizes: DataFrame, strata: list[str], seed: int) -> DataFrame:
     """As many candidates of each stratum as `want` in sizes says; strata not in sizes give none."""
     wanted = candidates.join(F.broadcast(sizes), strata)  # sizes: a row for each cell (and chromosome)
-    return sample_exact(wanted, [*strata, "x", "y"], seed, F.col("want"), [*strata, "want"]).drop("want")
+    # The same (x, y) lies on many chromosomes.
+    return sample_exact(wanted, [*strata, "x", "y"], seed, F.col("want"), [*strata, "want"], ties=["chr"]).drop("want")
 
 
 def _cells(loops: DataFrame, ratio: float, keys: list[str]) -> DataFrame:

@@ -15,11 +15,17 @@ def order_hash(seed: int, key: list[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
-def sample_exact(df: DataFrame, key: list[str], seed: int, quota: Column | int, strata: list[str] | None = None, keep: bool = False) -> DataFrame:
+#: Cuts (at most 4,096 a stratum) up to which they are broadcast; beyond, they are joined by a shuffle.
+MOST_CUTS = 200_000
+
+
+def sample_exact(df: DataFrame, key: list[str], seed: int, quota: Column | int, strata: list[str] | None = None, keep: bool = False, ties: list[str] | None = None) -> DataFrame:
     """The first quota rows of each stratum; quota may use n, the stratum's number of rows. keep=True keeps all rows, with
-    column chosen. Fewer rows than the quota: all are taken."""
+    column chosen. Fewer rows than the quota: all are taken. Rows of one key come in order of the columns in ties.
+
+    The cuts are found when this is called; then rows past them go before anything is shuffled."""
     strata = strata or []
-    tagged = df.withColumn("_hash", order_hash(seed, key)).withColumn("_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
+    tagged = df.withColumn("_hash", order_hash(seed, key)).withColumn("_bucket", F.substring("_hash", 1, 3))
     sums = tagged.groupBy(*strata, "_bucket").agg(F.count("*").alias("_many"))
     line = W.partitionBy(*strata).orderBy("_bucket") if strata else W.orderBy("_bucket")
     whole = W.partitionBy(*strata) if strata else W.partitionBy(F.lit(0))
@@ -27,13 +33,14 @@ def sample_exact(df: DataFrame, key: list[str], seed: int, quota: Column | int,
     quota = F.lit(quota) if isinstance(quota, int) else quota
     sums = sums.withColumn("_left", (quota - F.col("_through") + F.col("_many")).cast("long"))
     cuts = sums.select(*[F.col(s).alias(f"_s_{s}") for s in strata], F.col("_bucket").alias("_b"), "_left", "_many")
-    at = (F.col("_bucket") == F.col("_b"))
+    if not keep:
+        found = cuts.where("_left > 0").limit(MOST_CUTS + 1).collect()
+        cuts = F.broadcast(df.sparkSession.createDataFrame(found, cuts.schema)) if len(found) <= MOST_CUTS else cuts.where("_left > 0")
+    at = F.col("_bucket") == F.col("_b")
     for s in strata:
         at = at & F.col(s).eqNullSafe(F.col(f"_s_{s}"))
     placed = tagged.join(cuts, at)
-    if not keep:
-        placed = placed.where(F.col("_left") > 0)  # rows of later buckets go before anything is ranked
-    rank = F.row_number().over(W.partitionBy(*strata, "_bucket").orderBy("_hash", *key))
+    rank = F.row_number().over(W.partitionBy(*strata, "_bucket").orderBy("_hash", *key, *(ties or [])))
     out = placed.withColumn("chosen", rank <= F.col("_left"))
     return out.select(*df.columns, "chosen") if keep else out.where("chosen").select(*df.columns)
 

@@ -177,7 +177,7 @@ def _plain(df: DataFrame) -> DataFrame:
     free as (select * from others o where not exists (select 1 from anchors b where b.cell_type = o.cell_type and b.chr = o.chr and o.start < b."end" and b.start < o."end")),
     ranked as (select *, row_number() over (partition by cell_type order by {HASH.format('cell_type, chr, center')}, cell_type, chr, center) rk, count(*) over (partition by cell_type) n from free),
     half as (select * from ranked where rk <= round_even(n * 0.5, 0)), {CAND2.format('half')}, want as (select cell_type, cast(floor(count(*) * 5) as bigint) w from loops group by 1),
-    picked as (select c.*, w.w, row_number() over (partition by c.cell_type order by {HASH.format('c.cell_type, c.x, c.y')}, c.cell_type, c.x, c.y) rn from cand c join want w on c.cell_type = w.cell_type)
+    picked as (select c.*, w.w, row_number() over (partition by c.cell_type order by {HASH.format('c.cell_type, c.x, c.y')}, c.cell_type, c.x, c.y, c.chr) rn from cand c join want w on c.cell_type = w.cell_type)
     {POS} union all {NEG_TAIL} picked where rn <= w""", "loops")
 def neg_n1(spark, d):
     return _plain(pairs.add_labels(_unique_pairs(spark, d), pairs.MODES[0]))
