@@ -12,6 +12,8 @@ from anchorloom.operators.sampling import sample_exact, sample_fraction
 PAIR = ["chr", "x", "x_start", "x_end", "y", "y_start", "y_end", CELL]
 SEED, RATIO, RADIUS, MOST_REGIONS, LONG = 42, 5, 2500, 1000, 1_000_000
 MOST_KNOWN = 500_000
+#: Tasks of a quadratic join for each shuffle partition.
+SPREAD = 4
 MODES = ("anchors_from_other_cell_types", "new_pairs_of_anchors", "open_chromatin_regions", "new_pairs_and_open_chromatin", "FLY_short_loops_as_negatives")
 
 
@@ -28,8 +30,10 @@ def sort_pairs(df: DataFrame, by: str = "x_start", organism: str = "human") -> D
 def ordered_pairs(centers: DataFrame, keys: tuple[str, ...] = (CELL, "chr"), radius: int | None = RADIUS, salt: int = 8) -> DataFrame:
     """All (x, y), x < y, of one cell and chromosome; with a radius only where windows do not touch.
 
-    The number of pairs is quadratic by definition; salting the left side spreads a large chromosome over tasks."""
-    left = centers.select(*keys, F.col("center").alias("x")).distinct().withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(salt)))
+    The number of pairs is quadratic by definition; salting the left side spreads a large chromosome over tasks. The
+    sides' partitions are numbered outright, as adaptive coalescing goes by their bytes and would leave all to one task."""
+    tasks = SPREAD * int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = centers.select(*keys, F.col("center").alias("x")).distinct().withColumn("_salt", F.pmod(F.xxhash64("x"), F.lit(salt))).repartition(tasks, *keys, "_salt")
     right = centers.select(*keys, F.col("center").alias("y")).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<bigint>")))
     met = left.join(right, [*keys, "_salt"]).where(F.col("x") < F.col("y")).drop("_salt")
     return met if radius is None else met.where(apart(radius))
