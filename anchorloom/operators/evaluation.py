@@ -56,5 +56,6 @@ def quantiles(df: DataFrame, by: str, column: str, at: tuple[float, ...] = (0.25
     return df.groupBy(by).agg(F.min(column).alias("lowest"), *[F.percentile(column, q).alias(f"q{int(100 * q)}") for q in at], F.max(column).alias("highest"))
 
 
-def top(df: DataFrame, by: str, n: int = 20) -> DataFrame:
-    return df.orderBy(F.desc(by)).limit(n)
+def top(df: DataFrame, by: str, n: int = 20, ties: list[str] | None = None) -> DataFrame:
+    """The n rows of largest `by`; equal ones in order of the columns in ties."""
+    return df.orderBy(F.desc(by), *(ties or [])).limit(n)

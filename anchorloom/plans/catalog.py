@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from anchorloom.functions.genomic import CELL, anchor_name, apart, bare_chr, chromosome_rank, log10p1, middle_even, middle_floor, windowed
 from anchorloom.operators import evaluation as ev
 from anchorloom.operators import features, intervals, motifs, pairs, sampling, signal
-from anchorloom.plans.fixtures import load, sequences, with_clause
+from anchorloom.plans.fixtures import load, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -306,15 +307,16 @@ def signal_normalised(spark, d):
 COUNTS = {"M1": np.array([[9, 0, 0, 0], [0, 9, 0, 9], [0, 0, 9, 0], [0, 0, 0, 0]]), "M2": np.array([[0, 9, 0, 4, 0], [0, 0, 0, 4, 9], [9, 0, 0, 0, 0], [0, 0, 9, 1, 0]])}
 WEIGHTS = {m: motifs.weights(c) for m, c in COUNTS.items()}
 CUTS = {"M1": 500, "M2": 600}
-_PWM = ", ".join(f"('{m}', '{s}', {k}, '{b}', {int(x[i, k])})" for m, w in WEIGHTS.items() for s, x in (("+", w), ("-", w[::-1, ::-1])) for k in range(w.shape[1]) for i, b in enumerate("ACGT"))
-HITS = f"""pwm(motif_id, strand, k, base, w) as (values {_PWM}), lens as (select motif_id, strand, max(k) + 1 l from pwm group by 1, 2),
-    places as (select s.doc_id, s.seq, l.motif_id, l.strand, l.l, p.i from seqs s join lens l on true join range(200) p(i) on p.i <= length(s.seq) - l.l),
-    hits as (select doc_id name, q.motif_id, q.strand, i pos, cast(sum(w) as bigint) score from places q join pwm w on w.motif_id = q.motif_id and w.strand = q.strand and w.base = substr(q.seq, cast(q.i + w.k + 1 as bigint), 1)
-        group by 1, 2, 3, 4 having sum(w) >= case q.motif_id when 'M1' then 500 else 600 end)"""
+_WORDS = [(m, strand, "".join(word), int(sum(w["ACGT".index(x), k] for k, x in enumerate(word)))) for m, both in WEIGHTS.items() for strand, w in (("+", both), ("-", both[::-1, ::-1])) for word in product("ACGT", repeat=both.shape[1])]
+_KMERS = ", ".join(str(x) for x in _WORDS if x[3] >= CUTS[x[0]])
+_CUT = " union all ".join(f"select doc_id, {o} o, {n} l, regexp_extract_all(substr(seq, {o + 1}), '.{{{n}}}') parts from seqs" for n in sorted({w.shape[1] for w in WEIGHTS.values()}) for o in range(n))
+# The words that reach the cutoff are listed, and all words of the texts are met with them.
+HITS = f"""kmers(motif_id, strand, word, score) as (values {_KMERS}), cut_ as ({_CUT}), placed as (select doc_id, o, l, unnest(parts) word, generate_subscripts(parts, 1) - 1 j from cut_),
+    hits as (select doc_id name, motif_id, strand, cast(o + l * j as bigint) pos, cast(score as bigint) score from placed join kmers using (word))"""
 
 
 def _hits(spark, d):
-    return motifs.scan(sequences(spark, d), WEIGHTS, CUTS, "doc_id", "seq")
+    return motifs.scan(load(spark, d, "seqs"), WEIGHTS, CUTS, "doc_id", "seq")
 
 
 @query(f"--cte {HITS} select * from hits", "seqs")
@@ -327,10 +329,17 @@ def motif_pivot(spark, d):
     return motifs.motif_pivot(_hits(spark, d), list(COUNTS), ["name"])
 
 
+def _documents(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+_SPOT = "((center {div} 1000) * 131 + ascii(chr) * 17 + ascii(cell_type)) % {n}"
+
+
 def _spot_counts(spark, d):
-    """Anchors with the motif counts of the document whose id their centre gives."""
+    """Anchors with the motif counts of the document whose id follows from their place."""
     wide = motifs.motif_pivot(_hits(spark, d), list(COUNTS), ["name"])
-    spots = _spots(spark, d).withColumn("name", F.expr("(center div 1000) % 1300"))
+    spots = _spots(spark, d).withColumn("name", F.expr(_SPOT.format(div="div", n=_documents(spark, d))))
     return spots.join(wide, "name").select(CELL, "chr", "start", "end", *motifs.names(list(COUNTS)))
 
 
@@ -338,19 +347,24 @@ _W = ", ".join(f"count(*) filter (motif_id = '{m}' and strand = '{s}') as {m}_{t
 _XY = ", ".join(f"case when a.chr is null or b.chr is null then 0 else {q}.{m}_{t if q == 'a' else {'f': 'r', 'r': 'f'}[t]} end as {p}_{m}_{t}" for q, p in (("a", "x"), ("b", "y")) for m in COUNTS for t in "fr")
 
 
-@query(f"""--cte {ANCHORS}, {HITS}, wide as (select name, {_W} from hits group by 1), sc as (select a.cell_type, a.chr, a.start, w.* from anchors a join wide w on (a.center // 1000) % 1300 = w.name)
+_SC = f"""wide as (select name, {_W} from hits group by 1), sc as (select a.cell_type, a.chr, a.start, w.* from {{0}} a join wide w on {_SPOT.format(div='//', n='(select count(*) from documents)')} = w.name)"""
+
+
+@query(f"""--cte {ANCHORS}, {HITS}, {_SC.format('anchors')}
     select p.cell_type, p.chr, p.x, p.y, {_XY} from loops p left join sc a on a.cell_type = p.cell_type and a.chr = p.chr and a.start = p.x_start left join sc b on b.cell_type = p.cell_type and b.chr = p.chr and b.start = p.y_start""", "loops", "seqs")
 def motif_merge(spark, d):
     return motifs.motif_merge(_loops(spark, d).select(CELL, "chr", "x", "y", "x_start", "x_end", "y_start", "y_end"), _spot_counts(spark, d), list(COUNTS)).drop("x_start", "x_end", "y_start", "y_end")
 
 
-@query("""select 's' || s.doc_id chr, o_orderkey % 150 as start, o_orderkey % 150 + 20 as "end", 'n' || o_orderkey as name, substr(s.seq, cast(o_orderkey % 150 + 1 as bigint), 20) seq from orders o join seqs s on s.doc_id = o.o_custkey % 500""", "seqs")
+@query("""select 's' || s.doc_id chr, o_orderkey % greatest(length(seq) - 19, 1) as start, o_orderkey % greatest(length(seq) - 19, 1) + 20 as "end", 'n' || o_orderkey as name,
+    substr(s.seq, cast(o_orderkey % greatest(length(seq) - 19, 1) + 1 as bigint), 20) seq from orders o join seqs s on s.doc_id = o.o_orderkey % (select count(*) from documents)""", "seqs")
 def sequence_slice(spark, d):
-    genome = sequences(spark, d).select(F.concat(F.lit("s"), "doc_id").alias("chr"), "seq")
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    start = F.col("o_orderkey") % 150
-    parts = o.select(F.concat(F.lit("s"), (F.col("o_custkey") % 500).cast("string")).alias("chr"), start.alias("start"), (start + 20).alias("end"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"))
-    return motifs.slices(parts, genome)
+    seqs = load(spark, d, "seqs")
+    o = spark.read.parquet(f"{d}/orders.parquet").withColumn("doc_id", F.col("o_orderkey") % _documents(spark, d))
+    start = F.col("o_orderkey") % F.greatest(F.col("letters") - 19, F.lit(1))
+    o = o.join(seqs.select("doc_id", F.length("seq").alias("letters")), "doc_id")
+    parts = o.select(F.concat(F.lit("s"), "doc_id").alias("chr"), start.alias("start"), (start + 20).alias("end"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"))
+    return motifs.slices(parts, seqs.select(F.concat(F.lit("s"), "doc_id").alias("chr"), "seq"))
 
 
 # Sets and columns.
@@ -426,7 +440,7 @@ def count_by_predicate(spark, d):
 
 @query("select p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 20")
 def top_features(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
+    return ev.top(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_retailprice"), "p_retailprice", 20, ["p_partkey"])
 
 
 # Whole tables and models.
@@ -435,11 +449,27 @@ def top_features(spark, d):
 def _assembled(spark, d, mode):
     from anchorloom.plans import workflow
 
-    return workflow.assemble(_loops(spark, d), mode, {"CTCF": _peaks(spark, d)}, {"DNase": load(spark, d, "runs")}, _spot_counts(spark, d), list(COUNTS))
+    out = workflow.assemble(_loops(spark, d), mode, {"CTCF": _peaks(spark, d)}, {"DNase": load(spark, d, "runs")}, _spot_counts(spark, d), list(COUNTS))
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) if t == "string" else F.col(c).cast("long").alias(c) for c, t in out.dtypes])
+
 
+_AT = "{0}.cell_type = p.cell_type and {0}.chr = p.chr and {0}."
+_SIDES = ", ".join(f"c{s}.n {s}_CTCF_counts, n{s}.dist {s}_CTCF_distance, " + ", ".join(f"""round(s{s}."{m}" / v.l, 6) "{s}_DNase_{m}\"""" for m in signal.STATS) for s in "xy")
+_JOINS = " ".join(f"""join cnt c{s} on {_AT.format(f'c{s}')}start = p.{s}_start join near n{s} on {_AT.format(f'n{s}')}center = p.{s} join stats s{s} on {_AT.format(f's{s}')}start = p.{s}_start""" for s in "xy")
+FEATURES = f"""lab as materialized (select {PAIRS}, max(label) as label from lab0 group by {PAIRS}), {DENSE.replace(ANCHORS, ANCHORS.replace('loops', 'lab'))},
+    cnt as (select a.cell_type, a.chr, a.start, count(p.start) n from (select distinct cell_type, chr, start, "end" from anchors) a left join peaks p on a.cell_type = p.cell_type and a.chr = p.chr and a.start < p."end" and p.start < a."end" group by 1, 2, 3),
+    near as (select a.cell_type, a.chr, a.center, min(greatest(0, p.start - a.center, a.center - p."end")) dist from (select distinct cell_type, chr, center from anchors) a join peaks p on a.cell_type = p.cell_type and a.chr = p.chr group by 1, 2, 3),
+    level as (select cell_type, avg(mean) l from stats group by 1), {ANCHORS.replace('anchors', 'own')}, {HITS}, {_SC.format('own')},
+    hit as materialized (select distinct p.cell_type, p.chr, p.x, p.y from lab p join lab q on q.cell_type = p.cell_type and q.chr = p.chr and p.x_start < q.x_end and q.x_start < p.x_end and p.y_start < q.y_end and q.y_start < p.y_end
+        where p.label = 0 and q.label = 1)
+    select p.*, p.y - p.x distance, {_SIDES}, {_XY} from lab p join level v on v.cell_type = p.cell_type {_JOINS}
+    left join sc a on {_AT.format('a')}start = p.x_start left join sc b on {_AT.format('b')}start = p.y_start
+    where not exists (select 1 from hit h where h.cell_type = p.cell_type and h.chr = p.chr and h.x = p.x and h.y = p.y)"""
 
 for _name, _mode in (("human_n1", 0), ("human_n2", 1), ("human_n3", 2), ("fly_n4", 4)):
     QUERIES[f"features_{_name}"] = lambda spark, d, m=_mode: _assembled(spark, d, pairs.MODES[m])
+    _labels = ORACLE_SQL[f"neg_{_name.rpartition('_')[2]}"]
+    ORACLE_SQL[f"features_{_name}"] = f"{with_clause('loops', 'peaks', 'runs', 'seqs')}, lab0 as ({_labels}), {FEATURES}"
 
 
 def _model_input(spark, d):
@@ -477,8 +507,3 @@ def tune(spark, d):
 
     best, score = training.optimise(_model_input(spark, d), "decision_tree", ["doc_id"], trials=3)
     return spark.createDataFrame([(k, str(v), score) for k, v in sorted(best.items())] or [("default", "", score)], "parameter string, value string, score double")
-
-
-# Over whole texts SQL takes too long for these; tests/test_whole_sequences.py holds them against brute force.
-for _slow in ("motif_scan", "motif_pivot", "motif_merge"):
-    ORACLE_SQL.pop(_slow)

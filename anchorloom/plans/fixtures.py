@@ -28,7 +28,7 @@ def sql(duckdb: bool = False) -> dict[str, str]:
             (l_orderkey*6101 + l_partkey*37) % 3500000 + 150 + (l_suppkey*13) % 900 as {end} from lineitem""",
         "runs": f"""select {_cell(f'(event_id {div} 24)')} cell_type, {_chr('event_id')} chr, (event_id {div} 72)*25200 as start,
             (event_id {div} 72)*25200 + 12000 + (event_id*37) % 12000 as {end}, value from events""",
-        "seqs": f"""select doc_id, substr(translate(regexp_replace(text,'[^a-z]',''{all_}),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC'),1,200) seq from documents""",
+        "seqs": f"""select doc_id, translate(regexp_replace(text,'[^a-z]',''{all_}),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC') seq from documents""",
         "preds": """select d.lang grp, l.quality label, case when d.n_chars > 800 then 1 else 0 end pred from labels l join documents d on d.doc_id = l.doc_id""",
         "chain": f"""select * from (values ('1', 0, 400000, '2', 1000000, '+'), ('1', 400000, 900000, '2', 0, '-'), ('2', 100000, 700000, 'X', 5000, '+'), ('3', 0, 3000000, '3', 77, '-'))
             v(chr, start, {end}, to_chr, to_start, strand)""",
@@ -48,12 +48,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, seq): seqs over whole texts. The SQL's seqs end at 200 letters."""
-    letters = F.regexp_replace("text", "[^a-z]", "")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
-
-
 def with_clause(*names: str) -> str:
     made = sql(duckdb=True)
     return "with " + ", ".join(f"{n} as ({made[n]})" for n in names)

@@ -12,7 +12,8 @@ def assemble(loops: DataFrame, mode: str, peaks: dict[str, DataFrame], tracks: d
     """One row for each labelled pair with all features; a lazy plan over whole tables, all cells at once.
 
     Peaks of the first experiment that covers open chromatin feed the modes that need them."""
-    labelled = pairs.add_labels(loops, mode, next(iter(peaks.values()), None), **labelling).dropDuplicates(pairs.PAIR).persist()  # every branch starts from it
+    made = pairs.add_labels(loops, mode, next(iter(peaks.values()), None), **labelling)
+    labelled = made.groupBy(*pairs.PAIR).agg(F.max("label").alias("label")).persist()  # every branch starts from it; a pair with both labels is a loop
     out = features.with_distance(labelled)
     spots = pairs.anchors(labelled)
     for name, table in peaks.items():
