@@ -85,6 +85,30 @@ class Lookup:
         return there[back], {k: v[back] for k, v in values.items()}
 
 
+def find_checked(look: Lookup, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """As Lookup.find() for files whose keys may repeat: the row whose "check" agrees too. Rows of one key are in one part."""
+    there = np.zeros(len(keys), bool)
+    values = {k: np.zeros(len(keys), t) for k, t in look.types.items() if k not in (look.key, "check")}
+    if not len(look.firsts) or not len(keys):
+        return there, values
+    order = np.argsort(keys, kind="stable")
+    part = np.searchsorted(look.firsts, keys[order], "right") - 1
+    for i in np.unique(part[part >= 0]).tolist():
+        own, columns = order[part == i], look._part(i)
+        at, size = np.searchsorted(columns[look.key], keys[own]), len(columns[look.key])
+        while len(own):
+            same = at < size
+            own, at = own[same], at[same]
+            same = columns[look.key][at] == keys[own]
+            own, at = own[same], at[same]
+            hit = columns["check"][at] == checks[own]
+            there[own[hit]] = True
+            for k in values:
+                values[k][own[hit]] = columns[k][at[hit]]
+            own, at = own[~hit], at[~hit] + 1
+    return there, values
+
+
 def summed(keys: Iterator[np.ndarray], hold: int = 4_000_000, rows: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct keys and how often they occur, summed over up to `hold` keys: combined before any shuffle."""
     held, n = [], 0

@@ -5,7 +5,8 @@ Suffix trees cut at depth 20, partitioned by prefix, with fingerprints on their
    anchors, and about one gram in seven is one. Suffixes can only repeat where the anchor occurs twice, so others never
    enter a tree. Anchor counts are summed in Spark.
 2. Subtrees. A window that has a repeated anchor is a suffix; its key is a fingerprint of its first eight words followed
-   by one of all twenty. Keys are range-partitioned: bounds found from the data are variable-length (bit) prefixes that
+   by one of all twenty, and a second fingerprint of all twenty from other hashes, 64 bits more, tells apart windows that
+   share a key. Keys are range-partitioned: bounds found from the data are variable-length (bit) prefixes that
    hold as many suffixes each. In key order suffixes of a common prefix are neighbours, and a node of depth 20 with two
    leaves is a repeat; what is kept of it is its first leaf. Leaves of a node combine before the shuffle, so a passage
    in a third of all documents sends one row from each batch.
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from anchorloom.llm import common, sorted_files
 
 LAST = (1 << 63) - 1
-ANCHORS, NODES = {"anchor": "<i8"}, {"node": "<i8", "doc": "<i8", "at": "<i4"}
+OTHER = 0x5851F42D4C957F2D
+ANCHORS, NODES = {"anchor": "<i8"}, {"node": "<i8", "check": "<i8", "doc": "<i8", "at": "<i4"}
 
 
 class Windows:
@@ -60,10 +62,20 @@ class Windows:
         self.anchors = h[at[first]].astype(np.int64)
         self.many = np.diff(np.concatenate([first, [self.n]]))
 
-    def nodes(self) -> np.ndarray:
-        """Keys: 24 bits of the prefix and 40 of the whole window."""
+    def nodes(self, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the windows that start at these places: 24 bits of the prefix and 40 of the whole window, of which the
+        first `bits` are kept, and a fingerprint of 64 more bits from other hashes of the words."""
+        if not len(at):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         whole = common.grams(self.hashes, self.size)
-        return ((self.prefix[: self.n] & ~np.uint64((1 << 40) - 1)) | (whole >> np.uint64(24))).astype(np.int64)
+        node = (self.prefix[: self.n] & ~np.uint64((1 << 40) - 1)) | (whole >> np.uint64(24))
+        check = common.grams(common.mix(self.hashes ^ np.uint64(OTHER)), self.size)
+        return (node[at] & ~np.uint64((1 << (64 - bits)) - 1)).astype(np.int64), check[at].astype(np.int64)
+
+
+def _keys(found: list[Windows], at: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    made = [w.nodes(a, bits) for w, a in zip(found, at, strict=True)]
+    return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
 
 
 def _batches(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[tuple[list, list[list[bytes]], list[Windows]]]:
@@ -82,8 +94,10 @@ def _flagged(found: list[Windows], index: sorted_files.Index) -> list[np.ndarray
     return [np.flatnonzero(np.repeat(there[e - len(w.anchors) : e], w.many)) for w, e in zip(found, ends, strict=True)]
 
 
-def remove(docs: DataFrame, size: int = 20, gram: int = 8) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of each row of docs: kept is the text that stays, words joined by spaces."""
+def remove(docs: DataFrame, size: int = 20, gram: int = 8, bits: int = 64) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of each row of docs: kept is the text that stays, words joined by spaces.
+
+    bits of the nodes' keys are kept; with few, different windows share a key and only their checks part them."""
     spark = docs.sparkSession
     common.ship(spark)
     common.small_batches(spark)
@@ -101,25 +115,26 @@ def remove(docs: DataFrame, size: int = 20, gram: int = 8) -> DataFrame:
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, found in _batches(batches, size, gram):
             at = _flagged(found, index)
-            node = np.concatenate([w.nodes()[a] if len(a) else np.empty(0, np.int64) for w, a in zip(found, at, strict=True)])
+            node, check = _keys(found, at, bits)
             doc = np.repeat(np.array([LAST if d is None else d for d in ids], np.int64), [len(a) for a in at])
             place = np.concatenate(at).astype(np.int32)
-            order = np.lexsort((place, doc, node))
-            node, doc, place = node[order], doc[order], place[order]
-            _, first, many = np.unique(node, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(doc[first]), pa.array(place[first]), pa.array(many, pa.int64())], ["node", "doc", "at", "many"])
+            order = np.lexsort((place, doc, check, node))
+            node, check, doc, place = node[order], check[order], doc[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (check[1:] != check[:-1])])[: len(node)])
+            many = np.diff(np.append(first, len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(check[first]), pa.array(doc[first]), pa.array(place[first]), pa.array(many, pa.int64())], ["node", "check", "doc", "at", "many"])
 
-    suffixes = docs.mapInArrow(leaves, "node long, doc long, at int, many long")
+    suffixes = docs.mapInArrow(leaves, "node long, check long, doc long, at int, many long")
     # The least place of the least document, also where rows share a doc_id.
-    nodes = suffixes.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("many").alias("many")).where("many > 1").select("node", "first.doc", "first.at")
+    nodes = suffixes.groupBy("node", "check").agg(F.min(F.struct("doc", "at")).alias("first"), F.sum("many").alias("many")).where("many > 1").select("node", "check", "first.doc", "first.at")
     firsts = sorted_files.write(nodes, common.scratch(spark), NODES)
     common.free_shuffles(spark)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, split, found in _batches(batches, size, gram):
             at = _flagged(found, index)
-            node = np.concatenate([w.nodes()[a] if len(a) else np.empty(0, np.int64) for w, a in zip(found, at, strict=True)])
-            there, first = sorted_files.lookup(firsts, NODES).find(node)
+            node, check = _keys(found, at, bits)
+            there, first = sorted_files.find_checked(sorted_files.lookup(firsts, NODES), node, check)
             doc = np.repeat(np.array([LAST if d is None else d for d in ids], np.int64), [len(a) for a in at])
             gone = there & ((first["doc"] < doc) | ((first["doc"] == doc) & (first["at"] < np.concatenate(at))))
             removed, kept, end = [], [], 0
