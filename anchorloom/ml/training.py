@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Iterable
 
 from pyspark.ml import PipelineModel
@@ -16,8 +17,9 @@ from anchorloom.functions.genomic import CELL
 from anchorloom.operators import evaluation
 from anchorloom.operators.features import COORDINATES
 from anchorloom.operators.sampling import folds, sample_fraction, train_test
+from anchorloom.sources import writers
 
-SEED = 42
+SEED, MOST_CELLS = 42, 1000
 #: Names used elsewhere for the same settings.
 RENAMED = {"n_estimators": {"random_forest": "numTrees", "gradient_boosting": "maxIter"}, "max_depth": "maxDepth", "criterion": "impurity", "min_samples_leaf": "minInstancesPerNode", "min_child_samples": "minInstancesPerNode", "min_impurity_decrease": "minInfoGain", "min_split_gain": "minInfoGain", "min_weight_fraction_leaf": "minWeightFractionPerNode", "subsample": "subsamplingRate", "learning_rate": "stepSize", "max_bin": "maxBins", "tol": "tol", "bootstrap": "bootstrap", "max_features": "featureSubsetStrategy"}
 SPACES = {
@@ -75,8 +77,52 @@ def read_data(df: DataFrame, cells: list[str] | None = None, key: list[str] | No
 
 
 def cells_of(df: DataFrame) -> list[str]:
-    """Cells are few: models are fitted for each in turn."""
-    return sorted(r[0] for r in df.select(CELL).distinct().limit(1000).collect())
+    """Cells are few: models are fitted for each in turn. More than MOST_CELLS fail."""
+    found = df.select(CELL).distinct().limit(MOST_CELLS + 1).collect()
+    if len(found) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
+    return sorted(r[0] for r in found)
+
+
+def audit(split: DataFrame, key: list[str]) -> DataFrame:
+    """(cell_type, label, train, test) rows of a split; a key that lies on both sides fails."""
+    if split.groupBy(*key).agg(F.count_distinct("split").alias("sides")).where("sides > 1").limit(1).count():
+        raise ValueError("a row is in train and in test")
+    return split.groupBy(CELL, "label").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
+
+
+def hold_out_score(df: DataFrame, kind: str, key: list[str], test: float = 0.3, parameters: dict | None = None) -> float:
+    """Area under the curve of one setting on held-out rows."""
+    columns, data = inputs(df, key), train_test(df, key, SEED, test, ["label"])
+    model = fit(data.where("split = 'train'"), kind, columns, parameters)
+    return BinaryClassificationEvaluator().evaluate(predict(data.where("split = 'test'"), model, columns).withColumn("label", F.col("label").cast("double")))
+
+
+def search_cells(df: DataFrame, kind: str, key: list[str], saved: str | None = None, **search) -> dict[str, dict]:
+    """The best setting of each cell, from optimise(); with saved, settings found there are kept and new ones added."""
+    best = (writers.load_parameters(saved) if saved else None) or {}
+    for cell in cells_of(df):
+        if cell not in best:
+            best[cell] = optimise(df.where(F.col(CELL) == cell), kind, key, **search)[0]
+    if saved:
+        writers.parameters(best, saved)
+    return best
+
+
+def timed(df: DataFrame, kind: str, key: list[str], runs: str, run: str, parameters: dict | None = None) -> DataFrame:
+    """within(), its means and the seconds it took appended to the table of runs."""
+    began = time.monotonic()
+    metrics = within(df, kind, key, parameters=parameters).persist()
+    means = evaluation.mean_metrics(metrics).first().asDict()
+    writers.log_run(df.sparkSession, runs, run, {k: v for k, v in means.items() if v is not None} | {"seconds": time.monotonic() - began}, {"model": kind})
+    return metrics
+
+
+def refitted(df: DataFrame, kind: str, key: list[str], parameters: dict | None = None) -> tuple[PipelineModel, DataFrame]:
+    """The model of all rows and the importances of its columns."""
+    columns = inputs(df, key)
+    model = fit(df, kind, columns, parameters)
+    return model, importances(model, columns, df.sparkSession)
 
 
 def within(df: DataFrame, kind: str, key: list[str], test: float = 0.3, parameters: dict | None = None) -> DataFrame:
@@ -125,8 +171,6 @@ def cross_score(df: DataFrame, kind: str, key: list[str], k: int = 3, parameters
 
 def optimise(df: DataFrame, kind: str, key: list[str], trials: int = 20, k: int = 3, maximise: bool = True, space: dict | None = None, seconds: float | None = None) -> tuple[dict, float]:
     """The best of seeded random settings, or the defaults ({}) if none beats them."""
-    import time
-
     draw, space, started = random.Random(SEED), space or SPACES[kind], time.monotonic()
     best, score = {}, cross_score(df, kind, key, k)
     for _ in range(trials):

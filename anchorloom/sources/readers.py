@@ -10,6 +10,7 @@ from anchorloom.functions.genomic import CELL, bare_chr, middle_even, middle_flo
 
 BED = "chr string, start int, end int"
 LOOPS = "chr1 string, x1 long, x2 long, chr2 string, y1 long, y2 long"
+MOST_MOTIFS = 10_000
 FLY_CHROMOSOMES = ["chr2L", "chr2R", "chr3L", "chr3R", "chr4", "chrX", "chrY"]
 
 
@@ -114,8 +115,11 @@ def jaspar(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrices(motifs: DataFrame) -> dict[str, np.ndarray]:
-    """Count matrices by motif; a motif library is a few thousand small matrices at most."""
-    return {r.motif_id: np.array(r.pfm) for r in motifs.limit(10_000).collect()}
+    """Count matrices by motif; more than MOST_MOTIFS fail, as they go along with the code."""
+    found = motifs.limit(MOST_MOTIFS + 1).collect()
+    if len(found) > MOST_MOTIFS:
+        raise ValueError(f"more than {MOST_MOTIFS} motifs")
+    return {r.motif_id: np.array(r.pfm) for r in found}
 
 
 def manifest(spark: SparkSession, sources: dict[str, dict[str, dict[str, str]]]) -> DataFrame:
