@@ -49,6 +49,8 @@ def select_features(df: DataFrame, include: list[str] | None = None, exclude: li
     unknown = [c for c in [*(include or []), *(exclude or [])] if c not in df.columns]
     if unknown:
         raise ValueError(f"no such columns: {unknown}")
+    if not include and (kept := {"label", CELL} & set(exclude or [])):
+        raise ValueError(f"{sorted(kept)} cannot be excluded")
     if include:
         if exclude:
             warnings.warn("include and exclude are both given; exclude is ignored", stacklevel=2)
@@ -58,3 +60,19 @@ def select_features(df: DataFrame, include: list[str] | None = None, exclude: li
 
 def training(df: DataFrame) -> DataFrame:
     return df.drop(*COORDINATES)
+
+
+def drop_nulls(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df without rows that hold a null, and a report of one row: rows, rows dropped and the nulls of each column."""
+    bare = [F.col(f"`{c}`").isNull() for c in df.columns]
+    hit = reduce(lambda a, b: a | b, bare)
+    report = df.agg(F.count("*").alias("_rows"), F.count_if(hit).alias("_dropped"), *[F.count_if(n).alias(c) for n, c in zip(bare, df.columns, strict=True)])
+    return df.where(~hit), report
+
+
+def check_same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> None:
+    """Fail unless a and b hold the same distinct keys."""
+    sides = a.select(*keys, F.lit(1).alias("_side")).unionByName(b.select(*keys, F.lit(2).alias("_side")))
+    alone = sides.groupBy(*keys).agg(F.count_distinct("_side").alias("_sides")).where("_sides < 2").limit(1).collect()
+    if alone:
+        raise ValueError(f"only one table holds {[alone[0][k] for k in keys]}")

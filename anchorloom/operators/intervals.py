@@ -37,19 +37,39 @@ def overlap_segments(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -
     return overlap_join(a, b, keys).withColumns({"start": F.greatest("a_start", "b_start"), "end": F.least("a_end", "b_end")})
 
 
-def overlap_count(a: DataFrame, b: DataFrame, name: str = "cnt", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """a's distinct (keys, start, end) with the number of rows of b that overlap each; zero is kept."""
+def overlap_count(a: DataFrame, b: DataFrame, name: str = "cnt", keys: tuple[str, ...] = KEYS, width: int = 1 << 17) -> DataFrame:
+    """a's distinct (keys, start, end) with the number of rows of b that overlap each; zero is kept.
+
+    No pair is made: the count is the starts before a spot's end less the ends up to its start. Both are running sums
+    within bins, with a carry over bin sums, so dense bins cost what they hold."""
     spots = a.select(*keys, "start", "end").distinct()
-    hits = overlap_join(spots, b.select(*keys, "start", "end"), keys)
-    counted = hits.groupBy(*keys, F.col("a_start").alias("start"), F.col("a_end").alias("end")).agg(F.count("*").alias(name))
-    return spots.join(counted, [*keys, "start", "end"], "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    rows = b.where(F.col("start") < F.col("end")).dropna("any", subset=list(keys))
+
+    # At one place ends come first (turn 0), then spots (1), then starts (2), as intervals are half-open.
+    def mark(place: str, turn: int, s: int, e: int):
+        return F.struct(F.col(place).cast("long").alias("p"), F.lit(turn).alias("turn"), F.lit(s).cast("long").alias("s"), F.lit(e).cast("long").alias("e"), F.lit(place).alias("asks"))
+
+    asked = spots.select(*keys, "start", "end", F.explode(F.array(mark("start", 1, 0, 0), mark("end", 1, 0, 0))).alias("m"))
+    none = [F.lit(None).cast(spots.schema[c].dataType).alias(c) for c in ("start", "end")]
+    counted = rows.select(*keys, *none, F.explode(F.array(mark("start", 2, 1, 0), mark("end", 0, 0, 1))).alias("m"))
+    events = asked.unionByName(counted).select(*keys, "start", "end", "m.*").withColumn("bin", F.floor(F.col("p") / width))
+    bins = events.groupBy(*keys, "bin").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    before = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    carry = bins.select(*keys, "bin", F.sum("s").over(before).alias("s_before"), F.sum("e").over(before).alias("e_before"))
+    inside = W.partitionBy(*keys, "bin").orderBy("p", "turn").rowsBetween(W.unboundedPreceding, 0)
+    seen = events.withColumns({"s_in": F.sum("s").over(inside), "e_in": F.sum("e").over(inside)}).where("turn = 1").join(carry, [*keys, "bin"], "left")
+    sums = {c: F.coalesce(f"{c}_in", F.lit(0)) + F.coalesce(f"{c}_before", F.lit(0)) for c in "se"}
+    part = F.when(F.col("asks") == "end", sums["s"]).otherwise(-sums["e"])
+    total = seen.groupBy(*keys, "start", "end").agg(F.sum(part).alias(name))
+    return total.withColumn(name, F.when(F.col("start") < F.col("end"), F.col(name)).otherwise(F.lit(0)).cast("long"))
 
 
 def overlap_anti(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS, width: int = BIN) -> DataFrame:
-    """Rows of a that overlap no row of b. Rows are told apart by all their columns, so equal ones stay or go together."""
-    hit = overlap_join(a, b.select(*keys, "start", "end"), keys, width).select(*keys, *[F.col(f"a_{c}").alias(c) for c in a.columns if c not in keys]).distinct()
-    same = [a[c].eqNullSafe(hit[c]) for c in a.columns]
-    return a.join(hit, [x for x in same], "left_anti")
+    """Rows of a that overlap no row of b. Equal places are looked up once, so equal rows stay or go together."""
+    place = [*keys, "start", "end"]
+    hit = overlap_join(a.select(*place).distinct(), b.select(*place), keys, width)
+    hit = hit.select(*keys, F.col("a_start").alias("start"), F.col("a_end").alias("end")).distinct()
+    return a.join(hit, place, "left_anti").select(*a.columns)
 
 
 def nearest_distance(points: DataFrame, b: DataFrame, name: str = "dist", keys: tuple[str, ...] = KEYS, width: int = 1 << 17) -> DataFrame:
@@ -75,12 +95,13 @@ def nearest_distance(points: DataFrame, b: DataFrame, name: str = "dist", keys:
 
 def pair_anti_2d(neg: DataFrame, pos: DataFrame, keys: tuple[str, ...] = KEYS, width: int = BIN) -> DataFrame:
     """Pairs of neg that no one pair of pos overlaps on both sides."""
-    left = binned(neg, "_bin", width, "x_start", "x_end")
+    place = [*keys, "x_start", "x_end", "y_start", "y_end"]
+    left = binned(neg.select(*place).distinct(), "_bin", width, "x_start", "x_end")
     right = binned(pos.select(*keys, "x_start", "x_end", "y_start", "y_end").distinct(), "_bin", width, "x_start", "x_end")
     right = right.select(*keys, "_bin", *[F.col(c).alias(f"_{c}") for c in ("x_start", "x_end", "y_start", "y_end")])
     both = overlaps(F.col("x_start"), F.col("x_end"), F.col("_x_start"), F.col("_x_end")) & overlaps(F.col("y_start"), F.col("y_end"), F.col("_y_start"), F.col("_y_end"))
-    hit = left.join(right, [*keys, "_bin"]).where(both).select(*neg.columns).distinct()
-    return neg.join(hit, [neg[c].eqNullSafe(hit[c]) for c in neg.columns], "left_anti")
+    hit = left.join(right, [*keys, "_bin"]).where(both).select(*place).distinct()
+    return neg.join(hit, place, "left_anti").select(*neg.columns)
 
 
 def liftover(runs: DataFrame, chain: DataFrame) -> DataFrame:

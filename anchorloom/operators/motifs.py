@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from anchorloom.functions.genomic import CELL, strand_suffix
 
 PSEUDO, P_VALUE, SCALE = 0.1, 1e-4, 100
+#: Letters of a genome that a row holds, and places that are scored at once.
+CHUNK, STRETCH = 1 << 16, 1 << 20
 
 
 def weights(counts: np.ndarray, pseudo: float = PSEUDO, scale: int = SCALE) -> np.ndarray:
@@ -42,32 +44,55 @@ def scan(sequences: DataFrame, motifs: dict[str, np.ndarray], cutoffs: dict[str,
     table = {m: (w, (cutoffs or {}).get(m, threshold(w))) for m, w in motifs.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = np.full(256, 4, np.int64)
+        code = np.full(256, 4, np.uint8)
         for i, letter in enumerate(b"ACGT"):
             code[letter] = code[letter + 32] = i
         for b in batches:
-            columns: list[list] = [[], [], [], [], []]
-            for name, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = code[np.frombuffer((seq or "").encode("ascii", "replace"), np.uint8)]
-                for motif, (w, cut) in table.items():
-                    for strand, m in (("+", w), ("-", w[::-1, ::-1])):
-                        n = len(s) - m.shape[1] + 1
-                        if n <= 0:
-                            continue
-                        full = np.vstack([m, np.full(m.shape[1], -(1 << 40))])
-                        score = sum(full[s[k : k + n], k] for k in range(m.shape[1]))
+            # A batch's sequences in a row, each followed by a letter that no hit holds; STRETCH places are scored at once.
+            texts = [(x or "").encode("ascii", "replace") + b"|" for x in b.column(1).to_pylist()]
+            ends = np.cumsum([len(x) for x in texts])
+            begins = np.concatenate([[0], ends[:-1]])
+            s = code[np.frombuffer(b"".join(texts), np.uint8)]
+            found = []
+            for motif, (w, cut) in table.items():
+                for strand, m in (("+", w), ("-", w[::-1, ::-1])):
+                    length = m.shape[1]
+                    full = np.vstack([m, np.full(length, -(1 << 40))])
+                    for low in range(0, len(s) - length + 1, STRETCH):
+                        part = s[low : low + STRETCH + length - 1]
+                        n = len(part) - length + 1
+                        score = full[part[:n], 0]
+                        for k in range(1, length):
+                            score += full[part[k : k + n], k]
                         at = np.flatnonzero(score >= cut)
-                        for c, values in zip(columns, ([name] * len(at), [motif] * len(at), [strand] * len(at), at.tolist(), score[at].tolist()), strict=True):
-                            c += values
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], ["name", "motif_id", "strand", "pos", "score"])
+                        if len(at):
+                            row = np.searchsorted(ends, at + low, "right")
+                            found.append((b.column(0).take(pa.array(row)), pa.repeat(motif, len(at)), pa.repeat(strand, len(at)), pa.array(at + low - begins[row]), pa.array(score[at])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found, strict=True)], ["name", "motif_id", "strand", "pos", "score"])
 
     kind = dict(sequences.dtypes)[id_col]
     return sequences.select(F.col(id_col), F.col(seq_col)).mapInArrow(run, f"name {kind}, motif_id string, strand string, pos long, score long")
 
 
-def slices(parts: DataFrame, genome: DataFrame) -> DataFrame:
-    """parts (chr, start, end, name) with seq, their piece of genome (chr, seq)."""
-    return parts.join(genome, "chr").select("chr", "start", "end", "name", F.expr("substring(seq, cast(start + 1 as int), cast(end - start as int))").alias("seq"))
+def chunks(genome: DataFrame, reach: int, width: int = CHUNK) -> DataFrame:
+    """genome (chr, seq) as (chr, chunk, seq): width letters each and the first `reach` (at most width) of the next."""
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    cut = genome.select("chr", F.when(F.size(cut) > 0, cut).otherwise(F.array("seq")).alias("cut"))  # an empty or null one is a chunk
+    whole = F.expr(f"transform(cut, (x, i) -> concat(x, coalesce(substring(get(cut, i + 1), 1, {reach}), '')))")
+    return cut.select("chr", F.posexplode(whole).alias("chunk", "seq"))
+
+
+def slices(parts: DataFrame, genome: DataFrame, width: int = CHUNK) -> DataFrame:
+    """parts (chr, start, end, name) with seq, their piece of genome (chr, seq).
+
+    A part meets the chunk its start lies in, not the whole chromosome; chunks overlap by the longest part. A part that
+    begins outside its chromosome is left out, one that ends outside is cut."""
+    reach = parts.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    width = max(width, reach)
+    placed = parts.withColumn("chunk", F.floor(F.col("start") / width).cast("int"))
+    piece = F.expr(f"substring(seq, cast(start - chunk * {width}L + 1 as int), cast(end - start as int))")
+    return placed.join(chunks(genome, reach, width), ["chr", "chunk"]).select("chr", "start", "end", "name", piece.alias("seq"))
 
 
 def names(motifs: list[str]) -> list[str]:

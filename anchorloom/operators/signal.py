@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchorloom.functions.genomic import CELL, KEYS
@@ -80,7 +79,8 @@ def normalised(pairs: DataFrame, stats: DataFrame, experiment: str, extra: tuple
 
 def tracks_wide(pairs: DataFrame, stats: DataFrame, tracks: list[str]) -> DataFrame:
     """pairs with {x,y}_<track>_<stat> for many tracks of one cell: one pivot instead of a join for each track."""
-    level = stats.withColumn("_level", F.avg("mean").over(W.partitionBy(CELL, "track")))
+    average = stats.groupBy(CELL, "track").agg(F.avg("mean").alias("_level"))  # a row for each cell and track
+    level = stats.join(average, [CELL, "track"])
     wide = level.groupBy(CELL, "chr", "start", "end").pivot("track", tracks).agg(*[F.first(F.col(s) / F.col("_level")).alias(s) for s in STATS])
     names = [c for c in wide.columns if c not in (CELL, "chr", "start", "end")]
     out = pairs

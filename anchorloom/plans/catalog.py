@@ -9,10 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorloom.functions.genomic import CELL, anchor_name, apart, bare_chr, chromosome_rank, log10p1, middle_even, middle_floor, windowed
+from anchorloom.functions.genomic import CELL, anchor_name, apart, chromosome_rank, log10p1
 from anchorloom.operators import evaluation as ev
 from anchorloom.operators import features, intervals, motifs, pairs, sampling, signal
 from anchorloom.plans.fixtures import load, with_clause
+from anchorloom.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,22 +49,26 @@ def _spots(spark, d):
 # Readers, projections, sorts.
 
 
+def _read_loops(spark, d, organism):
+    raw = load(spark, d, "raw_loops").withColumns({"chr1": F.col("chr"), "chr2": F.col("chr")})
+    out = readers.loops(raw, 2500, organism)
+    return out.select("chr", CELL, *[F.col(c).cast("long").alias(c) for c in ("x", "x_start", "x_end", "y", "y_start", "y_end")])
+
+
 @query("select chr, cast(round_even((x1 + x2) / 2, 0) as bigint) x, cast(round_even((y1 + y2) / 2, 0) as bigint) y, cell_type, cast(round_even((x1 + x2) / 2, 0) as bigint) - 2500 x_start, cast(round_even((x1 + x2) / 2, 0) as bigint) + 2500 x_end, cast(round_even((y1 + y2) / 2, 0) as bigint) - 2500 y_start, cast(round_even((y1 + y2) / 2, 0) as bigint) + 2500 y_end from raw_loops", "raw_loops")
 def read_loops_human(spark, d):
-    raw = load(spark, d, "raw_loops")
-    return raw.select("chr", middle_even("x1", "x2").alias("x"), middle_even("y1", "y2").alias("y"), CELL).withColumns(windowed(2500))
+    return _read_loops(spark, d, "human")
 
 
 @query("select chr, cast((x1 + x2) // 2 as bigint) x, cast((y1 + y2) // 2 as bigint) y, cell_type, cast((x1 + x2) // 2 - 2500 as bigint) x_start, cast((x1 + x2) // 2 + 2500 as bigint) x_end, cast((y1 + y2) // 2 - 2500 as bigint) y_start, cast((y1 + y2) // 2 + 2500 as bigint) y_end from raw_loops", "raw_loops")
 def read_loops_fly(spark, d):
-    raw = load(spark, d, "raw_loops")
-    return raw.select("chr", middle_floor("x1", "x2").alias("x"), middle_floor("y1", "y2").alias("y"), CELL).withColumns(windowed(2500))
+    return _read_loops(spark, d, "fly")
 
 
 @query("""select cell_type, regexp_extract('chr' || chr, '.*chr(.*)', 1) chr, start, "end" from peaks where cell_type in ('A', 'B')""", "peaks")
 def read_peaks_norm(spark, d):
     raw = _peaks(spark, d).withColumn("chr", F.concat(F.lit("chr"), "chr"))
-    return raw.where(F.col(CELL).isin("A", "B")).select(CELL, bare_chr("chr").alias("chr"), "start", "end")
+    return readers.peaks(raw, ["A", "B"])
 
 
 @query(f"--cte {ANCHORS} select * from anchors", "loops")

@@ -86,3 +86,51 @@ def test_columns(spark):
         features.select_features(df, ["z"])
     with pytest.raises(ValueError, match="cells"):
         features.concat_aligned([df], ["A", "B"])
+
+
+def test_slices_meet_chunks_not_chromosomes(spark):
+    rng = np.random.default_rng(2)
+    genome = {"chr1": "".join(rng.choice(list("ACGT"), 103)), "chr2": "ACGTA", "chr3": "", "chr4": None}
+    parts = [("chr1", int(s), int(s + n), f"p{i}") for i, (s, n) in enumerate(zip(rng.integers(0, 103, 60), rng.integers(0, 25, 60), strict=True))]
+    parts += [parts[0], ("chr1", 9, 10, "edge"), ("chr1", 95, 140, "past"), ("chr2", 0, 5, "all"), ("chr3", 0, 4, "none"), ("chr4", 0, 4, "null"), ("chr9", 0, 4, "unknown")]
+    texts = spark.createDataFrame(list(genome.items()), "chr string, seq string")
+    for width in (10, 1000):  # the longest part is 45: wider than a chunk of 10
+        got = sorted((r.name, r.seq) for r in motifs.slices(spark.createDataFrame(parts, "chr string, start long, end long, name string"), texts, width).collect() if r.name != "null")
+        assert got == sorted((n, genome[c][s:e]) for c, s, e, n in parts if genome.get(c) is not None)
+    cut = sorted((r.chunk, r.seq) for r in motifs.chunks(texts.where("chr = 'chr2'"), 1, 2).collect())
+    assert cut == [(0, "ACG"), (1, "GTA"), (2, "A")]
+
+
+def test_scan_across_stretches(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(i), "".join(rng.choice(list("ACGTN"), n))) for i, n in enumerate((0, 1, 40, 700, 3, 55))]
+    w = motifs.weights(rng.integers(0, 9, (4, 5)))
+    sequences = spark.createDataFrame(rows, "name string, seq string")
+    whole = {tuple(r) for r in motifs.scan(sequences, {"m": w}, {"m": 200}).collect()}
+    before, motifs.STRETCH = motifs.STRETCH, 7
+    try:
+        assert whole == {tuple(r) for r in motifs.scan(sequences, {"m": w}, {"m": 200}).collect()}
+    finally:
+        motifs.STRETCH = before
+    want = {(n, "m", strand, p, s) for n, seq in rows for strand, m in (("+", w), ("-", w[::-1, ::-1])) for p in range(len(seq) - 4) if "N" not in seq[p : p + 5] and (s := int(sum(m["ACGT".index(seq[p + k]), k] for k in range(5)))) >= 200}
+    assert want and whole == want
+
+
+def test_tracks_wide_levels(spark):
+    stats = spark.createDataFrame([("A", "1", 0, 10, t, m, m, m, m) for t, m in (("t", 2.0), ("u", 5.0))] + [("A", "1", 50, 60, "t", 6.0, 6.0, 1.0, 9.0)], "cell_type string, chr string, start long, end long, track string, mean double, weighted_mean double, min double, max double")
+    pairs = spark.createDataFrame([("A", "1", 0, 10, 50, 60)], "cell_type string, chr string, x_start long, x_end long, y_start long, y_end long")
+    r = signal.tracks_wide(pairs, stats, ["t", "u"]).first()
+    assert (r.x_t_mean, r.y_t_max, r.x_u_mean, r.y_u_mean) == (0.5, 2.25, 1.0, None)
+
+
+def test_nulls_are_reported_and_keys_checked(spark):
+    df = spark.createDataFrame([(1, None), (2, 3), (None, None)], "a long, `b.c` long")
+    clean, report = features.drop_nulls(df)
+    assert [tuple(r) for r in clean.collect()] == [(2, 3)]
+    assert report.first().asDict() == {"_rows": 3, "_dropped": 2, "a": 1, "b.c": 2}
+    features.check_same_keys(df, df.limit(3), ["a"])
+    with pytest.raises(ValueError, match="only one table"):
+        features.check_same_keys(df, df.where("a = 2"), ["a"])
+    labelled = spark.createDataFrame([("A", 1, 2)], "cell_type string, label int, x long")
+    with pytest.raises(ValueError, match="cannot be excluded"):
+        features.select_features(labelled, exclude=["label"])

@@ -75,3 +75,24 @@ def test_modes(spark):
     chain = spark.createDataFrame([("1", 100, 200, "2", 1000, "-")], "chr string, start long, end long, to_chr string, to_start long, strand string")
     runs = spark.createDataFrame([("1", 90, 110, 2.5)], "chr string, start long, end long, value double")
     assert [tuple(r) for r in intervals.liftover(runs, chain).collect()] == [("2", 1090, 1100, 2.5)]
+
+
+def test_counts_with_edges_that_meet_bins_and_nulls(spark):
+    rng = random.Random(5)
+    # Places that coincide, bins that hold spots only, empty intervals and rows of another chromosome.
+    a = [(s := 10 * rng.randrange(40), s + 10 * rng.randrange(0, 12)) for _ in range(80)]
+    b = [(s := 10 * rng.randrange(40), s + 10 * rng.randrange(0, 12)) for _ in range(200)]
+    kind = "cell_type string, chr string, start long, end long"
+    spots = spark.createDataFrame([("A", "1", *x) for x in a] + [("A", "2", 5, 9), (None, "1", 5, 9), ("A", "1", None, 9)], kind)
+    other = spark.createDataFrame([("A", "1", *x) for x in b] + [(None, "1", 0, 100)], kind)
+    got = {(r.cell_type, r.chr, r.start, r.end): r.cnt for r in intervals.overlap_count(spots, other, width=64).collect()}
+    want = {("A", "1", *x): sum(y[0] < y[1] and x[0] < x[1] and x[0] < y[1] and y[0] < x[1] for y in b) for x in a}
+    assert got == want | {("A", "2", 5, 9): 0, (None, "1", 5, 9): 0, ("A", "1", None, 9): 0}
+
+
+def test_anti_keeps_equal_rows_and_nulls(spark):
+    kind = "cell_type string, chr string, start long, end long, name string"
+    a = spark.createDataFrame([("A", "1", 0, 10, "x"), ("A", "1", 0, 10, None), ("A", "1", 20, 30, "y"), ("A", "1", 20, 30, "y"), (None, "1", 0, 10, "z")], kind)
+    got = intervals.overlap_anti(a, table(spark, [(5, 6)]))
+    assert got.columns == a.columns
+    assert sorted(r.name for r in got.collect()) == ["y", "y", "z"]
