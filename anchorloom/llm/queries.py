@@ -87,6 +87,31 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import merkle
+
+    a_to_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = merkle.leaf(text=F.translate("text", a_to_z, a_to_z.lower()))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered).otherwise(merkle.leaf())
+    made = merkle.manifest(table(spark, sf_dir, "documents"), {"tampered": tampered})
+    made = made.withColumn("folded_root", merkle.folded(F.col("tampered"), F.col("proof")))
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("proof"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import importance
+
+    made = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from anchorloom.llm import word_table
+
+    made = word_table.decode(word_table.encode(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_near_join": op2_near_join,
@@ -98,10 +123,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_model": op9_quality_model,
     "op10_vector_dedup": op10_vector_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_importance": op12_importance,
+    "op13_word_table": op13_word_table,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_near_join": oracles.NEAR_JOIN,
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op10_vector_dedup": oracles.VECTOR_DEDUP,
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op12_importance": oracles.IMPORTANCE,
 }

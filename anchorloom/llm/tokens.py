@@ -110,6 +110,10 @@ class Encoder:
             self._learn(missing)
         return [b"".join(map(memory.__getitem__, ws)) for ws in split]
 
+    def each(self, ws: list[bytes]) -> list[bytes]:
+        """The ids of each of these words, in this encoder's type."""
+        return self._block([[w] for w in ws])
+
     def encode(self, texts: list[str | None], end: int | None = END) -> list[np.ndarray]:
         """Blocks of BLOCK words; a longer text is encoded piece by piece, so that no text outgrows the memory."""
         tail = b"" if end is None else array(self.code, [end]).tobytes()
@@ -121,7 +125,7 @@ class Encoder:
             held, n = [], 0
 
         for t in texts:
-            ws = words(t, lower=True)
+            ws = words(t, lower="<|" not in (t or ""))  # special tokens know case
             if len(ws) > BLOCK:
                 done()
                 out.append(np.frombuffer(b"".join(self._block([ws[k : k + BLOCK]])[0] for k in range(0, len(ws), BLOCK)) + tail, self.dtype))
