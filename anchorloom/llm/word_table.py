@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from anchorloom.llm import common
 from anchorloom.llm.tokens import encoder, tokenizer_path
 
-#: Bytes of text that are split at a time, and words that are encoded at a time.
-STRETCH, BLOCK = 1 << 20, 20_000
+#: Bytes of text that are split at a time, words after which a batch ends, and words that are encoded at a time.
+STRETCH, BATCH, BLOCK = 1 << 20, 4_000_000, 20_000
 SPACE = re.compile(rb"[ \t-\r]")
-BATCHES = "task long, batch long, digest long, n_words long, words array<binary>, doc_id array<long>, many array<long>, low binary, high binary"
-WORDS, NUMBERS = ["task", "batch", "digest", "words"], ["task", "batch", "digest", "n_words", "doc_id", "many", "low", "high"]
+BATCHES = "batch long, digest long, n_words long, words array<binary>, doc_id array<long>, many array<long>, low binary, high binary"
+WORDS, NUMBERS = ["batch", "digest", "words"], ["batch", "digest", "n_words", "doc_id", "many", "low", "high"]
 
 
 class Numbers(dict):
@@ -60,33 +60,43 @@ def stretches(data: bytes, size: int = STRETCH) -> Iterator[bytes]:
         a = b
 
 
-def batches(docs: DataFrame, columns: list[str]) -> DataFrame:
+def batches(docs: DataFrame, columns: list[str], limit: int = BATCH) -> DataFrame:
     """These columns of BATCHES: distinct words and the texts' words as numbers, their low 16 bits and the 8 above."""
     common.ship(docs.sparkSession)
     common.small_batches(docs.sparkSession)
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(key: int, numbers: Numbers, at: list[np.ndarray], docs_: list[int | None], many: list[int]) -> pa.RecordBatch:
         import xxhash
+
+        if len(numbers) >= 1 << 24:
+            raise ValueError("a batch of texts has 2^24 distinct words or more")
+        whole = np.concatenate([np.empty(0, np.uint32), *at])
+        digest = xxhash.xxh3_64_intdigest(b"\n".join(numbers)) - (1 << 63)
+        row = {"batch": key, "digest": digest, "n_words": len(numbers), "words": list(numbers), "doc_id": docs_, "many": many, "low": whole.astype("<u2").tobytes(), "high": (whole >> 16).astype(np.uint8).tobytes()}
+        types = {"words": pa.list_(pa.binary()), "doc_id": pa.list_(pa.int64()), "many": pa.list_(pa.int64()), "low": pa.binary(), "high": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([row[c]], types.get(c, pa.int64())) for c in columns], columns)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, batch = TaskContext.get().partitionId(), 0
+        key, size = TaskContext.get().partitionId() << 32, 0
+        numbers, at, docs_, many = Numbers(), [], [], []
         for b in found:
-            numbers, at, many = Numbers(), [], []
-            for text in b.column(1).to_pylist():
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n = 0
                 for part in stretches(prepared(text)):
                     ws = part.split()
                     n += len(ws)
                     at.append(np.fromiter(map(numbers.__getitem__, ws), np.uint32, len(ws)))
+                docs_.append(doc)
                 many.append(n)
-            if len(numbers) >= 1 << 24:
-                raise ValueError("a batch of texts has 2^24 distinct words or more")
-            whole = np.concatenate([np.empty(0, np.uint32), *at])
-            digest = xxhash.xxh3_64_intdigest(b"\n".join(numbers)) - (1 << 63)
-            row = {"task": task, "batch": batch, "digest": digest, "n_words": len(numbers), "words": list(numbers), "doc_id": b.column(0).to_pylist(), "many": many, "low": whole.astype("<u2").tobytes(), "high": (whole >> 16).astype(np.uint8).tobytes()}
-            types = {"words": pa.list_(pa.binary()), "doc_id": pa.list_(pa.int64()), "many": pa.list_(pa.int64()), "low": pa.binary(), "high": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array([row[c]], types.get(c, pa.int64())) for c in columns], columns)
-            batch += 1
+                size += n
+                if size >= limit:
+                    yield made(key, numbers, at, docs_, many)
+                    key, size = key + 1, 0
+                    numbers, at, docs_, many = Numbers(), [], [], []
+        if docs_:
+            yield made(key, numbers, at, docs_, many)
 
     schema = ", ".join(f for f in BATCHES.split(", ") if f.split()[0] in columns)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -105,17 +115,18 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
     return words.mapInArrow(run, "word binary, ids binary")
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each row of docs (doc_id, text); ids as little-endian uint32."""
+def encode(docs: DataFrame, tokenizer: str | None = None, limit: int = BATCH) -> DataFrame:
+    """(doc_id, n_tokens, ids) of each row of docs (doc_id, text); ids as little-endian uint32. limit: words of a batch."""
     path = tokenizer or tokenizer_path()
-    held = common.written(batches(docs, WORDS))
-    each = held.select("task", "batch", "digest", F.posexplode("words").alias("k", "word"))
+    held = common.written(batches(docs, WORDS, limit))
+    each = held.select("batch", F.posexplode("words").alias("k", "word"))
     table = common.written(word_table(each.select("word").distinct(), path))
-    gathered = each.join(table, "word").groupBy("task", "batch", "digest").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("found"))
-    ids = common.written(gathered.select("task", "batch", "digest", F.col("found.ids").alias("ids")))
+    common.free_shuffles(docs.sparkSession)
+    found = each.join(table, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("k", "ids")))["ids"].alias("ids"))
+    ids = common.written(held.select("batch", "digest").join(found, "batch"))
     common.forget(held, table)
     common.free_shuffles(docs.sparkSession)
-    met = batches(docs, NUMBERS).join(ids, ["task", "batch", "digest"], "left")
+    met = batches(docs, NUMBERS, limit).join(ids, ["batch", "digest"], "left")
     whole = F.when(F.coalesce(F.size("ids"), F.lit(0)) == F.col("n_words"), F.col("ids")).when(F.col("n_words") > 0, F.raise_error(F.lit("docs gave other batches the second time"))).alias("ids")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,13 +23,13 @@ def expected(tokenizer, rows):
     return Counter((d, len(x), np.array(x, "<u4").tobytes(), tokenizer.decode(x, skip_special_tokens=False)) for d, x in made)
 
 
-@pytest.mark.parametrize("stretch", [1 << 20, 7])
-def test_encode_and_decode(spark, tokenizer, monkeypatch, stretch):
+@pytest.mark.parametrize("stretch,limit", [(1 << 20, 4_000_000), (7, 10)])
+def test_encode_and_decode(spark, tokenizer, monkeypatch, stretch, limit):
     from anchorloom.llm import word_table
 
     monkeypatch.setattr(word_table.stretches, "__defaults__", (stretch,))
     docs = spark.createDataFrame([(d, t, 1, b"x", "y") for d, t in TEXTS], "doc_id long, text string, batch int, ids binary, decoded string").repartition(3, "text")
-    got = word_table.decode(word_table.encode(docs)).collect()
+    got = word_table.decode(word_table.encode(docs, limit=limit)).collect()
     assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in got) == expected(tokenizer, TEXTS)
 
 
