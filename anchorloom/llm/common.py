@@ -45,10 +45,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/anchorloom/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, reread: lineage is cut and lost executors lose nothing."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.parquet(path)
     out._scratch = path
     return out

@@ -3,9 +3,9 @@
 The tokenizer never joins words across white space, so a text's ids are its words' ids in a row.
 1. Texts are split into words. A batch of texts becomes its distinct words and, for each text, their numbers in order.
 2. All batches' words, made distinct, are the word table; each word is encoded once, whatever the number of its texts.
-3. A join on the word brings the ids back to the batches that hold it. A batch holds a word once, so a frequent word has as
-   many rows as there are batches. What a batch's words gave is gathered and joined to the batch's numbers, and ids are put
-   in place by position.
+3. Words come back to the batches by joins on the word: at most HOT words, those in most batches, by a broadcast, all others
+   by a shuffle, to which a batch sends each word once. What a batch's words gave is gathered and joined to the batch's
+   numbers, and ids are put in place by position.
 4. Decoding looks pieces up by id in the vocabulary's table, which is as long as the vocabulary (a broadcast join).
 
 Batches are made twice, for their words and for their numbers, rather than kept; a digest of the words is part of the key, and a
@@ -18,11 +18,13 @@ are split piece by piece; an empty table gives an empty result; extra columns ar
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from anchorloom.llm.tokens import encoder, tokenizer_path
 
 #: Bytes of text that are split at a time, words after which a batch ends, and words that are encoded at a time.
 STRETCH, BATCH, BLOCK = 1 << 20, 4_000_000, 20_000
+#: Words that are broadcast at most, and their bytes at most: about 30 MB of a worker.
+HOT, LONG = 200_000, 64
 SPACE = re.compile(rb"[ \t-\r]")
 BATCHES = "batch long, digest long, n_words long, words array<binary>, doc_id array<long>, many array<long>, low binary, high binary"
 WORDS, NUMBERS = ["batch", "digest", "words"], ["batch", "digest", "n_words", "doc_id", "many", "low", "high"]
@@ -60,19 +64,27 @@ def stretches(data: bytes, size: int = STRETCH) -> Iterator[bytes]:
         a = b
 
 
-def batches(docs: DataFrame, columns: list[str], limit: int = BATCH) -> DataFrame:
-    """These columns of BATCHES: distinct words and the texts' words as numbers, their low 16 bits and the 8 above."""
+def batches(docs: DataFrame, columns: list[str], limit: int = BATCH, hot: Broadcast | None = None) -> DataFrame:
+    """These columns of BATCHES: distinct words and the texts' words as numbers, their low 16 bits and the 8 above.
+
+    With hot, a broadcast of ids by word, those words have the first numbers in its order, and n_words counts the others."""
     common.ship(docs.sparkSession)
     common.small_batches(docs.sparkSession)
 
     def made(key: int, numbers: Numbers, at: list[np.ndarray], docs_: list[int | None], many: list[int]) -> pa.RecordBatch:
         import xxhash
 
-        if len(numbers) >= 1 << 24:
-            raise ValueError("a batch of texts has 2^24 distinct words or more")
-        whole = np.concatenate([np.empty(0, np.uint32), *at])
+        if len(numbers) + HOT >= 1 << 24:
+            raise ValueError("a batch of texts has too many distinct words")
+        whole, n = np.concatenate([np.empty(0, np.uint32), *at]), len(numbers)
+        if hot is not None:
+            known = dict(zip(hot.value, range(len(hot.value)), strict=True))
+            place = np.fromiter((known.get(w, -1) for w in numbers), np.int64, n)
+            n = int((place < 0).sum())
+            place[place < 0] = np.arange(len(known), len(known) + n)
+            whole = place.astype(np.uint32)[whole]
         digest = xxhash.xxh3_64_intdigest(b"\n".join(numbers)) - (1 << 63)
-        row = {"batch": key, "digest": digest, "n_words": len(numbers), "words": list(numbers), "doc_id": docs_, "many": many, "low": whole.astype("<u2").tobytes(), "high": (whole >> 16).astype(np.uint8).tobytes()}
+        row = {"batch": key, "digest": digest, "n_words": n, "words": list(numbers), "doc_id": docs_, "many": many, "low": whole.astype("<u2").tobytes(), "high": (whole >> 16).astype(np.uint8).tobytes()}
         types = {"words": pa.list_(pa.binary()), "doc_id": pa.list_(pa.int64()), "many": pa.list_(pa.int64()), "low": pa.binary(), "high": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([row[c]], types.get(c, pa.int64())) for c in columns], columns)
 
@@ -103,37 +115,58 @@ def batches(docs: DataFrame, columns: list[str], limit: int = BATCH) -> DataFram
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words, ids as little-endian uint32."""
+    """(word, many, ids) of distinct words (word, many), ids as little-endian uint32."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in found:
             for at in range(0, b.num_rows, BLOCK):
                 block = b.slice(at, BLOCK)
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array([np.frombuffer(x, enc.dtype).astype("<u4").tobytes() for x in enc.each(block.column(0).to_pylist())], pa.binary())], ["word", "ids"])
+                yield pa.RecordBatch.from_arrays([*block.columns, pa.array([np.frombuffer(x, enc.dtype).astype("<u4").tobytes() for x in enc.each(block.column(0).to_pylist())], pa.binary())], ["word", "many", "ids"])
 
-    return words.mapInArrow(run, "word binary, ids binary")
+    return words.select("word", "many").mapInArrow(run, "word binary, many long, ids binary")
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, limit: int = BATCH) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each row of docs (doc_id, text); ids as little-endian uint32. limit: words of a batch."""
-    path = tokenizer or tokenizer_path()
-    held = common.written(batches(docs, WORDS, limit))
+def frequent(table: DataFrame, most: int) -> int:
+    """A count such that at most `most` words of the table are in that many batches or more."""
+    level = F.floor(F.log2("many") * 8).cast("int")
+    total, at = 0, 488  # levels of counts, fewer than 512
+    for r in table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        at = r.level
+    return math.ceil(2 ** (at / 8) - 1e-9)
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, limit: int = BATCH, most: int = HOT) -> DataFrame:
+    """(doc_id, n_tokens, ids) of each row of docs (doc_id, text); ids as little-endian uint32.
+
+    limit: words of a batch; most: words that are broadcast. Results do not depend on them."""
+    spark, path = docs.sparkSession, tokenizer or tokenizer_path()
+    held = common.written(batches(docs, WORDS, limit), "zstd")
     each = held.select("batch", F.posexplode("words").alias("k", "word"))
-    table = common.written(word_table(each.select("word").distinct(), path))
-    common.free_shuffles(docs.sparkSession)
-    found = each.join(table, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("k", "ids")))["ids"].alias("ids"))
-    ids = common.written(held.select("batch", "digest").join(found, "batch"))
-    common.forget(held, table)
-    common.free_shuffles(docs.sparkSession)
-    met = batches(docs, NUMBERS, limit).join(ids, ["batch", "digest"], "left")
+    table = common.written(word_table(each.groupBy("word").agg(F.count("*").alias("many")), path), "zstd")
+    common.free_shuffles(spark)
+    is_hot = (F.col("many") >= frequent(table, most)) & (F.octet_length("word") <= LONG)
+    head = sorted((-r.many, bytes(r.word), bytes(r.ids)) for r in table.where(is_hot).toLocalIterator())  # at most `most`
+    hot = spark.sparkContext.broadcast({word: ids for _, word, ids in head})
+    rare = each.join(F.broadcast(table.where(is_hot).select("word")), "word", "left_anti")
+    found = common.written(rare.join(table.where(~is_hot), "word").select("batch", "k", "ids"), "zstd")
+    common.free_shuffles(spark)
+    gathered = found.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("k", "ids")))["ids"].alias("ids"))
+    ids = common.written(held.select("batch", "digest").join(gathered, "batch"), "zstd")
+    common.forget(held, table, found)
+    common.free_shuffles(spark)
+    met = batches(docs, NUMBERS, limit, hot).join(ids, ["batch", "digest"], "left")
     whole = F.when(F.coalesce(F.size("ids"), F.lit(0)) == F.col("n_words"), F.col("ids")).when(F.col("n_words") > 0, F.raise_error(F.lit("docs gave other batches the second time"))).alias("ids")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_ids = list(hot.value.values())
         for b in found:
             for docs_, many, low, high, words in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 at = np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
-                ends, of = np.cumsum([0, *many]).tolist(), (words or []).__getitem__
+                ends, of = np.cumsum([0, *many]).tolist(), [*first_ids, *(words or [])].__getitem__
                 for first in range(0, len(docs_), 256):
                     cut = range(first, min(first + 256, len(docs_)))
                     made = [b"".join(map(of, at[ends[k] : ends[k + 1]].tolist())) for k in cut]

@@ -23,13 +23,13 @@ def expected(tokenizer, rows):
     return Counter((d, len(x), np.array(x, "<u4").tobytes(), tokenizer.decode(x, skip_special_tokens=False)) for d, x in made)
 
 
-@pytest.mark.parametrize("stretch,limit", [(1 << 20, 4_000_000), (7, 10)])
-def test_encode_and_decode(spark, tokenizer, monkeypatch, stretch, limit):
+@pytest.mark.parametrize("stretch,limit,most", [(1 << 20, 4_000_000, 200_000), (7, 10, 30), (7, 40, 0)])
+def test_encode_and_decode(spark, tokenizer, monkeypatch, stretch, limit, most):
     from anchorloom.llm import word_table
 
     monkeypatch.setattr(word_table.stretches, "__defaults__", (stretch,))
     docs = spark.createDataFrame([(d, t, 1, b"x", "y") for d, t in TEXTS], "doc_id long, text string, batch int, ids binary, decoded string").repartition(3, "text")
-    got = word_table.decode(word_table.encode(docs, limit=limit)).collect()
+    got = word_table.decode(word_table.encode(docs, limit=limit, most=most)).collect()
     assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in got) == expected(tokenizer, TEXTS)
 
 
@@ -56,7 +56,7 @@ def test_each_distinct_word_is_encoded_once(spark):
 
     docs = spark.createDataFrame([(k, "the same words The " + f"own{k % 7}") for k in range(500)], "doc_id long, text string").repartition(6)
     held = word_table.batches(docs, word_table.WORDS)
-    table = word_table.word_table(held.select(F.explode("words").alias("word")).distinct(), tokenizer_path()).collect()
+    table = word_table.word_table(held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("many")), tokenizer_path()).collect()
     assert sorted(bytes(r.word) for r in table) == sorted([b"the", b"same", b"words", *[b"own%d" % k for k in range(7)]])
 
 
@@ -69,3 +69,14 @@ def test_changed_batches_fail(spark, tmp_path):
     spark.createDataFrame([(1, "three four")], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "t"))
     with pytest.raises(Exception, match="other batches|does not exist|FILE_NOT_EXIST"):
         made.collect()
+
+
+def test_bound_on_broadcast_words(spark):
+    from anchorloom.llm import word_table
+
+    counts = [1] * 50 + [2] * 20 + [3] * 10 + [7] * 5 + [1000, 1_000_000]
+    table = spark.createDataFrame([(b"w", m) for m in counts], "word binary, many long")
+    for most in range(len(counts) + 2):
+        at = word_table.frequent(table, most)
+        assert sum(c >= at for c in counts) <= most
+    assert word_table.frequent(table, len(counts)) == 1 and word_table.frequent(table, 20) == 3
