@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorloom.functions.genomic import CELL, apart, chromosome_rank, windowed
+from anchorloom.operators import implicit
 from anchorloom.operators.intervals import overlap_anti, pair_anti_2d
+from anchorloom.operators.ordering import running_sum
 from anchorloom.operators.sampling import sample_exact, sample_fraction
+from anchorloom.sources.settled import settled
 
 PAIR = ["chr", "x", "x_start", "x_end", "y", "y_start", "y_end", CELL]
 SEED, RATIO, RADIUS, MOST_REGIONS, LONG = 42, 5, 2500, 1000, 1_000_000
@@ -27,6 +30,12 @@ def sort_pairs(df: DataFrame, by: str = "x_start", organism: str = "human") -> D
     return df.orderBy(chromosome_rank() if organism == "human" else F.col("chr"), by)
 
 
+def genomic_rank(df: DataFrame, by: str = "x_start", out: str = "rn") -> DataFrame:
+    """df with its rank (from 1) in its cell, in order of chromosome and `by`: counts of bins, not a sort of a whole cell."""
+    tagged = df.withColumns({"_chr": chromosome_rank(), "_piece": F.floor(F.col(by) / implicit.BIN)})
+    return running_sum(tagged, [CELL], ["_chr", "_piece"], [by], F.lit(1).cast("long"), out).drop("_chr", "_piece")
+
+
 def ordered_pairs(centers: DataFrame, keys: tuple[str, ...] = (CELL, "chr"), radius: int | None = RADIUS, salt: int = 8) -> DataFrame:
     """All (x, y), x < y, of one cell and chromosome; with a radius only where windows do not touch.
 
@@ -79,13 +88,13 @@ def from_other_cells(loops: DataFrame, ratio: float = RATIO, seed: int = SEED, r
     others = own.join(F.broadcast(cells), F.col(CELL) != F.col("_cell")).select(F.col("_cell").alias(CELL), "chr", "center", "start", "end").distinct()
     free = overlap_anti(others, own.select(CELL, "chr", "start", "end"))
     half = sample_fraction(free, [CELL, "chr", "center"], seed, 0.5, [CELL])
-    return finished(_quota(ordered_pairs(half, radius=radius), _cells(loops, ratio, [CELL]), [CELL], seed), 0, radius)
+    return finished(implicit.sample(half, _cells(loops, ratio, [CELL]), [CELL], seed, radius), 0, radius)
 
 
 def from_new_pairs(loops: DataFrame, ratio: float = RATIO, seed: int = SEED, radius: int = RADIUS, sizes: DataFrame | None = None) -> DataFrame:
     """Negatives from pairs of the cell's anchors that are no loop."""
-    candidates = without_known(ordered_pairs(anchors(loops), radius=radius), loops)
-    return finished(_quota(candidates, _cells(loops, ratio, [CELL]) if sizes is None else sizes, [CELL], seed), 0, radius)
+    sizes = _cells(loops, ratio, [CELL]) if sizes is None else sizes
+    return finished(implicit.sample(anchors(loops), sizes, [CELL], seed, radius, loops), 0, radius)
 
 
 def from_open_regions(loops: DataFrame, peaks: DataFrame, ratio: float = RATIO, seed: int = SEED, radius: int = RADIUS, most: int = MOST_REGIONS) -> DataFrame:
@@ -93,12 +102,12 @@ def from_open_regions(loops: DataFrame, peaks: DataFrame, ratio: float = RATIO,
     centers = peaks.select(CELL, "chr", F.floor((F.col("start") + F.col("end")) / 2).cast("long").alias("center"), "start", "end")
     centers = centers.join(loops.select(CELL, "chr").distinct(), [CELL, "chr"], "left_semi")
     capped = sample_exact(centers, [CELL, "chr", "start", "end"], seed, most, [CELL, "chr"])
-    return finished(_quota(ordered_pairs(capped, radius=radius), _cells(loops, ratio, [CELL, "chr"]), [CELL, "chr"], seed), 0, radius)
+    return finished(implicit.sample(capped, _cells(loops, ratio, [CELL, "chr"]), [CELL, "chr"], seed, radius), 0, radius)
 
 
 def from_both(loops: DataFrame, peaks: DataFrame, ratio: float = RATIO, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """Half the ratio from open regions, then half from new pairs of the anchors of loops and of those negatives."""
-    first = from_open_regions(loops, peaks, ratio / 2, seed, radius).persist()  # read four times below
+    first = settled(from_open_regions(loops, peaks, ratio / 2, seed, radius))  # read several times below
     combined = loops.select(*PAIR).unionByName(first.select(*PAIR)).distinct()
     sizes = combined.groupBy(CELL).agg(F.floor(F.count("*") * ratio / 2).cast("long").alias("want"))
     return first.unionByName(from_new_pairs(combined, ratio / 2, seed, radius, sizes))
@@ -146,4 +155,4 @@ def random_pairing(labelled: DataFrame, ratio: float = RATIO, seed: int = SEED,
     """New pairs of the negatives' centres, ratio for each positive."""
     centers = anchors(labelled.where("label = 0"))
     sizes = labelled.where("label = 1").groupBy(CELL).agg(F.floor(F.count("*") * ratio).cast("long").alias("want"))
-    return finished(_quota(ordered_pairs(centers, radius=radius), sizes, [CELL], seed), 0, radius)
+    return finished(implicit.sample(centers, sizes, [CELL], seed, radius), 0, radius)

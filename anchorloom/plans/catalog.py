@@ -78,11 +78,7 @@ def anchors_unpivot(spark, d):
 
 @query(f"""--cte {ANCHORS} select cell_type, chr, center, row_number() over (partition by cell_type order by case when chr = 'X' then 100 when chr = 'Y' then 200 else cast(chr as int) end, start) rn from anchors""", "loops")
 def genomic_order(spark, d):
-    # Ranks per cell: the range-partitioned sort of sort_pairs() is what a writer uses; ranks make the order comparable.
-    from pyspark.sql import Window as W
-
-    rn = F.row_number().over(W.partitionBy(CELL).orderBy(chromosome_rank(), "start"))
-    return _spots(spark, d).select(CELL, "chr", "center", rn.cast("long").alias("rn"))
+    return pairs.genomic_rank(_spots(spark, d), "start").select(CELL, "chr", "center", "rn")
 
 
 @query("select chr, x, y, cell_type, y - x distance, round(log10(y - x), 6) log_distance, round(log10(y - x + 1), 6) log_distance1 from loops", "loops")
@@ -172,7 +168,24 @@ HASH = "md5(concat_ws('|', '42', {}))"
 NEG_TAIL = f"select chr, x, x - 2500 x_start, x + 2500 x_end, y, y - 2500 y_start, y + 2500 y_end, cell_type, 0 as label from"
 POS = f"select {PAIRS}, 1 as label from loops"
 CAND2 = """cand as (select a.cell_type, a.chr, a.center x, b.center y from {0} a join {0} b on a.cell_type = b.cell_type and a.chr = b.chr and a.center < b.center where a.center + 2500 < b.center - 2500)"""
-PICK = f"select *, row_number() over (partition by cell_type order by {HASH.format('cell_type, x, y')}, x, y) rn from "
+
+
+def _draw(tag: str, cand: str, want: str, keys: str = "cell_type", known: str | None = None) -> str:
+    """CTE picked<tag>: a sample of cand as the operator draws it. All pairs are numbered outright, the permutation is written out."""
+    on = lambda a, b: " and ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+    key = f"concat_ws(',', {keys})"
+    steps, own = [], ", ".join(f"s.{k.strip()}" for k in keys.split(","))
+    steps.append(f"nums{tag} as (select *, row_number() over (partition by {keys} order by chr, x, y) - 1 r from {cand})")
+    steps.append(f"sized{tag} as (select {own}, n, w, cast(floor(sqrt(n)) + 1 as bigint) side, {'coalesce(kn, 0)' if known else '0'} kn from (select {keys}, count(*) n from {cand} group by {keys}) s join {want} w on {on('s', 'w')}"
+                 + (f" left join (select {keys}, count(*) kn from (select distinct cell_type, chr, x, y from {known}) q group by {keys}) k on {on('s', 'k')})" if known else ")"))
+    steps.append(f"f{tag}0 as (select {keys}, n, w, side, k, k // side l, k % side r from (select *, unnest(range(cast(least(side * side, w + kn + side * side - n) as bigint))) k from sized{tag} where w > 0))")
+    for i in range(4):
+        mix = f"cast('0x' || substr(md5(concat_ws('|', '42', {key}, '{i}', r)), 1, 8) as bigint)"
+        steps.append(f"f{tag}{i + 1} as (select {keys}, n, w, side, k, r l, (l + {mix}) % side r from f{tag}{i})")
+    free = f" where not exists (select 1 from {known} p where p.cell_type = c.cell_type and p.chr = c.chr and p.x = c.x and p.y = c.y)" if known else ""
+    steps.append(f"picked{tag} as (select c.*, s.w, row_number() over (partition by {own} order by s.k) rn from (select {keys}, w, k, l * side + r number from f{tag}4 where l * side + r < n) s join nums{tag} c on {on('s', 'c')} and c.r = s.number{free})")
+    return ", ".join(steps)
+
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -182,8 +195,7 @@ def _plain(df: DataFrame) -> DataFrame:
 @query(f"""--cte {ANCHORS}, cells as (select distinct cell_type from loops), others as (select distinct c.cell_type, a.chr, a.center, a.start, a."end" from cells c join anchors a on a.cell_type <> c.cell_type),
     free as (select * from others o where not exists (select 1 from anchors b where b.cell_type = o.cell_type and b.chr = o.chr and o.start < b."end" and b.start < o."end")),
     ranked as (select *, row_number() over (partition by cell_type order by {HASH.format('cell_type, chr, center')}, cell_type, chr, center) rk, count(*) over (partition by cell_type) n from free),
-    half as (select * from ranked where rk <= round_even(n * 0.5, 0)), {CAND2.format('half')}, want as (select cell_type, cast(floor(count(*) * 5) as bigint) w from loops group by 1),
-    picked as (select c.*, w.w, row_number() over (partition by c.cell_type order by {HASH.format('c.cell_type, c.x, c.y')}, c.cell_type, c.x, c.y, c.chr) rn from cand c join want w on c.cell_type = w.cell_type)
+    half as (select * from ranked where rk <= round_even(n * 0.5, 0)), {CAND2.format('half')}, want as (select cell_type, cast(floor(count(*) * 5) as bigint) w from loops group by 1), {_draw('', 'cand', 'want')}
     {POS} union all {NEG_TAIL} picked where rn <= w""", "loops")
 def neg_n1(spark, d):
     return _plain(pairs.add_labels(_unique_pairs(spark, d), pairs.MODES[0]))
@@ -193,9 +205,7 @@ def _unique_pairs(spark, d):
     return _loops(spark, d)
 
 
-@query(f"""--cte {ANCHORS}, {CAND2.format('anchors')}, free as (select * from cand c where not exists (select 1 from loops l where l.cell_type = c.cell_type and l.chr = c.chr and l.x = c.x and l.y = c.y)),
-    want as (select cell_type, cast(floor(count(*) * 5) as bigint) w from loops group by 1),
-    picked as (select c.*, w.w, row_number() over (partition by c.cell_type order by {HASH.format('c.cell_type, c.x, c.y')}, c.cell_type, c.x, c.y, c.chr) rn from free c join want w on c.cell_type = w.cell_type)
+@query(f"""--cte {ANCHORS}, {CAND2.format('anchors')}, want as (select cell_type, cast(floor(count(*) * 5) as bigint) w from loops group by 1), {_draw('', 'cand', 'want', known='loops')}
     {POS} union all {NEG_TAIL} picked where rn <= w""", "loops")
 def neg_n2(spark, d):
     return _plain(pairs.add_labels(_loops(spark, d), pairs.MODES[1]))
@@ -209,7 +219,7 @@ REGIONS = f"""centers as (select cell_type, chr, cast((start + "end") // 2 as bi
 
 def _open(ratio: str) -> str:
     return f"""{REGIONS} {CAND2.format('spots')}, want as (select cell_type, chr, cast(round_even(count(*) * {ratio}, 0) as bigint) w from loops group by 1, 2),
-    picked as (select c.*, w.w, row_number() over (partition by c.cell_type, c.chr order by {HASH.format('c.cell_type, c.chr, c.x, c.y')}, c.x, c.y) rn from cand c join want w on c.cell_type = w.cell_type and c.chr = w.chr),
+    {_draw('', 'cand', 'want', 'cell_type, chr')},
     opened as ({NEG_TAIL} picked where rn <= w)"""
 
 
@@ -225,13 +235,10 @@ def neg_n4(spark, d):
 
 
 @query(f"""--cte {_open('2.5')}, both_ as (select {PAIRS} from loops union select {PAIRS} from opened), spots2 as (select distinct cell_type, chr, x center from both_ union select distinct cell_type, chr, y from both_),
-    {CAND2.format('spots2').replace('cand as', 'cand2 as')}, free as (select * from cand2 c where not exists (select 1 from both_ l where l.cell_type = c.cell_type and l.chr = c.chr and l.x = c.x and l.y = c.y)),
-    want2 as (select cell_type, cast(floor(count(*) * 2.5) as bigint) w from both_ group by 1),
-    picked2 as (select c.*, w.w, row_number() over (partition by c.cell_type order by {HASH.format('c.cell_type, c.x, c.y')}, c.cell_type, c.x, c.y, c.chr) rn from free c join want2 w on c.cell_type = w.cell_type)
-    select cell_type, chr, label, count(*) n, cast(sum(x) as bigint) sx, cast(sum(y) as bigint) sy from ({POS} union all select * from opened union all {NEG_TAIL} picked2 where rn <= w) q group by 1, 2, 3""", "loops", "peaks")
+    {CAND2.format('spots2').replace('cand as', 'cand2 as')}, want2 as (select cell_type, cast(floor(count(*) * 2.5) as bigint) w from both_ group by 1), {_draw('2', 'cand2', 'want2', known='both_')}
+    {POS} union all select * from opened union all {NEG_TAIL} picked2 where rn <= w""", "loops", "peaks")
 def neg_combined(spark, d):
-    out = pairs.add_labels(_loops(spark, d), pairs.MODES[3], _peaks(spark, d))
-    return out.groupBy(CELL, "chr", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    return _plain(pairs.add_labels(_loops(spark, d), pairs.MODES[3], _peaks(spark, d)))
 
 
 @query(f"""--cte {LABELLED}, one as (select * from labelled n where label = 0 and not exists (select 1 from labelled p where p.label = 1 and p.cell_type = n.cell_type and p.chr = n.chr and p.x = n.x))

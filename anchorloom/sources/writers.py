@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorloom.functions.genomic import CELL
+from anchorloom.functions.genomic import CELL, chromosome_rank
 
 
 def tsv(df: DataFrame, path: str, by_cell: bool = False) -> None:
@@ -21,6 +21,13 @@ def parquet(df: DataFrame, path: str, by_cell: bool = False) -> None:
     (out.partitionBy(CELL) if by_cell else out).parquet(path)
 
 
+def genomic(df: DataFrame, path: str, by: str = "x_start") -> None:
+    """Parquet in ranges of cell, chromosome and `by`, sorted within: reads of an interval skip all other files and row groups."""
+    keys = [F.col(CELL), chromosome_rank(), F.col(by)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
 def fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq") -> None:
     df.select(F.concat(F.lit(">"), name, F.lit("\n"), seq).alias("value")).write.mode("overwrite").text(path)
 
