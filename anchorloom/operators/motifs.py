@@ -87,12 +87,21 @@ def slices(parts: DataFrame, genome: DataFrame, width: int = CHUNK) -> DataFrame
     """parts (chr, start, end, name) with seq, their piece of genome (chr, seq).
 
     A part meets the chunk its start lies in, not the whole chromosome; chunks overlap by the longest part. A part that
-    begins outside its chromosome is left out, one that ends outside is cut."""
-    reach = parts.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    begins outside its chromosome is left out (or empty, where its chunk exists), one that ends outside is cut."""
+    reach = longest(parts)
     width = max(width, reach)
+    return slices_of_chunks(parts, chunks(genome, reach, width), width)
+
+
+def longest(parts: DataFrame) -> int:
+    return parts.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+
+
+def slices_of_chunks(parts: DataFrame, cut: DataFrame, width: int) -> DataFrame:
+    """slices() of a genome that is cut (chr, chunk, seq) into `width` letters and as many more as the longest part has."""
     placed = parts.withColumn("chunk", F.floor(F.col("start") / width).cast("int"))
     piece = F.expr(f"substring(seq, cast(start - chunk * {width}L + 1 as int), cast(end - start as int))")
-    return placed.join(chunks(genome, reach, width), ["chr", "chunk"]).select("chr", "start", "end", "name", piece.alias("seq"))
+    return placed.join(cut, ["chr", "chunk"]).select("chr", "start", "end", "name", piece.alias("seq"))
 
 
 def names(motifs: list[str]) -> list[str]:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from anchorloom.functions.genomic import CELL, anchor_name, apart, chromosome_rank, log10p1
 from anchorloom.operators import evaluation as ev
 from anchorloom.operators import features, intervals, motifs, pairs, sampling, signal
-from anchorloom.plans.fixtures import load, with_clause
-from anchorloom.sources import readers
+from anchorloom.plans.fixtures import _chr, load, with_clause
+from anchorloom.sources import chains, readers, writers
+from anchorloom.sources import settled as settled_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -382,6 +383,56 @@ def sequence_slice(spark, d):
 # Sets and columns.
 
 
+def _genome(spark, d):
+    """The documents' sequences as FASTA files in lines of 60 letters, written anew; every name is that of a chromosome."""
+    path = settled_files.scratch(spark)
+    seq = F.regexp_replace("seq", "(.{60})", "$1\n")
+    writers.fasta(load(spark, d, "seqs").select(F.concat(F.lit("NC_1 chromosome s"), "doc_id", F.lit(", whole")).alias("name"), seq.alias("seq")), path)
+    return path
+
+
+@query("""select 'chrs' || doc_id chr, cast(c as int) chunk, md5(substr(seq, c * 512 + 1, 532)) letters from (select doc_id, seq, unnest(range(greatest(1, (length(seq) + 511) // 512))) c from seqs) q""", "seqs")
+def fasta_chunks(spark, d):
+    made = readers.fasta_chunks(spark, _genome(spark, d), reach=20, width=512, size=1 << 18)
+    return made.select("chr", "chunk", F.md5("seq").alias("letters"))
+
+
+@query("""select 'chrs' || s.doc_id chr, o_orderkey % greatest(length(seq) - 19, 1) as start, o_orderkey % greatest(length(seq) - 19, 1) + 20 as "end", 'n' || o_orderkey as name,
+    substr(s.seq, cast(o_orderkey % greatest(length(seq) - 19, 1) + 1 as bigint), 20) seq from orders o join seqs s on s.doc_id = o.o_orderkey % (select count(*) from documents) where seq <> ''""", "seqs")
+def fasta_slice(spark, d):
+    seqs = load(spark, d, "seqs").where("seq != ''").select("doc_id", F.length("seq").alias("letters"))
+    o = spark.read.parquet(f"{d}/orders.parquet").withColumn("doc_id", F.col("o_orderkey") % _documents(spark, d)).join(seqs, "doc_id")
+    start = F.col("o_orderkey") % F.greatest(F.col("letters") - 19, F.lit(1))
+    parts = o.select(F.concat(F.lit("chrs"), "doc_id").alias("chr"), start.alias("start"), (start + 20).alias("end"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"))
+    return motifs.slices_of_chunks(parts, readers.fasta_chunks(spark, _genome(spark, d), reach=20, width=4096, size=1 << 20), 4096)
+
+
+CHAINS = f"""c as (select c_custkey k, {_chr('c_custkey')} chr, (c_custkey * 7919) % 3000 * 1000 s, 1000 + c_custkey % 700 a, 500 + c_custkey % 311 b, 2000 + c_custkey % 97 c, c_custkey % 5 * 100 g, c_custkey % 7 * 50 h, c_custkey % 3 * 70 i, c_custkey % 4 * 30 j,
+        {_chr('(c_custkey * 5)')} to_chr, 10000000 size, case when c_custkey % 2 = 1 then '-' else '+' end strand, (c_custkey * 104729) % 5000 * 1000 q, 1000 + (c_custkey * 31) % 997 score from {{customer}})"""
+# Every place's best chain, by pieces between all edges of blocks and runs; pieces of one block in a row are put together.
+LIFTED = """blocks as (select k, chr, s as start, s + a as "end", to_chr, q, a as len, strand, size, score from c union all select k, chr, s + a + g, s + a + g + b, to_chr, q + a + h, b, strand, size, score from c
+        union all select k, chr, s + a + g + b + i, s + a + g + b + i + c, to_chr, q + a + h + b + j, c, strand, size, score from c),
+    forward as (select *, case when strand = '-' then size - q - len else q end to_start from blocks),
+    met as (select r.cell_type, r.value, r.start rs, r.chr, f.k, f.score, f.start fs, f."end" fe, to_chr, to_start, strand, greatest(r.start, f.start) a, least(r."end", f."end") z from runs r join forward f on r.chr = f.chr and r.start < f."end" and f.start < r."end"),
+    edges as (select distinct chr, rs, cell_type, value, e from (select chr, rs, cell_type, value, unnest([a, z]) e from met) q),
+    pieces as (select chr, rs, cell_type, value, e p, lead(e) over (partition by chr, rs, cell_type, value order by e) n from edges),
+    won as (select p.p, p.n, m.*, row_number() over (partition by p.chr, p.rs, p.cell_type, p.value, p.p order by m.score desc, m.k) w from pieces p join met m on m.chr = p.chr and m.rs = p.rs and m.cell_type = p.cell_type and m.value = p.value and m.a <= p.p and p.n <= m.z),
+    rows_ as (select *, coalesce(p <> lag(n) over (partition by chr, rs, cell_type, value, k, fs order by p), true) fresh from won where w = 1),
+    whole as (select *, sum(fresh::int) over (partition by chr, rs, cell_type, value, k, fs order by p) island from rows_),
+    parts as (select chr, rs, cell_type, value, k, fs, any_value(fe) fe, any_value(to_chr) to_chr, any_value(to_start) to_start, any_value(strand) strand, min(p) p, max(n) n from whole group by chr, rs, cell_type, value, k, fs, island)"""
+
+
+@query(f"""--cte {CHAINS.format(customer='customer')}, {LIFTED} select to_chr as chr, cast(case when strand = '-' then to_start + fe - n else to_start + p - fs end as bigint) as start, cast(case when strand = '-' then to_start + fe - p else to_start + n - fs end as bigint) as "end", cell_type, value from parts""", "runs")
+def chain_liftover(spark, d):
+    """Runs through chains that are written as a chain file and read back: three blocks a chain, the best chain at each place."""
+    path = settled_files.scratch(spark)
+    c = spark.sql(f"with {CHAINS} select * from c", customer=spark.read.parquet(f"{d}/customer.parquet"))
+    head = F.concat_ws(" ", F.lit("chain"), "score", F.concat(F.lit("chr"), "chr"), F.lit("99999999"), F.lit("+"), "s", F.expr("s + a + g + b + i + c"), F.concat(F.lit("chr"), "to_chr"), "size", "strand", "q", F.expr("q + a + h + b + j + c"), "k")
+    lines = [F.concat_ws(" ", "a", "g", "h"), F.concat_ws(" ", "b", "i", "j"), F.col("c").cast("string")]
+    c.select(F.concat_ws("\n", head, *lines, F.lit("")).alias("value")).write.text(path)
+    return intervals.liftover(load(spark, d, "runs"), chains.best(chains.blocks(spark, path)))
+
+
 @query("select chr, x, y, cell_type, null as extra from loops union all select chr, start, null, cell_type, \"end\" from peaks", "loops", "peaks")
 def concat_aligned(spark, d):
     return features.concat_aligned([_loops(spark, d).select("chr", "x", "y", CELL), _peaks(spark, d).select("chr", F.col("start").alias("x"), CELL, F.col("end").alias("extra"))])

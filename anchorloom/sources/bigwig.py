@@ -1,7 +1,11 @@
-"""bigWig as a Spark data source: spark.read.format("bigwig").load(path) gives (chr, start, end, value) runs.
+"""bigWig as a Spark data source: spark.read.format("bigwig").load(path) gives (chr, start, end, value, track) runs.
 
 The format is public: a header, a B+ tree of chromosomes, an R-tree over data blocks, and zlib-compressed blocks of
 bedGraph, variable-step or fixed-step items. Blocks are independent, so ranges of the R-tree's leaves are partitions.
+
+path: one file, or several with commas between; track is a file's name. Files are read in pieces, from local disk or any store
+that Arrow knows. Filters on chr, start and end reach the R-tree: nodes that cannot overlap are not entered and their
+blocks not read (spark.sql.python.filterPushdown.enabled must be set, as register() does). Spark applies all filters again.
 """
 
 from __future__ import annotations
@@ -9,15 +13,50 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from anchorloom.sources.files import opened
 
 MAGIC, TREE_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 
 
+@dataclass
+class Wanted:
+    """What filters ask for: chromosomes (None: all), runs that end beyond `above` and start before `below`."""
+
+    chromosomes: set[str] | None = None
+    above: int = -1
+    below: int = 1 << 62
+
+    def take(self, f: Filter) -> None:
+        """Narrow by one filter; those of other kinds change nothing."""
+        column = getattr(f, "attribute", None)
+        if column == ("chr",) and isinstance(f, EqualTo | In):
+            names = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.chromosomes = names if self.chromosomes is None else self.chromosomes & names
+        elif column == ("end",) and isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
+            self.above = max(self.above, f.value - (not isinstance(f, GreaterThan)))
+        elif column == ("start",) and isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+            self.below = min(self.below, f.value + (not isinstance(f, LessThan)))
+        # A run lies within its block: what holds for its start holds for the block's end too, and the other way round.
+        if column == ("start",) and isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
+            self.above = max(self.above, f.value - (not isinstance(f, GreaterThan)))
+        elif column == ("end",) and isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+            self.below = min(self.below, f.value + (not isinstance(f, LessThan)))
+
+    def overlaps(self, span: tuple[int, int, int, int], numbers: list[int] | None) -> bool:
+        """Whether a node of the R-tree (first chromosome and start, last chromosome and end) may hold wanted runs."""
+        first, start, last, end = span
+        if numbers is not None and not any(first <= n <= last for n in numbers):
+            return False
+        return first != last or (end > self.above and start < self.below)
+
+
 class File:
     def __init__(self, path: str):
-        self.f = open(path.removeprefix("file://"), "rb")  # noqa: SIM115
+        self.f = opened(path)
         head = self.f.read(64)
         self.e = "<" if struct.unpack("<I", head[:4])[0] == MAGIC else ">"
         if self._un("I", head[:4])[0] != MAGIC:
@@ -48,21 +87,26 @@ class File:
                     todo.append(self._at(at + key, "Q")[0])
         return out
 
-    def blocks(self) -> list[tuple[int, int]]:
-        """(place, bytes) of every data block."""
+    def blocks(self, wanted: Wanted) -> list[tuple[int, int]]:
+        """(place, bytes) of every data block that may hold wanted runs."""
         if self._at(self.index, "I")[0] != INDEX_MAGIC:
             raise ValueError("the index is damaged")
+        numbers = None if wanted.chromosomes is None else [n for n, name in self.chromosomes().items() if name in wanted.chromosomes]
         out, todo = [], [self.index + 48]
         while todo:
             place = todo.pop()
             leaf, _, count = self._at(place, "BBH")
             size = 32 if leaf else 24
+            self.f.seek(place + 4)
+            data = self.f.read(count * size)
             for i in range(count):
-                at = place + 4 + i * size
+                span = self._un("IIII", data[i * size : i * size + 16])
+                if not wanted.overlaps(span, numbers):
+                    continue
                 if leaf:
-                    out.append(self._at(at + 16, "QQ"))
+                    out.append(self._un("QQ", data[i * size + 16 : i * size + 32]))
                 else:
-                    todo.append(self._at(at + 16, "Q")[0])
+                    todo.append(self._un("Q", data[i * size + 16 : i * size + 24])[0])
         return sorted(out)
 
     def runs(self, place: int, size: int, names: dict[int, str]) -> Iterator[tuple[str, int, int, float]]:
@@ -84,24 +128,33 @@ class File:
 
 
 class Range(InputPartition):
-    def __init__(self, blocks: list[tuple[int, int]]):
-        self.blocks = blocks
+    def __init__(self, path: str, blocks: list[tuple[int, int]]):
+        self.path, self.blocks = path, blocks
 
 
 class BigWigReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.each = options["path"], int(options.get("blocks", 2000))
+        self.paths, self.each, self.wanted = [p.strip() for p in options["path"].split(",")], int(options.get("blocks", 2000)), Wanted()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            self.wanted.take(f)
+            yield f  # a block holds other runs too
 
     def partitions(self) -> list[Range]:
-        found = File(self.path).blocks()
-        return [Range(found[i : i + self.each]) for i in range(0, len(found), self.each)] or [Range([])]
+        out = []
+        for path in self.paths:
+            found = File(path).blocks(self.wanted)
+            out += [Range(path, found[i : i + self.each]) for i in range(0, len(found), self.each)]
+        return out or [Range(self.paths[0], [])]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         if partition.blocks:
-            file = File(self.path)
+            file, track = File(partition.path), partition.path.rsplit("/", 1)[-1]
             names = file.chromosomes()
             for place, size in partition.blocks:
-                yield from file.runs(place, size, names)
+                for run in file.runs(place, size, names):
+                    yield (*run, track)
 
 
 class BigWigSource(DataSource):
@@ -110,11 +163,12 @@ class BigWigSource(DataSource):
         return "bigwig"
 
     def schema(self) -> str:
-        return "chr string, start long, end long, value double"
+        return "chr string, start long, end long, value double, track string"
 
     def reader(self, schema) -> BigWigReader:
         return BigWigReader(self.options)
 
 
 def register(spark) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BigWigSource)

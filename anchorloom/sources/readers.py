@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorloom.functions.genomic import CELL, bare_chr, middle_even, middle_floor, windowed
+from anchorloom.sources.fasta import CHUNK, RANGE, chunks
 
 BED = "chr string, start int, end int"
 LOOPS = "chr1 string, x1 long, x2 long, chr2 string, y1 long, y2 long"
@@ -95,15 +96,25 @@ def bedgraph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str, organism: str = "human") -> DataFrame:
-    """(chr, seq) of whole chromosomes. Human: NC records that name a chromosome, called chr<name>; fly: a fixed list."""
+    """(chr, seq) of whole chromosomes, a row each; fasta_chunks() gives them in pieces. Human: NC records that name a chromosome, called chr<name>; fly: a fixed list."""
     records = spark.read.text(path, lineSep=">").where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^([^\n\r]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n\r]*", ""), r"\s+", "")
-    named = records.select(head.alias("head"), seq.alias("seq"))
+    return _chromosomes(records.select(head.alias("head"), seq.alias("seq")), organism)
+
+
+def _chromosomes(named: DataFrame, organism: str) -> DataFrame:
+    """named (head, ...) with chr instead of head, for the records that are chromosomes."""
+    rest = [c for c in named.columns if c != "head"]
     if organism == "human":
         found = named.where(F.col("head").startswith("NC") & F.col("head").contains("chromosome"))
-        return found.select(F.concat(F.lit("chr"), F.regexp_extract("head", "chromosome ([^,]*),", 1)).alias("chr"), "seq")
-    return named.where(F.trim("head").isin(FLY_CHROMOSOMES)).select(F.trim("head").alias("chr"), "seq")
+        return found.select(F.concat(F.lit("chr"), F.regexp_extract("head", "chromosome ([^,]*),", 1)).alias("chr"), *rest)
+    return named.where(F.trim("head").isin(FLY_CHROMOSOMES)).select(F.trim("head").alias("chr"), *rest)
+
+
+def fasta_chunks(spark: SparkSession, path: str, organism: str = "human", reach: int = 0, width: int = CHUNK, size: int = RANGE) -> DataFrame:
+    """(chr, chunk, seq) of the chromosomes that fasta() gives whole: `width` letters a row and the first `reach` of the next."""
+    return _chromosomes(chunks(spark, path, reach, width, size), organism)
 
 
 def jaspar(spark: SparkSession, path: str) -> DataFrame:
