@@ -360,7 +360,20 @@ def join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that link, directly or by others, to one of smaller doc_id; rows without doc_id or words stay.
 
-    Of rows that share the smallest doc_id one stays for each text."""
-    gone = common.written(join(docs).where("component_id < doc_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_near_id"))
+    Of rows that share the smallest doc_id one stays for each text: the least by all its columns."""
+    made = common.written(join(docs))
+    gone = common.written(made.where("component_id < doc_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_near_id"))
     far = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
-    return docs.join(far, F.col("doc_id") == F.col("_near_id"), "left_anti")
+    kept = docs.join(far, F.col("doc_id") == F.col("_near_id"), "left_anti")
+    twice = common.written(made.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_near_id")))
+    common.forget(made)
+    many = twice.count()
+    if not many:
+        return kept
+    at = F.broadcast(twice) if many <= 1_000_000 else twice
+    same = F.col("doc_id") == F.col("_near_id")
+    worded = F.coalesce(F.col("text").cast("string").rlike("[^ \\t-\\r]"), F.lit(False))
+    shared = kept.where(worded).join(at, same, "left_semi")
+    # Copies combine before the shuffle, so many copies of one row are no hot task.
+    one = shared.groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_near_row"))
+    return kept.where(~worded).unionByName(kept.where(worded).join(at, same, "left_anti")).unionByName(one.select("_near_row.*"))

@@ -134,7 +134,8 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out())
     marked = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stats.join(marked, "doc_id").select("doc_id", "x", "y").collect()  # at most `sample` documents
+    # Rows that share a doc_id are more than the labels: the bound holds for rows too.
+    rows = stats.join(marked, "doc_id").select("doc_id", "x", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))
     return fit(np.array([r.x for r in rows]).reshape(-1, len(NAMES)), np.array([r.y for r in rows], float))
 

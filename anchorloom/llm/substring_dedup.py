@@ -1,16 +1,16 @@
 """Substring dedup: words in any passage of 20 or more words that also starts earlier in the corpus are removed.
 
-Suffix trees cut at depth 20, partitioned by prefix, with fingerprints on their edges:
+No tree is built: of prefix-partitioned suffix trees only the nodes at depth 20 matter here, and they are found by grouping
+fingerprints of 20-word windows:
 1. Anchors. Of each 20-word window's eight-word grams the one of least hash is its anchor; equal windows have equal
-   anchors, and about one gram in seven is one. Suffixes can only repeat where the anchor occurs twice, so others never
-   enter a tree. Anchor counts are summed in Spark.
-2. Subtrees. A window that has a repeated anchor is a suffix; its key is a fingerprint of its first eight words followed
-   by one of all twenty, and a second fingerprint of all twenty from other hashes, 64 bits more, tells apart windows that
-   share a key. Keys are range-partitioned: bounds found from the data are variable-length (bit) prefixes that
-   hold as many suffixes each. In key order suffixes of a common prefix are neighbours, and a node of depth 20 with two
-   leaves is a repeat; what is kept of it is its first leaf. Leaves of a node combine before the shuffle, so a passage
-   in a third of all documents sends one row from each batch.
-3. Texts. Each window looks its node up in the memory-mapped nodes; where the first leaf starts earlier, its words go.
+   anchors, and about one gram in seven is one. Windows can only repeat where the anchor occurs twice, so others are never
+   shuffled. Anchor counts are summed in Spark.
+2. Nodes. A window that has a repeated anchor is a suffix's prefix; its key is a fingerprint of its first eight words
+   followed by one of all twenty, and a second fingerprint of all twenty from other hashes, 64 bits more, tells apart windows
+   that share a key. Windows of one key are a node; one with two windows is a repeat, and what is kept of it is its first
+   window. Windows of a node combine before the shuffle, so a passage in a third of all documents sends one row from each
+   batch. Nodes are range-partitioned by key into files.
+3. Texts. Each window looks its node up in the memory-mapped nodes; where the first window starts earlier, its words go.
    Overlapping windows make up the maximal repeats. Texts are never shuffled.
 
 Defined cases: null text has no words; texts under 20 words keep all; null doc_id counts as larger than any; rows that
@@ -31,10 +31,26 @@ from pyspark.sql import functions as F
 from anchorloom.llm import common, sorted_files
 
 LAST = (1 << 63) - 1
+#: Hashes whose places share a number with their upper bits; longer texts are taken in stretches of that many.
+PLACES = 1 << 20
 OTHER = 0x5851F42D4C957F2D
 ANCHORS, NODES = {"anchor": "<i8"}, {"node": "<i8", "check": "<i8", "doc": "<i8", "at": "<i4"}
 
 
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each `width` hashes in a row, the first of equal ones; at most PLACES hashes.
+
+    The place in the low bits breaks ties to the left and comes out with the minimum."""
+    a = (h & ~np.uint64(PLACES - 1)) | np.arange(len(h), dtype=np.uint64)
+    n, step = len(h) - width + 1, 1
+    while 2 * step <= width:
+        a = np.minimum(a[:-step], a[step:])
+        step *= 2
+    if step < width:
+        a = np.minimum(a[:n], a[width - step : width - step + n])
+    return (a[:n] & np.uint64(PLACES - 1)).astype(np.int64)
+
+
 class Windows:
     """A text's windows of `size` words and their anchors of `gram` words."""
 
@@ -46,17 +62,11 @@ class Windows:
             return
         h = common.grams(hashes, gram)
         self.prefix = h
-        # The place in the low bits breaks ties to the left and comes out with the minimum.
-        a = (h & ~np.uint64(0xFFFFF)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(0xFFFFF))
-        width, step = size - gram + 1, 1
-        while 2 * step <= width:
-            a = np.minimum(a[:-step], a[step:])
-            step *= 2
-        if step < width:
-            a = np.minimum(a[: self.n], a[width - step : width - step + self.n])
-        low = (a[: self.n] & np.uint64(0xFFFFF)).astype(np.int64)
-        start = np.arange(self.n)
-        at = start + ((low - start) & 0xFFFFF)
+        width, at = size - gram + 1, []
+        for a in range(0, self.n, PLACES - width):
+            part = h[a : min(a + PLACES - width, self.n) + width - 1]
+            at.append(a + _least(part, width))
+        at = np.concatenate(at)
         # Windows of one anchor follow each other: each anchor once, and how many windows it has.
         first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         self.anchors = h[at[first]].astype(np.int64)
