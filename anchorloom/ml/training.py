@@ -18,6 +18,7 @@ from anchorloom.operators import evaluation
 from anchorloom.operators.features import COORDINATES
 from anchorloom.operators.sampling import folds, sample_fraction, train_test
 from anchorloom.sources import writers
+from anchorloom.sources.settled import settled
 
 SEED, MOST_CELLS = 42, 1000
 #: Names used elsewhere for the same settings.
@@ -91,11 +92,13 @@ def audit(split: DataFrame, key: list[str]) -> DataFrame:
     return split.groupBy(CELL, "label").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
 
 
-def hold_out_score(df: DataFrame, kind: str, key: list[str], test: float = 0.3, parameters: dict | None = None) -> float:
-    """Area under the curve of one setting on held-out rows."""
+def hold_out_score(df: DataFrame, kind: str, key: list[str], test: float = 0.3, parameters: dict | None = None, metric: str = "roc_auc") -> float:
+    """One of evaluation.METRICS of one setting's hard predictions on held-out rows; roc_auc unless another is named."""
     columns, data = inputs(df, key), train_test(df, key, SEED, test, ["label"])
     model = fit(data.where("split = 'train'"), kind, columns, parameters)
-    return BinaryClassificationEvaluator().evaluate(predict(data.where("split = 'test'"), model, columns).withColumn("label", F.col("label").cast("double")))
+    made = predict(data.where("split = 'test'"), model, columns).select(F.lit("all").alias("grp"), "label", F.col("prediction").alias("pred"))
+    found = evaluation.binary_metrics(made).select(metric).first()
+    return found[0] if found else 0.0
 
 
 def search_cells(df: DataFrame, kind: str, key: list[str], saved: str | None = None, **search) -> dict[str, dict]:
@@ -112,7 +115,7 @@ def search_cells(df: DataFrame, kind: str, key: list[str], saved: str | None = N
 def timed(df: DataFrame, kind: str, key: list[str], runs: str, run: str, parameters: dict | None = None) -> DataFrame:
     """within(), its means and the seconds it took appended to the table of runs."""
     began = time.monotonic()
-    metrics = within(df, kind, key, parameters=parameters).persist()
+    metrics = settled(within(df, kind, key, parameters=parameters))
     means = evaluation.mean_metrics(metrics).first().asDict()
     writers.log_run(df.sparkSession, runs, run, {k: v for k, v in means.items() if v is not None} | {"seconds": time.monotonic() - began}, {"model": kind})
     return metrics
@@ -128,7 +131,7 @@ def refitted(df: DataFrame, kind: str, key: list[str], parameters: dict | None =
 def within(df: DataFrame, kind: str, key: list[str], test: float = 0.3, parameters: dict | None = None) -> DataFrame:
     """Metrics of each cell's model on the cell's own test rows."""
     columns = inputs(df, key)
-    data = train_test(df, key, SEED, test, [CELL, "label"]).persist()
+    data = settled(train_test(df, key, SEED, test, [CELL, "label"]))
     parts = []
     for cell in cells_of(data):
         own = data.where(F.col(CELL) == cell)
@@ -140,7 +143,7 @@ def within(df: DataFrame, kind: str, key: list[str], test: float = 0.3, paramete
 def across(df: DataFrame, kind: str, key: list[str] | None = None, parameters: dict | None = None) -> DataFrame:
     """Metrics on each cell of a model fitted on all others."""
     columns = inputs(df, key or ["doc_id"])
-    data, parts = df.persist(), []
+    data, parts = settled(df), []
     for cell in cells_of(data):
         model = fit(data.where(F.col(CELL) != cell), kind, columns, parameters)
         parts.append(predict(data.where(F.col(CELL) == cell), model, columns).select(F.col(CELL).alias("grp"), "label", F.col("prediction").alias("pred")))
@@ -154,19 +157,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def cross_predicted(df: DataFrame, kind: str, key: list[str], k: int = 10, parameters: dict | None = None) -> DataFrame:
-    """(label, prediction, p) of every row by the model that did not see its fold."""
-    columns = inputs(df, key)
-    data = folds(df, key, SEED, k, ["label"]).persist()
+def _by_fold(df: DataFrame, kind: str, key: list[str], k: int, parameters: dict | None) -> list[DataFrame]:
     from pyspark.ml.functions import vector_to_array
 
-    parts = [predict(data.where(F.col("fold") == i), fit(data.where(F.col("fold") != i), kind, columns, parameters), columns).select("label", "prediction", vector_to_array("probability")[1].alias("p")) for i in range(k)]
-    return _union(parts)
+    columns = inputs(df, key)
+    data = settled(folds(df, key, SEED, k, ["label"]))
+    each = [(data.where(F.col("fold") == i), data.where(F.col("fold") != i)) for i in range(k)]
+    return [predict(own, fit(rest, kind, columns, parameters), columns).select("label", "prediction", vector_to_array("probability")[1].alias("p")) for own, rest in each]
+
+
+def cross_predicted(df: DataFrame, kind: str, key: list[str], k: int = 10, parameters: dict | None = None) -> DataFrame:
+    """(label, prediction, p) of every row by the model that did not see its fold."""
+    return _union(_by_fold(df, kind, key, k, parameters))
 
 
 def cross_score(df: DataFrame, kind: str, key: list[str], k: int = 3, parameters: dict | None = None) -> float:
-    """Area under the curve of out-of-fold probabilities."""
-    return BinaryClassificationEvaluator(rawPredictionCol="p").evaluate(cross_predicted(df, kind, key, k, parameters).withColumn("label", F.col("label").cast("double")))
+    """Mean over folds of the area under the curve of a fold's probabilities: scores of different models do not mix."""
+    scorer = BinaryClassificationEvaluator(rawPredictionCol="p")
+    found = [scorer.evaluate(f.withColumn("label", F.col("label").cast("double"))) for f in _by_fold(df, kind, key, k, parameters)]
+    return sum(found) / len(found)
 
 
 def optimise(df: DataFrame, kind: str, key: list[str], trials: int = 20, k: int = 3, maximise: bool = True, space: dict | None = None, seconds: float | None = None) -> tuple[dict, float]:

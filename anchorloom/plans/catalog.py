@@ -550,6 +550,31 @@ for _kind in ("logistic_regression", "random_forest", "gradient_boosting", "deci
     QUERIES[f"train_{_kind}"] = _train
 
 
+@query()
+def train_leafwise(spark, d):
+    """Metrics of each cell's leaf-wise trees on the cell's own test rows."""
+    from anchorloom.ml import boosting, training
+
+    df = _model_input(spark, d)
+    data = settled_files.settled(sampling.train_test(df, ["doc_id"], training.SEED, 0.3, [CELL, "label"]))
+    parts = []
+    for cell in training.cells_of(data):
+        own = data.where(F.col(CELL) == cell)
+        model = boosting.fit(own.where("split = 'train'"), training.inputs(df, ["doc_id"]), trees=10, leaves=15, bins=64)
+        parts.append(boosting.predict(own.where("split = 'test'"), model).select(F.col(CELL).alias("grp"), "label", F.col("prediction").alias("pred")))
+    return ev.binary_metrics(training._union(parts))
+
+
+@query()
+def tree_shap(spark, d):
+    """Every labelled document's contributions by column to the margin of leaf-wise trees fitted on all of them."""
+    from anchorloom.ml import boosting, shap, training
+
+    df = _model_input(spark, d)
+    model = boosting.fit(df, training.inputs(df, ["doc_id"]), trees=10, leaves=15, bins=64)
+    return shap.tree_shap(df.select("doc_id", *model.columns), model)
+
+
 @query()
 def loco_eval(spark, d):
     from anchorloom.ml import training

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchorloom.sources.files import opened, read_at
+from anchorloom.sources.settled import ship
 
 #: Bytes of a range, of the longest header, and of a read beyond a range.
 RANGE, HEADER, AHEAD = 8 << 20, 1 << 16, 1 << 16
@@ -142,6 +143,7 @@ def chunks(spark: SparkSession, path: str, reach: int = 0, width: int = CHUNK, s
     """(head, chunk, seq) of all records of the files: `width` letters each and the first `reach` (at most width) of the next."""
     if reach > width:
         raise ValueError("chunks reach into the next one only")
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
