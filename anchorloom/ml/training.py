@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 import time
 from collections.abc import Iterable
 
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorloom.functions.genomic import CELL
+from anchorloom.ml.search import Range, Search, Space
 from anchorloom.operators import evaluation
 from anchorloom.operators.features import COORDINATES
 from anchorloom.operators.sampling import folds, sample_fraction, train_test
@@ -23,12 +23,22 @@ from anchorloom.sources.settled import settled
 SEED, MOST_CELLS = 42, 1000
 #: Names used elsewhere for the same settings.
 RENAMED = {"n_estimators": {"random_forest": "numTrees", "gradient_boosting": "maxIter"}, "max_depth": "maxDepth", "criterion": "impurity", "min_samples_leaf": "minInstancesPerNode", "min_child_samples": "minInstancesPerNode", "min_impurity_decrease": "minInfoGain", "min_split_gain": "minInfoGain", "min_weight_fraction_leaf": "minWeightFractionPerNode", "subsample": "subsamplingRate", "learning_rate": "stepSize", "max_bin": "maxBins", "tol": "tol", "bootstrap": "bootstrap", "max_features": "featureSubsetStrategy"}
-SPACES = {
-    "logistic_regression": {"C": (0.1, 10.0), "tol": (1e-6, 1e-3)},
-    "random_forest": {"n_estimators": (20, 100), "max_depth": (3, 15), "min_samples_leaf": (1, 20)},
-    "gradient_boosting": {"n_estimators": (20, 80), "max_depth": (3, 8), "learning_rate": (0.02, 0.3)},
-    "decision_tree": {"max_depth": (3, 15), "min_samples_leaf": (1, 50), "criterion": ["gini", "entropy"]},
-}
+_DEPTHS = [10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 1000, 10000]
+#: The ranges that settings are searched in, by their common names. Those without a counterpart here change nothing.
+SPACES: dict[str, Space] = {
+    "logistic_regression": {"C": Range(0.1, 10, 0.1), "tol": Range(0.000001, 0.001)},
+    "random_forest": {
+        "criterion": ["gini", "entropy"], "n_estimators": Range(100, 1000, 50, True), "max_depth": _DEPTHS, "min_samples_leaf": Range(1, 10, 1, True),
+        "min_weight_fraction_leaf": Range(0, 0.5, 0.1), "min_impurity_decrease": Range(0, 0.5, 0.1), "bootstrap": [True, False],
+    },
+    "gradient_boosting": {
+        "max_depth": Range(-1, 20, 5, True), "min_child_samples": Range(10, 100, 10, True), "max_bin": Range(200, 300, 25, True), "learning_rate": Range(0.01, 0.51, 0.1),
+        "n_estimators": [50, 100, 150, 200], "min_split_gain": Range(0, 10, 1, True), "subsample": Range(0.3, 1, 0.1),
+    },
+    "decision_tree": {
+        "criterion": ["gini", "entropy"], "max_depth": _DEPTHS, "min_samples_leaf": Range(1, 10, 1, True), "min_weight_fraction_leaf": Range(0, 0.5, 0.1), "min_impurity_decrease": Range(0, 0.5, 0.1),
+    },
+}
 
 
 def estimator(kind: str, parameters: dict | None = None, rows: int = 1):
@@ -45,6 +55,8 @@ def estimator(kind: str, parameters: dict | None = None, rows: int = 1):
         elif target and model.hasParam(target):
             if target == "maxDepth":
                 value = 30 if value is None or value < 0 else min(value, 30)
+            elif target == "minWeightFractionPerNode":
+                value = min(value, 0.5 - 1e-9)  # a half is not allowed here; no split has more on both sides
             model._set(**{target: value})
         else:
             dropped.append(name)
@@ -158,10 +170,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _by_fold(df: DataFrame, kind: str, key: list[str], k: int, parameters: dict | None) -> list[DataFrame]:
+    """Predictions of each fold; df may have its folds already."""
     from pyspark.ml.functions import vector_to_array
 
     columns = inputs(df, key)
-    data = settled(folds(df, key, SEED, k, ["label"]))
+    data = df if "fold" in df.columns else settled(folds(df, key, SEED, k, ["label"]))
     each = [(data.where(F.col("fold") == i), data.where(F.col("fold") != i)) for i in range(k)]
     return [predict(own, fit(rest, kind, columns, parameters), columns).select("label", "prediction", vector_to_array("probability")[1].alias("p")) for own, rest in each]
 
@@ -178,15 +191,17 @@ def cross_score(df: DataFrame, kind: str, key: list[str], k: int = 3, parameters
     return sum(found) / len(found)
 
 
-def optimise(df: DataFrame, kind: str, key: list[str], trials: int = 20, k: int = 3, maximise: bool = True, space: dict | None = None, seconds: float | None = None) -> tuple[dict, float]:
-    """The best of seeded random settings, or the defaults ({}) if none beats them."""
-    draw, space, started = random.Random(SEED), space or SPACES[kind], time.monotonic()
+def optimise(df: DataFrame, kind: str, key: list[str], trials: int = 20, k: int = 3, maximise: bool = True, space: Space | None = None, seconds: float | None = None) -> tuple[dict, float]:
+    """The best of the settings that a Search tries, or the defaults ({}) if none beats them, and its cross_score()."""
+    search, started = Search(space or SPACES[kind], SEED, maximise), time.monotonic()
+    df = settled(folds(df, key, SEED, k, ["label"]))  # all settings are held against the same folds
     best, score = {}, cross_score(df, kind, key, k)
     for _ in range(trials):
         if seconds is not None and time.monotonic() - started > seconds:
             break
-        tried = {n: draw.choice(r) if isinstance(r, list) else draw.randint(*r) if isinstance(r[0], int) else draw.uniform(*r) for n, r in space.items()}
+        tried = search.ask()
         found = cross_score(df, kind, key, k, tried)
+        search.tell(tried, found)
         if found > score if maximise else found < score:
             best, score = tried, found
     return best, score

@@ -586,12 +586,12 @@ def loco_eval(spark, d):
 def cv_eval(spark, d):
     from anchorloom.ml import training
 
-    return ev.binary_metrics(training.cross_predicted(_model_input(spark, d), "decision_tree", ["doc_id"], k=3).withColumn("grp", F.lit("all")), label="label", pred="prediction")
+    return ev.binary_metrics(training.cross_predicted(_model_input(spark, d), "decision_tree", ["doc_id"]).withColumn("grp", F.lit("all")), label="label", pred="prediction")
 
 
 @query()
 def tune(spark, d):
     from anchorloom.ml import training
 
-    best, score = training.optimise(_model_input(spark, d), "decision_tree", ["doc_id"], trials=3)
+    best, score = training.optimise(_model_input(spark, d), "decision_tree", ["doc_id"])
     return spark.createDataFrame([(k, str(v), score) for k, v in sorted(best.items())] or [("default", "", score)], "parameter string, value string, score double")
