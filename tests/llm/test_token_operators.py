@@ -7,7 +7,7 @@ import pytest
 from tests.llm import brute
 
 ROWS = brute.awkward()
-ODD = ["It's <|endoftext|> x<|startoftext|>y", "a b́ Ć é İstanbul ΣΑΣ can't WE'LL ''s", "ß STRASSE Ñandú!!! ... foo!?bar 3.14 a.b,c x​y  z", "日本語 عربي \U0001f642 ë", "don''t !!'s 's"]
+ODD = ["It's <|endoftext|> x<|startoftext|>y", "a b́ Ć é İstanbul ΣΑΣ can't WE'LL ''s", "ß STRASSE Ñandú!!! ... foo!?bar 3.14 a.b,c x​y  z", "日本語 عربي \U0001f642 ë", "don''t !!'s 's", "A<|ENDOFTEXT|>b <|EndOfText|> C"]
 
 
 @pytest.fixture(scope="module")
