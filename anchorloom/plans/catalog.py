@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from anchorloom.functions.genomic import CELL, anchor_name, apart, chromosome_rank, log10p1
 from anchorloom.operators import evaluation as ev
-from anchorloom.operators import features, intervals, motifs, pairs, sampling, signal
+from anchorloom.operators import density, features, intervals, motifs, pairs, sampling, signal
 from anchorloom.plans.fixtures import _chr, load, with_clause
 from anchorloom.sources import chains, readers, writers
 from anchorloom.sources import settled as settled_files
@@ -496,6 +496,19 @@ def group_quantiles(spark, d):
     return out.select("grp", "lowest", *[F.round(q, 6).alias(q) for q in ("q25", "q50", "q75")], "highest")
 
 
+@query(f"""--cte {LABELLED}, v as (select cell_type, label, log10(y - x) v from labelled),
+    st as (select *, bw / 16 fine, (hi - lo + 6 * bw) / 199 step, lo - 3 * bw low from (select cell_type, label, count(*) n, min(v) lo, max(v) hi, stddev_samp(v) * pow(count(*), -0.2) bw from v group by 1, 2) q where lo < hi),
+    cells as (select cell_type, label, c, count(*) m, sum(w - c) f from (select v.cell_type, v.label, (v - lo) / fine w, floor((v - lo) / fine) c from v join st on v.cell_type = st.cell_type and v.label = st.label) q group by 1, 2, 3),
+    nodes as (select cell_type, label, c, m - f as mass from cells union all select cell_type, label, c + 1, f from cells),
+    points as (select *, low + point * step as x from (select *, unnest(range(0, 200)) point from st) q)
+    select p.cell_type, p.label, cast(p.point as int) point, round(p.x, 6) as "at", round(coalesce(sum(mass * exp(-pow((p.x - lo - c * fine) / bw, 2) / 2)) / (n * bw * sqrt(2 * pi())), 0), 6) density
+    from points p left join nodes k on k.cell_type = p.cell_type and k.label = p.label and abs(p.x - lo - c * fine) <= 6 * bw group by p.cell_type, p.label, p.point, p.x, n, bw""", "loops")
+def density_by_group(spark, d):
+    """Densities of the pairs' log distances by cell and label."""
+    df = _labelled(spark, d).select(CELL, "label", F.log10(F.col("y") - F.col("x")).alias("v"))
+    return density.densities(df, [CELL, "label"], "v").select(CELL, "label", "point", F.round("at", 6).alias("at"), F.round("density", 6).alias("density"))
+
+
 @query("select cell_type, count(*) n, count(*) filter (y - x > 1000000) far, count(*) filter (chr = 'X') on_x from loops group by 1", "loops")
 def count_by_predicate(spark, d):
     return _loops(spark, d).groupBy(CELL).agg(F.count("*").alias("n"), F.count_if(F.col("y") - F.col("x") > 1_000_000).alias("far"), F.count_if(F.col("chr") == "X").alias("on_x"))
@@ -582,6 +595,32 @@ def loco_eval(spark, d):
     return training.across(_model_input(spark, d), "decision_tree")
 
 
+def _newton(steps: int) -> str:
+    """Regressions on two columns, each without the rows of its cell, by written-out Newton steps from 0."""
+    out = "it0 as (select distinct cell, 0::double a1, 0::double a2, 0::double a0 from z)"
+    for i in range(steps):
+        out += f""", s{i} as materialized (select cell, a1, a2, a0, s1, s2, sum(e * z1) + a1 * s1 g1, sum(e * z2) + a2 * s2 g2, sum(e) g0, sum(q * z1 * z1) + s1 h11, sum(q * z1 * z2) h12, sum(q * z1) h10, sum(q * z2 * z2) + s2 h22, sum(q * z2) h20, sum(q) h00
+            from (select t.cell, a1, a2, a0, z1, z2, 1 / pow(d1, 2) s1, 1 / pow(d2, 2) s2, 1 / (1 + exp(-(a1 * z1 + a2 * z2 + a0))) - label e, 1 / (1 + exp(-(a1 * z1 + a2 * z2 + a0))) / (1 + exp(a1 * z1 + a2 * z2 + a0)) q from it{i} t join z on z.cell <> t.cell) r group by cell, a1, a2, a0, s1, s2),
+            it{i + 1} as materialized (select cell, a1 - (g1 * (h22 * h00 - h20 * h20) - h12 * (g2 * h00 - g0 * h20) + h10 * (g2 * h20 - g0 * h22)) / det a1, a2 - (h11 * (g2 * h00 - g0 * h20) - g1 * (h12 * h00 - h10 * h20) + h10 * (h12 * g0 - h10 * g2)) / det a2,
+            a0 - (h11 * (h22 * g0 - h20 * g2) - h12 * (h12 * g0 - h10 * g2) + g1 * (h12 * h20 - h10 * h22)) / det a0 from (select *, h11 * (h22 * h00 - h20 * h20) - h12 * (h12 * h00 - h20 * h10) + h10 * (h12 * h20 - h22 * h10) det from s{i}) r)"""
+    return out
+
+
+@query(f"""with x as (select lang cell, quality label, length(regexp_replace(text, '[^*#$%&|!]', '', 'g'))::double x1, len(string_split(text, chr(10)))::double x2 from documents d join labels l on l.doc_id = d.doc_id where lang is not null and quality is not null and text is not null),
+    z as materialized (select cell, label, (x1 - m1) / d1 z1, (x2 - m2) / d2 z2, d1, d2 from x, (select avg(x1) m1, avg(x2) m2, stddev_pop(x1) d1, stddev_pop(x2) d2 from x) q), {_newton(20)}
+    select z.cell grp, round(a1 / d1, 6) w_marks, round(a2 / d2, 6) w_rows, {', '.join(f"count(*) filter (label = {a} and (a1 * z1 + a2 * z2 + a0 > 0) = {bool(b)}) {n}" for n, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0)))}
+    from z join it20 t on t.cell = z.cell group by z.cell, a1, a2, d1, d2""")
+def loco_shared(spark, d):
+    """Confusion counts of regressions on two columns, each fitted without its cell, all in the same scans."""
+    from anchorloom.ml import leave_out
+
+    df, columns = settled_files.settled(_model_input(spark, d)), ["marks", "rows"]
+    model = leave_out.fit(df, columns)
+    made = leave_out.predict(df, model).where("prediction is not null and label is not null").select(F.col(CELL).alias("grp"), "label", F.col("prediction").alias("pred"))
+    weights = spark.createDataFrame([(n, *map(float, w)) for n, w in zip(model.cells, model.weights, strict=True)], "grp string, w_marks double, w_rows double")
+    return ev.confusion(made).join(F.broadcast(weights), "grp").select("grp", F.round("w_marks", 6).alias("w_marks"), F.round("w_rows", 6).alias("w_rows"), "tp", "fp", "fn", "tn")
+
+
 @query()
 def cv_eval(spark, d):
     from anchorloom.ml import training
