@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorloom.functions.genomic import CELL, KEYS
 from anchorloom.operators.intervals import overlap_join
+from anchorloom.sources.settled import settled
 
 STATS = ("mean", "weighted_mean", "min", "max")
 
@@ -66,7 +67,10 @@ def signal_stats(spots: DataFrame, runs: DataFrame, res: int = 20, extra: tuple[
 
 
 def normalised(pairs: DataFrame, stats: DataFrame, experiment: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """pairs with {x,y}_<experiment>_<stat>, divided by the cell's average of mean over distinct anchors of both sides."""
+    """pairs with {x,y}_<experiment>_<stat>, divided by the cell's average of mean over distinct anchors of both sides.
+
+    stats are settled when this is called: the average and both sides read them."""
+    stats = settled(stats)
     average = stats.groupBy(CELL, *extra).agg(F.avg("mean").alias("_level"))
     level = stats.join(average, [CELL, *extra])
     level = level.select(CELL, "chr", *extra, "start", "end", *[(F.col(s) / F.col("_level")).alias(s) for s in STATS])
@@ -78,10 +82,13 @@ def normalised(pairs: DataFrame, stats: DataFrame, experiment: str, extra: tuple
 
 
 def tracks_wide(pairs: DataFrame, stats: DataFrame, tracks: list[str]) -> DataFrame:
-    """pairs with {x,y}_<track>_<stat> for many tracks of one cell: one pivot instead of a join for each track."""
+    """pairs with {x,y}_<track>_<stat> for many tracks of one cell: one pivot instead of a join for each track.
+
+    stats are settled when this is called, and so is the wide table."""
+    stats = settled(stats)
     average = stats.groupBy(CELL, "track").agg(F.avg("mean").alias("_level"))  # a row for each cell and track
     level = stats.join(average, [CELL, "track"])
-    wide = level.groupBy(CELL, "chr", "start", "end").pivot("track", tracks).agg(*[F.first(F.col(s) / F.col("_level")).alias(s) for s in STATS])
+    wide = settled(level.groupBy(CELL, "chr", "start", "end").pivot("track", tracks).agg(*[F.first(F.col(s) / F.col("_level")).alias(s) for s in STATS]))
     names = [c for c in wide.columns if c not in (CELL, "chr", "start", "end")]
     out = pairs
     for side in "xy":
