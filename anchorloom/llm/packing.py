@@ -139,7 +139,7 @@ def _encoded(docs: DataFrame, path: str, end: int, window: int) -> DataFrame:
         from pyspark import TaskContext
 
         names = ["number", "doc_id", "ids", "width", "tokens", "df"]
-        enc, number, df = encoder(path), TaskContext.get().partitionId() << 28, np.zeros(0, np.int64)
+        enc, number, df = encoder(path), TaskContext.get().partitionId() << 40, np.zeros(0, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 block = b.slice(at, 256)
@@ -202,11 +202,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, window:
     corpus = spark.sparkContext.broadcast((n, (total or 0) / max(1, n), _document_counts(made)))  # one number for each token id
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # Numbers of windows: the task's, then the window's in it; those of tails are negative.
+        sequence = TaskContext.get().partitionId() << 40
         for b in batches:
-            for number, d, raw, w, tokens in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                ids = np.frombuffer(raw, f"<u{w}").astype("<u4")
-                # Numbers of windows: the document's number, then the window's; those of tails are negative.
-                yield _rows([(d, k * window, window, tokens, (number << 15) + k, 0, ids[k * window : (k + 1) * window].tobytes()) for k in range(tokens // window)])
+            for d, raw, w, tokens in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                ids, many = np.frombuffer(raw, f"<u{w}").astype("<u4"), tokens // window
+                for at in range(0, many, 512):
+                    yield _rows([(d, k * window, window, tokens, sequence + k, 0, ids[k * window : (k + 1) * window].tobytes()) for k in range(at, min(at + 512, many))])
+                sequence += many
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, shared = corpus.value[1], np.where(corpus.value[2] > 1, idf(corpus.value), 0)
