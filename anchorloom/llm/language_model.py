@@ -3,7 +3,8 @@
 Training counts words, then word pairs as (number << 32 | number), in Spark; each is range-partitioned, sorted and
 written to flat files in the shared folder, which scoring workers memory-map. A pair's continuation counts and a
 context's numbers of followers seen once, twice and more often are gathered as the sorted pairs are written. The driver
-holds only the parts' first keys and the discounts.
+holds the parts' first keys, the discounts, and the pairs that occur MOST times or more, whose counts do not fit into the
+files' 32 bits: at most one for MOST tokens. Words are numbered in 31 bits; training on more distinct ones fails.
 
 A text is its words in lower case (A-Z) and one end, which also serves as the context of the first word. Three discounts
 come from counts of counts; the lowest order is interpolated with a uniform distribution over the words known and one
@@ -28,6 +29,8 @@ from anchorloom.llm import common, sorted_files
 
 WORDS, PAIRS = {"word": "<i8", "n": "<u8"}, {"pair": "<i8", "n": "<u4"}
 STATS = {"id": "<i8", "before": "<u4", "once": "<u4", "twice": "<u4", "more": "<u4"}
+#: Counts of pairs in the files stop here.
+MOST = (1 << 32) - 1
 #: White space is in no word.
 END = b"\n"
 
@@ -41,6 +44,8 @@ class Model:
     discounts: tuple[float, float, float]
     low_discounts: tuple[float, float, float]
     low_rest: float
+    #: Pairs in order and their counts, where these are MOST or more.
+    frequent: tuple[list[int], list[int]] = ((), ())
 
     @property
     def vocabulary(self) -> int:
@@ -80,8 +85,8 @@ def _pairs(ids: np.ndarray, lengths: list[int], end: int) -> np.ndarray:
     return context << 32 | ids
 
 
-def train(docs: DataFrame) -> Model:
-    """Learn from the texts of docs (text)."""
+def train(docs: DataFrame, most: int = MOST) -> Model:
+    """Learn from the texts of docs (text). Counts of pairs from `most` on are kept apart."""
     spark = docs.sparkSession
     common.ship(spark)
     common.small_batches(spark)
@@ -94,6 +99,8 @@ def train(docs: DataFrame) -> Model:
     counted = docs.mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     total = common.scratch(spark)
     words = sorted_files.write(counted, total, WORDS)
+    if sum(n for _, _, n in words) >= 1 << 31:
+        raise ValueError("2^31 distinct words or more")
     common.free_shuffles(spark)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +115,7 @@ def train(docs: DataFrame) -> Model:
     to = common.scratch(spark)
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of kind p (the part; first, rows and counts of counts), c (context: followers) and w (word: contexts)."""
+        """Rows of kind p (the part; first, rows and counts of counts), c (context: followers), w (word: contexts) and f (frequent pair: count)."""
         from pyspark import TaskContext
 
         stem, files, first, rows, classes = f"{to}/part-{TaskContext.get().partitionId():06d}", None, 0, 0, np.zeros(4, np.int64)
@@ -130,7 +137,11 @@ def train(docs: DataFrame) -> Model:
             if files is None:
                 files, first = {k: common.SharedFile(f"{stem}.{k}") for k in PAIRS}, int(pair[0])
             files["pair"].write(pair.astype("<i8").tobytes())
-            files["n"].write(n.astype("<u4").tobytes())
+            files["n"].write(np.minimum(n, most).astype("<u4").tobytes())
+            high = n >= most
+            if high.any():
+                none = np.zeros(int(high.sum()))
+                yield row("f", pair[high], n[high], none, none, none)
             rows += len(pair)
             classes += np.bincount(n[n <= 4], minlength=5)[1:]
             context = pair >> 32
@@ -152,16 +163,17 @@ def train(docs: DataFrame) -> Model:
     common.free_shuffles(spark)
     made = sorted(side.where("kind = 'p'").collect(), key=lambda r: r.stem)
     pairs = [(r.stem.rpartition("|")[0], r.id, int(r.stem.rpartition("|")[2])) for r in made]
-    summed = side.where("kind <> 'p'").groupBy("id").agg(*[F.sum(a).alias(b) for a, b in zip("abcd", list(STATS)[1:], strict=True)])
+    summed = side.where("kind in ('c', 'w')").groupBy("id").agg(*[F.sum(a).alias(b) for a, b in zip("abcd", list(STATS)[1:], strict=True)])
     stats = common.written(summed)
     index = sorted_files.write(stats, common.scratch(spark), STATS)
     low = stats.agg(*[F.count_if(F.col("before") == k) for k in (1, 2, 3, 4)], F.count_if(F.col("before") > 2)).first()
+    frequent = tuple(map(list, zip(*sorted((r.id, r.a) for r in side.where("kind = 'f'").select("id", "a").collect()), strict=True))) or ((), ())
     tokens = sum_of(spark, words)
     common.forget(side, stats)
     low_d = discounts(*(low[k] for k in range(4)))
     types = sum(n for _, _, n in pairs)
     rest = (low_d[0] * low[0] + low_d[1] * low[1] + low_d[2] * low[4]) / types if types else 1.0
-    return Model(words, pairs, index, tokens, discounts(*(sum(r[k] for r in made) for k in "abcd")), low_d, rest)
+    return Model(words, pairs, index, tokens, discounts(*(sum(r[k] for r in made) for k in "abcd")), low_d, rest, frequent)
 
 
 def sum_of(spark, index: sorted_files.Index) -> int:
@@ -190,6 +202,11 @@ def probabilities(model: Model, lengths: list[int], hashes: np.ndarray) -> tuple
     both = known & (context >= 0)
     pair = np.zeros(len(ids), np.int64)
     pair[both] = sorted_files.lookup(model.pairs, PAIRS).find(context[both] << 32 | ids[both])[1]["n"]
+    if len(model.frequent[0]):
+        key, many = (np.array(x, np.int64) for x in model.frequent)
+        asked = context << 32 | ids
+        at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        pair = np.where(both & (key[at] == asked), many[at], pair)
     of = sorted_files.lookup(model.stats, STATS)
     before = np.where(known, of.find(ids)[1]["before"], 0).astype(float)
     followers = of.find(context)[1]
