@@ -178,7 +178,7 @@ def test_thresholds_are_exact_binomial(spark):
     assert set(cutoffs) == {"symbols_a_word"} and cutoffs["symbols_a_word"] < 3
     k, p = sum(1 for r in data if r[3] == 1 and r[2] > cutoffs["symbols_a_word"]), q.ALPHA / len(q.RULES)
     tail = sum(math.comb(good, i) * p**i * (1 - p) ** (good - i) for i in range(k + 1))
-    assert tail <= q.DELTA / ((q.STRATA + 1) * len(q.RULES) * q.GRID)
+    assert tail <= q.DELTA / (len(q.RULES) * q.GRID)
     assert q.thresholds(stats.where("doc_id < 300 or quality = 0"), labels).count() == 0
 
 
