@@ -194,7 +194,7 @@ def cross_score(df: DataFrame, kind: str, key: list[str], k: int = 3, parameters
 def optimise(df: DataFrame, kind: str, key: list[str], trials: int = 20, k: int = 3, maximise: bool = True, space: Space | None = None, seconds: float | None = None) -> tuple[dict, float]:
     """The best of the settings that a Search tries, or the defaults ({}) if none beats them, and its cross_score()."""
     search, started = Search(space or SPACES[kind], SEED, maximise), time.monotonic()
-    df = settled(folds(df, key, SEED, k, ["label"]))  # all settings are held against the same folds
+    df = df if "fold" in df.columns else settled(folds(df, key, SEED, k, ["label"]))  # all settings are held against the same folds
     best, score = {}, cross_score(df, kind, key, k)
     for _ in range(trials):
         if seconds is not None and time.monotonic() - started > seconds:
@@ -207,12 +207,16 @@ def optimise(df: DataFrame, kind: str, key: list[str], trials: int = 20, k: int
     return best, score
 
 
-def importances(model: PipelineModel, columns: list[str], spark, n: int = 20) -> DataFrame:
-    """(feature, importance), largest first: coefficients of a regression, impurity gains of trees."""
+def weights(model: PipelineModel, columns: list[str], n: int = 20) -> list[tuple[str, float]]:
+    """The n columns of largest weight and it: coefficients of a regression, impurity gains of trees."""
     last = model.stages[-1]
     values = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
-    rows = sorted(zip(columns, map(float, values.toArray()), strict=True), key=lambda r: -abs(r[1]))[:n]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return sorted(zip(columns, map(float, values.toArray()), strict=True), key=lambda r: (-abs(r[1]), r[0]))[:n]
+
+
+def importances(model: PipelineModel, columns: list[str], spark, n: int = 20) -> DataFrame:
+    """(feature, importance), largest first."""
+    return spark.createDataFrame(weights(model, columns, n), "feature string, importance double")
 
 
 def linear_shap(df: DataFrame, model: PipelineModel, columns: list[str]) -> DataFrame:

@@ -63,8 +63,8 @@ def training(df: DataFrame) -> DataFrame:
 
 
 def drop_nulls(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """df without rows that hold a null, and a report of one row: rows, rows dropped and the nulls of each column."""
-    bare = [F.col(f"`{c}`").isNull() for c in df.columns]
+    """df without rows that hold a null or NaN, and a report of one row: rows, rows dropped and how many each column lacks."""
+    bare = [F.col(f"`{c}`").isNull() | (F.isnan(f"`{c}`") if t in ("float", "double") else F.lit(False)) for c, t in df.dtypes]
     hit = reduce(lambda a, b: a | b, bare)
     report = df.agg(F.count("*").alias("_rows"), F.count_if(hit).alias("_dropped"), *[F.count_if(n).alias(c) for n, c in zip(bare, df.columns, strict=True)])
     return df.where(~hit), report

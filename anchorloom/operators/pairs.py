@@ -14,7 +14,7 @@ from anchorloom.sources.settled import settled
 
 PAIR = ["chr", "x", "x_start", "x_end", "y", "y_start", "y_end", CELL]
 SEED, RATIO, RADIUS, MOST_REGIONS, LONG = 42, 5, 2500, 1000, 1_000_000
-MOST_KNOWN = 500_000
+MOST_KNOWN, MOST_CELLS = 500_000, 1000
 #: Tasks of a quadratic join for each shuffle partition.
 SPREAD = 4
 MODES = ("anchors_from_other_cell_types", "new_pairs_of_anchors", "open_chromatin_regions", "new_pairs_and_open_chromatin", "FLY_short_loops_as_negatives")
@@ -71,7 +71,7 @@ def positives(loops: DataFrame) -> DataFrame:
 
 def _quota(candidates: DataFrame, sizes: DataFrame, strata: list[str], seed: int) -> DataFrame:
     """As many candidates of each stratum as `want` in sizes says; strata not in sizes give none."""
-    wanted = candidates.join(F.broadcast(sizes), strata)  # sizes: a row for each cell (and chromosome)
+    wanted = candidates.join(sizes, strata)  # broadcast only if its measured size is small
     # The same (x, y) lies on many chromosomes.
     return sample_exact(wanted, [*strata, "x", "y"], seed, F.col("want"), [*strata, "want"], ties=["chr"]).drop("want")
 
@@ -82,10 +82,17 @@ def _cells(loops: DataFrame, ratio: float, keys: list[str]) -> DataFrame:
 
 
 def from_other_cells(loops: DataFrame, ratio: float = RATIO, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """Negatives from half of the other cells' anchors that overlap no anchor of the cell."""
+    """Negatives from half of the other cells' anchors that overlap no anchor of the cell.
+
+    A place meets each cell that does not have it once, however many others do. Cells are read when this is called; more than
+    MOST_CELLS fail."""
     own = anchors(loops)
-    cells = own.select(F.col(CELL).alias("_cell")).distinct()
-    others = own.join(F.broadcast(cells), F.col(CELL) != F.col("_cell")).select(F.col("_cell").alias(CELL), "chr", "center", "start", "end").distinct()
+    cells = [r[0] for r in own.select(CELL).distinct().limit(MOST_CELLS + 1).collect()]
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
+    places = own.groupBy("chr", "center", "start", "end").agg(F.collect_set(CELL).alias("_own"))  # at most MOST_CELLS values
+    lacking = F.array_except(F.array(*map(F.lit, cells)).cast("array<string>"), "_own")
+    others = places.select(F.explode(lacking).alias(CELL), "chr", "center", "start", "end")
     free = overlap_anti(others, own.select(CELL, "chr", "start", "end"))
     half = sample_fraction(free, [CELL, "chr", "center"], seed, 0.5, [CELL])
     return finished(implicit.sample(half, _cells(loops, ratio, [CELL]), [CELL], seed, radius), 0, radius)
@@ -121,8 +128,15 @@ def short_loops(loops: DataFrame, limit: int = LONG) -> DataFrame:
 
 def remove_overlapping(labelled: DataFrame) -> DataFrame:
     """Drop negatives that one positive overlaps on both sides, and rows with nulls."""
+    return remove_overlapping_reported(labelled)[0]
+
+
+def remove_overlapping_reported(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """remove_overlapping() and the report of the rows that go for their nulls (features.drop_nulls)."""
+    from anchorloom.operators.features import drop_nulls
+
     pos, neg = labelled.where("label = 1"), labelled.where("label = 0")
-    return pos.unionByName(pair_anti_2d(neg, pos)).dropna("any")
+    return drop_nulls(pos.unionByName(pair_anti_2d(neg, pos)))
 
 
 def add_labels(loops: DataFrame, mode: str, peaks: DataFrame | None = None, ratio: float = RATIO, seed: int = SEED, radius: int = RADIUS, limit: int = LONG) -> DataFrame:

@@ -10,6 +10,17 @@ from anchorloom.operators.intervals import overlap_join
 from anchorloom.sources.settled import settled
 
 STATS = ("mean", "weighted_mean", "min", "max")
+MOST_TRACKS = 10_000
+
+
+def _for_each(spots: DataFrame, tracks: DataFrame) -> DataFrame:
+    """spots once for each track. Tracks are read when this is called; more than MOST_TRACKS fail."""
+    found = tracks.limit(MOST_TRACKS + 1).collect()
+    if len(found) > MOST_TRACKS:
+        raise ValueError(f"more than {MOST_TRACKS} tracks")
+    empty = F.array().cast(f"array<{tracks.schema.simpleString()}>")
+    names = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in tracks.schema]) for r in found]) if found else empty
+    return spots.select("*", F.explode(names).alias("_track")).select(*spots.columns, "_track.*")
 
 
 def kernel(t: Column, k: Column) -> Column:
@@ -30,7 +41,7 @@ def signal_stats(spots: DataFrame, runs: DataFrame, res: int = 20, extra: tuple[
     keys = (*KEYS, *extra)
     base = spots.select(*KEYS, "start", "end").distinct()
     if extra:
-        base = base.join(F.broadcast(runs.select(*extra).distinct()))  # tracks: a row each, tens of them
+        base = _for_each(base, runs.select(*extra).distinct())
     base = base.withColumn("k", F.col("end") - F.col("start"))
     met = overlap_join(base, runs.select(*keys, "start", "end", "value"), keys)
     o0, o1, k, v = F.greatest("a_start", "b_start") - F.col("a_start"), F.least("a_end", "b_end") - F.col("a_start"), F.col("a_k"), F.col("b_value")

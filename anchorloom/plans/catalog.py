@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import product
 
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorloom.functions.genomic import CELL, anchor_name, apart, chromosome_rank, log10p1
+from anchorloom.functions.genomic import CELL, anchor_name, apart, chromosome_rank, log10p1, row_sum, zero_if_missing
 from anchorloom.operators import evaluation as ev
 from anchorloom.operators import density, features, intervals, motifs, pairs, sampling, signal
 from anchorloom.plans.fixtures import _chr, load, with_clause
@@ -259,6 +260,13 @@ def neg_random(spark, d):
     return pairs.random_negatives(_labelled(spark, d))
 
 
+@query(f"""--cte {LABELLED}, away as (select * from labelled where label = 0), {ANCHORS.replace('loops', 'away')}, {CAND2.format('anchors')},
+    want as (select cell_type, cast(floor(count(*) * 5) as bigint) w from labelled where label = 1 group by 1), {_draw('', 'cand', 'want')} {NEG_TAIL} picked where rn <= w""", "loops")
+def neg_random_pairing(spark, d):
+    """New pairs of the negatives' centres, five for each positive of the cell."""
+    return _plain(pairs.random_pairing(_labelled(spark, d)))
+
+
 # Sampling.
 
 
@@ -315,6 +323,25 @@ def signal_normalised(spark, d):
     return out.select(CELL, "chr", "x", "y", *[F.round(f"{s}_S_{m}", 6).alias(f"{s}_{m}") for m in ("mean", "max") for s in "xy"])
 
 
+TRACKS = ["even", "odd"]
+_TRACK = "case when (start {div} 25200) % 2 = 0 then 'even' else 'odd' end"
+# A cell and a track in one name stand for the cell, so the SQL of one track does for all.
+_EACH = f"""loops_t as (select l.* replace (l.cell_type || '|' || t.track as cell_type) from loops l, (values ('even'), ('odd')) t(track)),
+    runs_t as (select r.* replace (cell_type || '|' || {_TRACK.format(div='//')} as cell_type) from runs r), {DENSE.replace('from loops', 'from loops_t').replace('join runs', 'join runs_t')},
+    level as (select cell_type, avg(mean) l from stats group by 1), n as (select s.*, v.l from stats s join level v on s.cell_type = v.cell_type)"""
+_WIDE = ", ".join(f"""round({s}{t}."{m}" / {s}{t}.l, 6) {s}_{t}_{m}""" for t in TRACKS for m in signal.STATS for s in "xy")
+_MEET = " ".join(f"left join n {s}{t} on {s}{t}.cell_type = p.cell_type || '|{t}' and {s}{t}.chr = p.chr and {s}{t}.start = p.{s}_start" for t in TRACKS for s in "xy")
+
+
+@query(f"--cte {_EACH} select p.cell_type, p.chr, p.x, p.y, {_WIDE} from loops p {_MEET}", "loops", "runs")
+def tracks_wide(spark, d):
+    """All statistics of several tracks on both sides of each loop: one aggregation and one pivot for all tracks."""
+    loops = _loops(spark, d)
+    runs = load(spark, d, "runs").withColumn("track", F.expr(_TRACK.format(div="div")))
+    out = signal.tracks_wide(loops, signal.signal_stats(pairs.anchors(loops), runs, extra=("track",)), TRACKS)
+    return out.select(CELL, "chr", "x", "y", *[F.round(f"{s}_{t}_{m}", 6).alias(f"{s}_{t}_{m}") for t in TRACKS for m in signal.STATS for s in "xy"])
+
+
 # Motifs.
 
 COUNTS = {"M1": np.array([[9, 0, 0, 0], [0, 9, 0, 9], [0, 0, 9, 0], [0, 0, 0, 0]]), "M2": np.array([[0, 9, 0, 4, 0], [0, 0, 0, 4, 9], [9, 0, 0, 0, 0], [0, 0, 9, 1, 0]])}
@@ -443,6 +470,46 @@ def feature_select(spark, d):
     return features.select_features(_labelled(spark, d), ["x", "y"])
 
 
+@query(f"""--cte {ANCHORS}, named as (select concat_ws(':', chr, start, "end", cell_type) as name from anchors)
+    select name, split_part(name, ':', 1) chr, cast(split_part(name, ':', 2) as bigint) as start, cast(split_part(name, ':', 3) as bigint) as "end", split_part(name, ':', 4) cell_type from named""", "loops")
+def anchor_names(spark, d):
+    """Names of anchors, and the columns that they are split back into."""
+    named = intervals.name_segments(_spots(spark, d).withColumnsRenamed({"start": "a_start", "end": "a_end"}).select("*", F.col("a_start").alias("start"), F.col("a_end").alias("end")), CELL)
+    return named.select("name", *intervals.split_name())
+
+
+@query("""--cte seen as (select cell_type, chr, avg(case when value > 50 then value end) high from runs group by 1, 2)
+    select p.cell_type, p.chr, p.start, p."end", round(coalesce(s.high, 0), 6) high from peaks p left join seen s on s.cell_type = p.cell_type and s.chr = p.chr""", "peaks", "runs")
+def missing_as_zero(spark, d):
+    """Peaks with the mean of their chromosome's high runs: 0 where there are none, be that null or NaN."""
+    high = F.sum(F.when(F.col("value") > 50, F.col("value")).otherwise(0.0)) / F.nullif(F.count_if(F.col("value") > 50), F.lit(0))
+    seen = load(spark, d, "runs").groupBy(CELL, "chr").agg(F.coalesce(high, F.lit(float("nan"))).alias("high"))
+    return _peaks(spark, d).join(seen, [CELL, "chr"], "left").select(CELL, "chr", "start", "end", F.round(zero_if_missing("high"), 6).alias("high"))
+
+
+@query("select cell_type, cast(y - x as int) distance, label from labelled_".replace("labelled_", f"(select cell_type, x, y, case when y - x > 1000000 then 1 else 0 end as label from loops) q"), "loops")
+def training_columns(spark, d):
+    return features.training(features.with_distance(_labelled(spark, d)))
+
+
+@query(f"--cte {HITS} select name, count(*) total, count(*) filter (strand = '+') forward from hits group by 1", "seqs")
+def motif_totals(spark, d):
+    """Each sequence's hits of all motifs and strands, as sums over the wide table's columns."""
+    wide = motifs.motif_pivot(_hits(spark, d), list(COUNTS), ["name"])
+    every = motifs.names(list(COUNTS))
+    return wide.select("name", row_sum(every).cast("long").alias("total"), row_sum([c for c in every if c.endswith("_f")]).cast("long").alias("forward"))
+
+
+@query(f"""--cte {LABELLED}, shown as (select case when label = 1 and x % 3 = 0 then null else x end x, case when y % 5 = 0 then null else y end y, case when y % 7 = 0 then null when label = 1 and y % 11 = 0 then 'NaN'::double else y - x end d from labelled)
+    select count(*) n, count(*) filter (x is null or y is null or d is null or isnan(d)) dropped, count(*) filter (x is null) no_x, count(*) filter (y is null) no_y, count(*) filter (d is null or isnan(d)) no_d from shown""", "loops")
+def null_report(spark, d):
+    lacking = lambda where, c: F.when(~where, c)
+    label, x, y = F.col("label") == 1, F.col("x"), F.col("y")
+    far = F.when(y % 7 == 0, None).when(label & (y % 11 == 0), float("nan")).otherwise((y - x).cast("double"))
+    shown = _labelled(spark, d).select(lacking(label & (x % 3 == 0), x).alias("x"), lacking(y % 5 == 0, y).alias("y"), far.alias("d"))
+    return features.drop_nulls(shown)[1].withColumnsRenamed({"_rows": "n", "_dropped": "dropped", "x": "no_x", "y": "no_y", "d": "no_d"})
+
+
 # Evaluation.
 
 _CM = "cm as (select grp, count(*) filter (label = 1 and pred = 1) tp, count(*) filter (label = 0 and pred = 1) fp, count(*) filter (label = 1 and pred = 0) fn, count(*) filter (label = 0 and pred = 0) tn from preds group by 1)"
@@ -595,12 +662,12 @@ def loco_eval(spark, d):
     return training.across(_model_input(spark, d), "decision_tree")
 
 
-def _newton(steps: int) -> str:
-    """Regressions on two columns, each without the rows of its cell, by written-out Newton steps from 0."""
+def _newton(steps: int, learnt: str = "z.cell <> t.cell") -> str:
+    """Regressions on two columns, each of the rows of z that are learnt from for its cell, by written-out Newton steps from 0."""
     out = "it0 as (select distinct cell, 0::double a1, 0::double a2, 0::double a0 from z)"
     for i in range(steps):
         out += f""", s{i} as materialized (select cell, a1, a2, a0, s1, s2, sum(e * z1) + a1 * s1 g1, sum(e * z2) + a2 * s2 g2, sum(e) g0, sum(q * z1 * z1) + s1 h11, sum(q * z1 * z2) h12, sum(q * z1) h10, sum(q * z2 * z2) + s2 h22, sum(q * z2) h20, sum(q) h00
-            from (select t.cell, a1, a2, a0, z1, z2, 1 / pow(d1, 2) s1, 1 / pow(d2, 2) s2, 1 / (1 + exp(-(a1 * z1 + a2 * z2 + a0))) - label e, 1 / (1 + exp(-(a1 * z1 + a2 * z2 + a0))) / (1 + exp(a1 * z1 + a2 * z2 + a0)) q from it{i} t join z on z.cell <> t.cell) r group by cell, a1, a2, a0, s1, s2),
+            from (select t.cell, a1, a2, a0, z1, z2, 1 / pow(d1, 2) s1, 1 / pow(d2, 2) s2, 1 / (1 + exp(-(a1 * z1 + a2 * z2 + a0))) - label e, 1 / (1 + exp(-(a1 * z1 + a2 * z2 + a0))) / (1 + exp(a1 * z1 + a2 * z2 + a0)) q from it{i} t join z on {learnt}) r group by cell, a1, a2, a0, s1, s2),
             it{i + 1} as materialized (select cell, a1 - (g1 * (h22 * h00 - h20 * h20) - h12 * (g2 * h00 - g0 * h20) + h10 * (g2 * h20 - g0 * h22)) / det a1, a2 - (h11 * (g2 * h00 - g0 * h20) - g1 * (h12 * h00 - h10 * h20) + h10 * (h12 * g0 - h10 * g2)) / det a2,
             a0 - (h11 * (h22 * g0 - h20 * g2) - h12 * (h12 * g0 - h10 * g2) + g1 * (h12 * h20 - h10 * h22)) / det a0 from (select *, h11 * (h22 * h00 - h20 * h20) - h12 * (h12 * h00 - h20 * h10) + h10 * (h12 * h20 - h22 * h10) det from s{i}) r)"""
     return out
@@ -621,6 +688,61 @@ def loco_shared(spark, d):
     return ev.confusion(made).join(F.broadcast(weights), "grp").select("grp", F.round("w_marks", 6).alias("w_marks"), F.round("w_rows", 6).alias("w_rows"), "tp", "fp", "fn", "tn")
 
 
+def _experiment_sql(more: str, learnt: str, judged: str, grp: str) -> str:
+    """Metrics of regressions on two columns; more: columns (cell, split) of x, learnt and judged: which rows z of t's cell."""
+    return f"""with x as (select {more}, quality label, length(regexp_replace(text, '[^*#$%&|!]', '', 'g'))::double x1, len(string_split(text, chr(10)))::double x2 from documents d join labels l on l.doc_id = d.doc_id where lang is not null and quality is not null and text is not null),
+    z as materialized (select cell, split, label, (x1 - m1) / d1 z1, (x2 - m2) / d2 z2, d1, d2 from x, (select avg(x1) m1, avg(x2) m2, stddev_pop(x1) d1, stddev_pop(x2) d2 from x) q), {_newton(20, learnt)},
+    preds as (select {grp} grp, label, cast(a1 * z1 + a2 * z2 + a0 > 0 as int) pred from z join it20 t on {judged}), {_CM}, {_MET}
+    select cm.*, {_R} from cm join met using (grp)"""
+
+
+_RANKED = "row_number() over (partition by {0} order by " + HASH.format("d.doc_id") + ", d.doc_id)"
+_HELD = f"case when {_RANKED.format('lang, quality')} <= round_even(count(*) over (partition by lang, quality) * 0.2, 0) then 'test' else 'train' end"
+
+
+def _experiment(spark, d, run, **how):
+    df = _model_input(spark, d).select("doc_id", CELL, "label", "marks", "rows")
+    out = run(df, "logistic_regression", ["doc_id"], **how)
+    return out.confusion.join(_rounded(out.metrics, "grp"), "grp")
+
+
+@query(_experiment_sql(f"lang cell, {_HELD} split", "z.cell = t.cell and z.split = 'train'", "z.cell = t.cell and z.split = 'test'", "z.cell"))
+def experiment_within(spark, d):
+    """Each cell's regression on its own test rows: confusion counts and metrics."""
+    from anchorloom.ml import experiment
+
+    return _experiment(spark, d, experiment.within_cells)
+
+
+@query(_experiment_sql("lang cell, '' split", "z.cell <> t.cell", "z.cell = t.cell", "z.cell"))
+def experiment_across(spark, d):
+    """Each cell's rows by the regression of all other cells."""
+    from anchorloom.ml import experiment
+
+    return _experiment(spark, d, experiment.across_cells)
+
+
+@query(_experiment_sql(f"({_RANKED.format('quality')} - 1) % 5 cell, '' split", "z.cell <> t.cell", "z.cell = t.cell", "'all'"))
+def experiment_folds(spark, d):
+    """All rows by the regression that did not see their fold, five folds."""
+    from anchorloom.ml import experiment
+
+    return _experiment(spark, d, experiment.by_folds)
+
+
+@query()
+def experiment_tuned(spark, d):
+    """Trees with settings searched for each cell: metrics on test rows, the setting found and the column of most weight."""
+    from anchorloom.ml import experiment
+
+    out = experiment.within_cells(_model_input(spark, d), "decision_tree", ["doc_id"], tuning=experiment.Tuning())
+    first = {}
+    for cell, feature, _ in out.weights:
+        first.setdefault(cell, feature)
+    found = [(c, json.dumps(out.settings.get(c, {}), sort_keys=True), first.get(c)) for c in out.models]
+    return out.metrics.join(spark.createDataFrame(found, "grp string, setting string, first string"), "grp")
+
+
 @query()
 def cv_eval(spark, d):
     from anchorloom.ml import training

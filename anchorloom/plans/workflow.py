@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorloom.operators import features, motifs, pairs, signal
+from anchorloom.sources.settled import settled
 
 
 def assemble(loops: DataFrame, mode: str, peaks: dict[str, DataFrame], tracks: dict[str, DataFrame], motif_counts: DataFrame | None = None, motif_ids: list[str] | None = None, res: int = 20, **labelling) -> DataFrame:
-    """One row for each labelled pair with all features; a lazy plan over whole tables, all cells at once.
+    """One row for each labelled pair with all features, over whole tables, all cells at once; labelled pairs are settled when this is called.
 
     Peaks of the first experiment that covers open chromatin feed the modes that need them."""
     made = pairs.add_labels(loops, mode, next(iter(peaks.values()), None), **labelling)
-    labelled = made.groupBy(*pairs.PAIR).agg(F.max("label").alias("label")).persist()  # every branch starts from it; a pair with both labels is a loop
+    labelled = made.groupBy(*pairs.PAIR).agg(F.max("label").alias("label"))
+    labelled = settled(labelled)  # every branch starts from it; a pair with both labels is a loop
     out = features.with_distance(labelled)
     spots = pairs.anchors(labelled)
     for name, table in peaks.items():
