@@ -2,14 +2,16 @@
 
 Candidate spans of each whole text come from patterns: the base kinds, whose valid matches always stay, and the wider
 kinds of WIDER. Labelers vote on each candidate: the strict shape (regex), a cue word before it (gazetteer), clean
-edges (context) and mixed characters (shape). Candidates are counted by kind and votes, a table of bounded size, on which
-expectation-maximisation estimates each labeler's rates of voting for real and for other spans, as one SQL expression
-over one row. The posteriors then train the final span classifier: naive Bayes over bounded features, by one grouped sum
-of posteriors. A wider span stays if the classifier finds it more likely real than not and no base span overlaps it.
+edges (context) and mixed characters (shape); of the text around, they see the NEAR characters before a span and one after it.
+Candidates are counted by kind and votes, a table of at most kinds x 16 rows, on which expectation-maximisation estimates each
+labeler's rates of voting for real and for other spans: first over all kinds, then for each kind, drawn towards the rates of
+all by PULL candidates. The posteriors then train the final span classifier: naive Bayes over bounded features that hold no
+vote, among them the word before a span in WORDS buckets, so that it learns its own cue words; one grouped sum of posteriors.
+A wider span stays if the classifier finds it more likely real than not and no base span overlaps it.
 
 Defined cases: null text is empty and has no spans; rows that share a doc_id are judged each; an empty table gives an
 empty result; without candidates there is nothing to train and nothing to keep; extra columns stay in mask() and are not
-read elsewhere; helper columns bear reserved names (prefix _pii_).
+read elsewhere; helper columns bear reserved names (prefix _pii_). Spans of one text are swept once, in runs of RUN.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from anchorloom.llm import common
 from anchorloom.llm.native_text import whole
 
-ROUNDS, RUN = 20, 128
+ROUNDS, RUN, NEAR, PULL, WORDS = 20, 128, 24, 20, 64
 #: Base patterns, written so that Java neither recurses nor scans a run of characters again from each of its places; they match what the plain patterns match.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -62,7 +64,7 @@ def _found(kind: str) -> str:
     guard = {"email": "contains(_pii_text, '@')", "phone": "contains(_pii_text, '+')"}.get(kind, "_pii_digits")
     empty = "cast(array() as array<struct<at: int, k: int, span: string, before: string, after: string>>)"
     step = f"""named_struct('end', a.end + length(x.piece[i]) + length(x.hit[i]), 'out', concat(a.out, array(named_struct(
-        'at', a.end + length(x.piece[i]), 'k', {KINDS.index(kind)}, 'span', x.hit[i], 'before', right(x.piece[i], 24), 'after', left(x.piece[i + 1], 1)))))"""
+        'at', a.end + length(x.piece[i]), 'k', {KINDS.index(kind)}, 'span', x.hit[i], 'before', right(x.piece[i], {NEAR}), 'after', left(x.piece[i + 1], 1)))))"""
     both = f"named_struct('hit', regexp_extract_all(_pii_text, {p}, 0), 'piece', split(_pii_text, {p}, -1))"
     within = f"sequence(r * {RUN}, least((r + 1) * {RUN}, size(x.hit)) - 1)"
     runs = f"sequence(0, (size(x.hit) - 1) div {RUN})"
@@ -99,20 +101,39 @@ def candidates(docs: DataFrame) -> DataFrame:
         + 4 * cast(x.before rlike '(^|[\\\\s=:"\\'(<,;])$' and x.after rlike '^$|[\\\\s"\\')>,;.!?]' as int)
         + 8 * cast(10 * {digits} >= length(x.span) and size(array_distinct(split(x.span, ''))) >= 6 as int)"""
     edge = """case when x.before = '' then 0 when x.before rlike '[=:]\\\\s*["\\']?$' then 1 when x.before rlike '\\\\s$' then 2 else 3 end"""
+    word = f"""transform(array(lower(regexp_extract(x.before, '([A-Za-z]+)[^A-Za-z]{{0,4}}$', 1))), w -> if(w = '', {WORDS}, cast(crc32(cast(w as binary)) % {WORDS} as int)))[0]"""
     struct = f"""named_struct('at', x.at, 'k', x.k, 'end', x.at + length(x.span), 'votes', {votes}, 'size', least(length(x.span) div 4, 15),
-        'digits', cast(8 * {digits} / length(x.span) as int), 'edge', {edge})"""
+        'digits', cast(8 * {digits} / length(x.span) as int), 'edge', {edge}, 'word', {word})"""
     every = f"concat({', '.join(f'_pii_{k}' for k in KINDS)})"
     out = out.withColumn("_pii_spans", F.expr(f"array_sort(transform({every}, x -> {struct}))"))
-    base = len(BASE)
-    clear = f"filter(_pii_spans, x -> x.k < {base} or not exists(_pii_spans, y -> y.k < {base} and y.at < x.end and x.at < y.end))"
-    out = out.withColumn("_pii_spans", F.expr(f"if(exists(_pii_spans, x -> x.k >= {base}), {clear}, _pii_spans)"))
+    out = out.withColumn("_pii_spans", F.expr(f"if(exists(_pii_spans, x -> x.k >= {len(BASE)}), {_clear()}, _pii_spans)"))
     return out.drop("_pii_text", "_pii_digits", *[f"_pii_{k}" for k in KINDS])
 
 
-def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row: p (share of real spans), and for each labeler yes (rate of votes for real spans) and no (for others).
+def _runs() -> str:
+    """_pii_spans in runs of RUN, each in order."""
+    return f"transform(sequence(0, (size(_pii_spans) - 1) div {RUN}), r -> slice(_pii_spans, r * {RUN} + 1, {RUN}))"
 
-    patterns: (votes, n), at most 2 ** labelers rows."""
+
+def _through(values: str, best: str, start: int) -> str:
+    """start, then the best of it and the first value, of the first two, and so on: one more than there are values."""
+    return f"aggregate({values}, array({start}), (a, e) -> concat(a, array({best}(element_at(a, -1), coalesce(e, {start})))))"
+
+
+def _clear() -> str:
+    """Spans without wider ones that a base span overlaps: within a run they are compared, of other runs bounds say enough."""
+    base, far = len(BASE), 2**31 - 1
+    of_run = lambda pick, what: f"transform(runs, q -> {pick}(transform(filter(q, y -> y.k < {base}), y -> y.{what})))"
+    bounds = f"named_struct('runs', runs, 'before', {_through(of_run('array_max', 'end'), 'greatest', 0)}, 'after', reverse({_through('reverse(' + of_run('array_min', 'at') + ')', 'least', far)}))"
+    apart = f"b.before[r] <= x.at and b.after[r + 1] >= x.end and not exists(q, y -> y.k < {base} and y.at < x.end and x.at < y.end)"
+    return f"transform(transform(array({_runs()}), runs -> {bounds}), b -> flatten(transform(b.runs, (q, r) -> filter(q, x -> x.k < {base} or ({apart})))))[0]"
+
+
+def reliabilities(patterns: DataFrame, rounds: int = ROUNDS, pooled: DataFrame | None = None) -> DataFrame:
+    """p (share of real spans), and for each labeler yes (rate of votes for real spans) and no (for others).
+
+    patterns: (k, votes, n), at most kinds x 2 ** labelers rows. One row for all kinds; with pooled, such a row, a row for each k
+    whose rates are drawn towards it."""
     labelers = range(len(LABELERS))
     rate = lambda who, j: f"if((q.votes & {1 << j}) > 0, ln({who}[{j}]), ln(1 - {who}[{j}]))"
     real = "ln(s.p) + " + " + ".join(rate("s.yes", j) for j in labelers)
@@ -121,28 +142,37 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     total = lambda of, what: f"aggregate({of}, 0D, (a, q) -> a + {what})"
     inside = lambda x: f"least(greatest({x}, 0.01D), 0.99D)"
     vote = lambda j: f"if((q.votes & {1 << j}) > 0, 1D, 0D)"
+    drawn = lambda part, whole, to: inside(f"({part} + _pull * {to}) / ({whole} + _pull)")
     step = f"""transform(array({share}), e -> named_struct(
-        'p', {inside(f"({total('e', 'q.r')} + 1) / ({total('e', 'q.n')} + 2)")},
-        'yes', array({', '.join(inside(f"({total('e', f'q.r * {vote(j)}')} + 1) / ({total('e', 'q.r')} + 2)") for j in labelers)}),
-        'no', array({', '.join(inside(f"({total('e', f'(q.n - q.r) * {vote(j)}')} + 1) / ({total('e', 'q.n - q.r')} + 2)") for j in labelers)})))[0]"""
-    start = "named_struct('p', 0.5D, 'yes', array(0.9D, 0.6D, 0.8D, 0.8D), 'no', array(0.3D, 0.1D, 0.5D, 0.3D))"
-    one = patterns.agg(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n"))).alias("pats"))
-    return one.select(F.expr(f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> {step})").alias("m")).select("m.*")
+        'p', {drawn(total('e', 'q.r'), total('e', 'q.n'), '_to.p')},
+        'yes', array({', '.join(drawn(total('e', f'q.r * {vote(j)}'), total('e', 'q.r'), f'_to.yes[{j}]') for j in labelers)}),
+        'no', array({', '.join(drawn(total('e', f'(q.n - q.r) * {vote(j)}'), total('e', 'q.n - q.r'), f'_to.no[{j}]') for j in labelers)})))[0]"""
+    one = F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n"))).alias("pats")
+    if pooled is None:
+        half = "array(0.5D, 0.5D, 0.5D, 0.5D)"
+        start = "named_struct('p', 0.5D, 'yes', array(0.9D, 0.6D, 0.8D, 0.8D), 'no', array(0.3D, 0.1D, 0.5D, 0.3D))"
+        ready = patterns.groupBy("votes").agg(F.sum("n").alias("n")).agg(one).select("pats", F.lit(2.0).alias("_pull"), F.expr(f"named_struct('p', 0.5D, 'yes', {half}, 'no', {half})").alias("_to"), F.expr(start).alias("_start"))
+    else:
+        to = pooled.select(F.struct("p", "yes", "no").alias("_to"))
+        ready = patterns.groupBy("k").agg(one).crossJoin(F.broadcast(to)).select("k", "pats", F.lit(float(PULL)).alias("_pull"), "_to", F.col("_to").alias("_start"))  # pooled: one row
+    out = ready.withColumn("m", F.expr(f"aggregate(sequence(1, {rounds}), _start, (s, i) -> {step})"))
+    return out.select(*(["k"] if pooled is not None else []), "m.*")
 
 
-FEATURES = ("votes", "k", "size", "digits", "edge")
+FEATURES = ("k", "size", "digits", "edge", "word")
 
 
 def classifier(spans: DataFrame) -> DataFrame:
     """One row: _pii_prior and _pii_odds, a map from feature:value to log odds. spans: exploded candidates, counted."""
-    counts = common.written(spans.groupBy(*FEATURES).agg(F.count("*").alias("n")))
-    model = common.written(reliabilities(counts.groupBy("votes").agg(F.sum("n").alias("n"))))
+    counts = common.written(spans.groupBy("votes", *FEATURES).agg(F.count("*").alias("n")))
+    patterns = common.written(counts.groupBy("k", "votes").agg(F.sum("n").alias("n")))
+    model = common.written(reliabilities(patterns, pooled=common.written(reliabilities(patterns))))
     labelers = range(len(LABELERS))
     bit = lambda j: F.col("votes").bitwiseAND(1 << j) > 0
     lean = F.log(F.col("p") / (1 - F.col("p")))
     for j in labelers:
         lean = lean + F.when(bit(j), F.log(F.col("yes")[j] / F.col("no")[j])).otherwise(F.log((1 - F.col("yes")[j]) / (1 - F.col("no")[j])))
-    soft = counts.crossJoin(F.broadcast(model)).withColumn("r", 1 / (1 + F.exp(-lean)))  # model: one row
+    soft = counts.join(F.broadcast(model), "k").withColumn("r", 1 / (1 + F.exp(-lean)))  # model: a row for each kind
     each = soft.select("n", "r", F.explode(F.array(*[F.struct(F.concat(F.lit(f"{f}:"), F.col(f).cast("string")).alias("f"), F.lit(f).alias("kind")) for f in FEATURES])).alias("x"))
     sums = each.groupBy("x.f", "x.kind").agg(F.sum(F.col("n") * F.col("r")).alias("real"), F.sum(F.col("n") * (1 - F.col("r"))).alias("other"))
     total = soft.agg(F.sum(F.col("n") * F.col("r")).alias("all_real"), F.sum(F.col("n") * (1 - F.col("r"))).alias("all_other"))
@@ -182,9 +212,13 @@ def mask(docs: DataFrame) -> DataFrame:
     slim = common.written(candidates(docs.select("doc_id", "text")).select("_pii_spans"))
     out = kept(candidates(row), _learned(slim))
     names = ", ".join(_sql(k) for k in KINDS)
-    step = f"""if(x.at < a.end, named_struct('end', greatest(a.end, x.end), 'out', a.out),
-        named_struct('end', x.end, 'out', concat(a.out, substring(text, a.end + 1, x.at - a.end), '<', array({names})[x.k], '>')))"""
+    before = f"transform(array({_runs()}), runs -> named_struct('runs', runs, 'before', {_through('transform(runs, q -> array_max(transform(q, y -> y.end)))', 'greatest', 0)}))"
+    # Characters from one run's end to the next one's, cut once; pieces are cut from these.
+    cut = "substring(text, b.before[r] + 1, b.before[r + 1] - b.before[r])"
+    step = f"""if(x.at < a.end, named_struct('end', greatest(a.end, x.end), 'out', a.out), named_struct('end', x.end,
+        'out', concat(a.out, array(substring(c, a.end - b.before[r] + 1, x.at - a.end), concat('<', array({names})[x.k], '>')))))"""
+    run = f"transform(array({cut}), c -> aggregate(q, named_struct('end', b.before[r], 'out', cast(array() as array<string>)), (a, x) -> {step}, a -> array_join(a.out, '')))[0]"
     masked = f"""if(size(_pii_spans) = 0 or text is null, text,
-        aggregate(_pii_spans, named_struct('end', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(text, a.end + 1))))"""
+        transform({before}, b -> concat(array_join(transform(b.runs, (q, r) -> {run}), ''), substring(text, element_at(b.before, -1) + 1)))[0])"""
     fields = [F.expr(masked).alias("text") if c == "text" else F.col(f"_pii_row.`{c}`").alias(c) for c in docs.columns]
     return out.select(*fields)
