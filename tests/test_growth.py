@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from anchorloom.operators import intervals
+from anchorloom.operators import implicit, intervals, motifs
+from anchorloom.sources import readers
+from anchorloom.sources.settled import settled
 
 
 def plan(df) -> str:
@@ -18,3 +20,25 @@ def test_nearest_distance_keeps_no_frame_to_the_last_row(spark):
     assert "unboundedfollowing" not in plan(found).lower()
     want = {p: min(max(0, s - p, p - s - 3 - s % 11) for s in starts) for p in points}
     assert {r.p: r.dist for r in found.collect()} == want
+
+
+def test_slices_do_not_broadcast_the_genome(spark, tmp_path):
+    """Chunks come out of a few byte ranges, which adaptive planning takes for a small table."""
+    letters = {f"chr{k}": "".join("ACGT"[(k + i * i) % 4] for i in range(3000 + k)) for k in range(1, 5)}
+    (tmp_path / "g.fa").write_text("".join(f">NC_1 chromosome {n[3:]}, whole\n{s}\n" for n, s in letters.items()))
+    rows = [(n, k * 97 % 2900, k * 97 % 2900 + 20, f"n{k}") for k in range(40) for n in letters]
+    parts = spark.createDataFrame(rows, "chr string, start long, end long, name string")
+    found = motifs.slices_of_chunks(parts, readers.fasta_chunks(spark, (tmp_path / "g.fa").as_uri(), reach=20, width=512, size=1 << 10), 512)
+    assert sorted((r.chr, r.name, r.seq) for r in found.collect()) == sorted((n, name, letters[n][a:e]) for n, a, e, name in rows)
+    assert "BroadcastHashJoin" not in plan(found)
+
+
+def test_drawn_numbers_are_not_broadcast(spark):
+    """Numbers come from exploding a few rows after a shuffle; what draws are looked up in grows too."""
+    centers = spark.createDataFrame([("A", "1", k * 9000) for k in range(60)], "cell_type string, chr string, center long")
+    ranked = settled(implicit.partners(centers, 2500))
+    numbered = settled(implicit.numbered(ranked, ["cell_type"]))
+    sizes = settled(spark.createDataFrame([("A", 1770, 1770, 0, 30)], "cell_type string, n long, want long, known long, width long"))
+    found = implicit._looked_up(implicit._drawn(sizes, ["cell_type"], 42), sizes, numbered, ranked, ["cell_type"])
+    assert len({(r.x, r.y) for r in found.collect()}) == 1770
+    assert plan(found).partition("Initial Plan")[0].count("SortMergeJoin") == 2
