@@ -87,7 +87,7 @@ def test_stretches_of_a_batch_are_bounded():
 
 
 def test_overlap_join_does_not_broadcast_copied_rows(spark):
-    a = spark.createDataFrame([("A", "1", k * 50, k * 50 + 20_000) for k in range(200)], "cell_type string, chr string, start long, end long")
+    a = settled(spark.createDataFrame([("A", "1", k * 50, k * 50 + 20_000) for k in range(200)], "cell_type string, chr string, start long, end long"))
     found = intervals.overlap_join(a, a.where("start % 100 = 0"))
     assert found.count() == sum(abs(k - j) * 50 < 20_000 for k in range(200) for j in range(0, 200, 2))
     assert "Broadcast" not in plan(found)
