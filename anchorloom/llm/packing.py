@@ -35,6 +35,8 @@ WINDOW, GROUP, SHARD_DOCUMENTS, SIGNATURE = 2048, 512, 4096, 3
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 NAMED = "part int, signature long, number long, doc_id long, tail binary, width int, tokens long"
+#: Documents whose terms are sorted at a time.
+BLOCK = 256
 #: Keys sampled for the bounds of ranges.
 BOUNDS = 50_000
 COLUMNS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -53,6 +55,19 @@ def saturated(counts: np.ndarray, length: np.ndarray | float, mean: float) -> np
     return counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / mean))
 
 
+def distinct(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) of the terms of each document, in that order, from one sort for all of them."""
+    if not docs or not (ids := np.concatenate(docs)).size:
+        return (np.zeros(0, np.int64),) * 3
+    bits = int(ids.max()).bit_length()
+    kind = np.uint32 if bits + len(docs).bit_length() <= 32 else np.uint64
+    key = np.repeat(np.arange(len(docs), dtype=kind) << kind(bits), [len(d) for d in docs]) | ids.astype(kind)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    held = key[first]
+    return (held >> kind(bits)).astype(np.int64), (held & kind((1 << bits) - 1)).astype(np.int64), np.diff(first, append=len(key))
+
+
 class Bm25:
     """One shard of the inverted index over token ids: for each term the documents that hold it and their weights."""
 
@@ -60,14 +75,13 @@ class Bm25:
         """rare: idf() of the corpus, if at hand."""
         self.n = len(docs)
         lengths = np.array([max(1, len(d)) for d in docs], float)
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
+        doc, term, count = distinct(docs)
         if corpus is None:
-            corpus = (self.n, float(lengths.mean()), np.bincount(np.concatenate(terms)))
+            corpus = (self.n, float(lengths.mean()), np.bincount(term))
         rare = idf(corpus) if rare is None else rare
-        kept = [rare[t] > 0 for t in terms]
-        self.terms = [t[k] for t, k in zip(terms, kept, strict=True)]
-        term, doc = np.concatenate(self.terms), np.repeat(np.arange(self.n), [len(t) for t in self.terms])
-        count = np.concatenate([c[k] for c, k in zip(counts, kept, strict=True)]).astype(float)
+        kept = rare[term] > 0
+        doc, term, count = doc[kept], term[kept], count[kept].astype(float)
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, self.n)))
         order = np.argsort(term, kind="stable")
         self.vocabulary, self.first, self.df = np.unique(term[order], return_index=True, return_counts=True)
         self.doc = doc[order]
@@ -141,17 +155,13 @@ def _encoded(docs: DataFrame, path: str, end: int, window: int) -> DataFrame:
         names = ["number", "doc_id", "ids", "width", "tokens", "df"]
         enc, number, df = encoder(path), TaskContext.get().partitionId() << 40, np.zeros(0, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                block = b.slice(at, 256)
+            for at in range(0, b.num_rows, BLOCK):
+                block = b.slice(at, BLOCK)
                 ids = enc.encode(block.column(1).to_pylist(), end)
                 n = len(ids)
                 if not len(df):
-                    df, seen = np.zeros(len(enc.ends), np.int64), np.zeros(len(enc.ends), bool)
-                for x in ids:
-                    seen[x[len(x) // window * window :]] = True
-                    held = np.flatnonzero(seen)
-                    df[held] += 1
-                    seen[held] = False
+                    df = np.zeros(len(enc.ends), np.int64)
+                df += np.bincount(distinct([x[len(x) // window * window :] for x in ids])[1], minlength=len(df))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + n)), block.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([np.dtype(enc.dtype).itemsize] * n, pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.nulls(n, pa.binary())], names)
                 number += n
         if len(df):
@@ -179,14 +189,17 @@ def _document_counts(made: DataFrame) -> np.ndarray:
     return out
 
 
-def signature(ids: np.ndarray, mean: float, rare: np.ndarray, terms: int = SIGNATURE) -> int:
-    """The terms of greatest weight, 20 bits each, greatest first. rare: idf of terms that other tails hold too, else 0."""
-    term, counts = np.unique(ids, return_counts=True)
-    w, out = saturated(counts, float(len(ids)), mean) * rare[term], 0
+def signatures(tails: list[np.ndarray], mean: float, rare: np.ndarray, terms: int = SIGNATURE) -> np.ndarray:
+    """Of each tail the terms of greatest weight, 20 bits each, greatest first. rare: idf of terms that other tails hold too, else 0."""
+    doc, term, counts = distinct(tails)
+    w, out = saturated(counts, np.array([len(t) for t in tails], float)[doc], mean) * rare[term], np.zeros(len(tails), np.int64)
+    first = np.searchsorted(doc, np.arange(len(tails)))  # no tail is empty
     for _ in range(terms):
-        k = int(w.argmax())
-        out = out << 20 | (int(term[k]) if w[k] > 0 else 0)
-        w[k] = 0
+        most = np.maximum.reduceat(w, first)
+        at = np.flatnonzero(w == most[doc])
+        at = at[np.searchsorted(at, first)]  # the least of equal ones
+        out = out << 20 | np.where(most > 0, term[at], 0)
+        w[at] = 0
     return out
 
 
@@ -217,7 +230,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, window:
         mean, shared = corpus.value[1], np.where(corpus.value[2] > 1, idf(corpus.value), 0)
         for b in batches:
             tails = [_tail(raw, w, window) for raw, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            sign, number = np.array([signature(t, mean, shared) for t in tails], np.int64), b.column(0).to_numpy()
+            sign = np.concatenate([signatures(tails[k : k + BLOCK], mean, shared) for k in range(0, max(1, len(tails)), BLOCK)])
+            number = b.column(0).to_numpy()
             low, high = np.searchsorted(bounds[:, 0], sign), np.searchsorted(bounds[:, 0], sign, "right")
             part = [a if a == z else a + int(np.searchsorted(bounds[a:z, 1], k, "right")) for a, z, k in zip(low.tolist(), high.tolist(), number.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(

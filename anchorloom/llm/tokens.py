@@ -13,6 +13,7 @@ import json
 import os
 import re
 from array import array
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -105,10 +106,14 @@ class Encoder:
     def _block(self, split: list[list[bytes]]) -> list[bytes]:
         if len(self.memory) > self.bound:
             self.older, self.memory = self.memory, {}
-        memory = self.memory
-        if missing := set().union(*split).difference(memory):
-            self._learn(missing)
-        return [b"".join(map(memory.__getitem__, ws)) for ws in split]
+        memory, ws = self.memory, list(chain.from_iterable(split))
+        ids = list(map(memory.get, ws))
+        if missing := [k for k, x in enumerate(ids) if x is None]:
+            self._learn({ws[k] for k in missing})
+            for k in missing:
+                ids[k] = memory[ws[k]]
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def each(self, ws: list[bytes]) -> list[bytes]:
         """The ids of each of these words, in this encoder's type."""

@@ -99,3 +99,21 @@ def test_packing_retrieves_across_shards(spark):
     for r in made[0]:
         windows[r[4]][r[0] % 6] += r[2]
     assert sum(max(w.values()) for w in windows.values()) >= 0.7 * sum(sum(w.values()) for w in windows.values())
+
+
+def test_terms_of_many_documents_come_from_one_sort():
+    from anchorloom.llm import packing
+
+    rnd = np.random.default_rng(5)
+    for high in (1, 7, 49_000, 1 << 31):
+        docs = [rnd.integers(0, high, n) for n in [0, 1, 3, 0, 40, 2000, 5, 0]]
+        doc, term, times = packing.distinct(docs)
+        want = [(d, *map(int, x)) for d, ids in enumerate(docs) for x in zip(*np.unique(ids, return_counts=True), strict=True)]
+        assert list(zip(doc.tolist(), term.tolist(), times.tolist(), strict=True)) == want
+    assert [x.tolist() for x in packing.distinct([])] == [x.tolist() for x in packing.distinct([np.zeros(0, np.int64)])] == [[], [], []]
+    rare, tails = rnd.choice([0, 0.5, 0.5, 2.0], 50), [rnd.integers(0, 50, n) for n in (1, 2, 3, 30, 300, 1, 60)]
+    for tail, name in zip(tails, packing.signatures(tails, 20.0, rare).tolist(), strict=True):
+        weight = {int(t): float(packing.saturated((tail == t).sum(), float(len(tail)), 20.0) * rare[t]) for t in tail}
+        best = [t if weight[t] > 0 else 0 for t in sorted(weight, key=lambda t: (-weight[t], t))]  # the least of equal ones
+        best = (best + [0] * 3)[:3]
+        assert name == best[0] << 40 | best[1] << 20 | best[2]
