@@ -87,7 +87,8 @@ def _ready(df: DataFrame, key: list[str]) -> tuple[DataFrame, list[str]]:
     columns = training.inputs(df, key)
     if not columns:
         raise ValueError("no numeric columns to learn from")
-    return df.select(*[c for c in key if c not in (CELL, "label")], CELL, "label", *[f"`{c}`" for c in columns if c not in key]).dropna("any", subset=[CELL, "label", *[c for c in columns if "." not in c]]), columns
+    ready = df.select(*[c for c in key if c not in (CELL, "label")], CELL, "label", *[f"`{c}`" for c in columns if c not in key]).dropna("any", subset=[CELL, "label", *[c for c in columns if "." not in c]])
+    return settled(ready), columns  # splits read it several times: df, with all that its columns are made of, is read once
 
 
 def _best(data: DataFrame, kind: str, columns: list[str], tuning: Tuning) -> dict:

@@ -119,3 +119,27 @@ def test_rows_that_go_for_nulls_are_reported(spark):
     clean, report = pairs.remove_overlapping_reported(df)
     assert sorted(r.x for r in clean.collect()) == sorted(r.x for r in pairs.remove_overlapping(df).collect()) == [10, 310]
     assert (report.first()["_rows"], report.first()["_dropped"], report.first()["v"]) == (4, 2, 2)
+
+
+def test_inputs_are_made_once(spark, table):
+    made = spark.sparkContext.accumulator(0)
+
+    def f(x):
+        made.add(1)
+        return x
+
+    slow = table.withColumn("f", F.udf(f, "long").asNondeterministic()("f"))
+    for run in (experiment.within_cells, experiment.across_cells, experiment.by_folds):
+        before = made.value
+        run(slow, "decision_tree", ["id"])
+        assert made.value - before == 360, run.__name__
+
+
+def test_marks_are_counted_over_runs(spark, tmp_path):
+    from anchorloom.plans import catalog
+
+    texts = ["", "*", "a*#b\n$%\r\n&|!", "\U0001f600*é**", "no marks\n", None]
+    spark.createDataFrame([(i, "en", 1, t) for i, t in enumerate(texts)], "doc_id long, lang string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.marks for r in catalog._model_input(spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else sum(c in "*#$%&|!" for c in t) for i, t in enumerate(texts)}
