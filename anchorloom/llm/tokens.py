@@ -143,11 +143,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, bound: int = MEMORY) -> Encoder:
     """This worker's encoder for the file: workers outlive tasks, and so do remembered words."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, bound) not in _encoders:
+        _encoders[path, bound] = Encoder(path, bound)
+    return _encoders[path, bound]

@@ -8,6 +8,9 @@ The tokenizer never joins words across white space, so a text's ids are its word
    numbers, and ids are put in place by position.
 4. Decoding looks pieces up by id in the vocabulary's table, which is as long as the vocabulary (a broadcast join).
 
+A batch ends at four million words or once its distinct words would take about 64 MB of a worker, whatever comes first. Words' ids and
+numbers stay flat arrays in workers, and the encoder remembers no words, as each comes to it once.
+
 Batches are made twice, for their words and for their numbers, rather than kept; a digest of the words is part of the key, and a
 batch whose words cannot be found fails the query. So docs must give the same rows in the same order each time, as files do.
 
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,16 +39,21 @@ from anchorloom.llm.tokens import encoder, tokenizer_path
 STRETCH, BATCH, BLOCK = 1 << 20, 4_000_000, 20_000
 #: Words that are broadcast at most, and their bytes at most: about 30 MB of a worker.
 HOT, LONG = 200_000, 64
+#: Bytes of distinct words after which a batch ends too (a word counts as OWN bytes more), and words whose ids are put in place at a time.
+HELD, OWN, CUT = 64 << 20, 100, 1 << 17
 SPACE = re.compile(rb"[ \t-\r]")
 BATCHES = "batch long, digest long, n_words long, words array<binary>, doc_id array<long>, many array<long>, low binary, high binary"
 WORDS, NUMBERS = ["batch", "digest", "words"], ["batch", "digest", "n_words", "doc_id", "many", "low", "high"]
 
 
 class Numbers(dict):
-    """Words' numbers in order of their first place."""
+    """Words' numbers in order of their first place; held: bytes that the words take, about."""
+
+    held = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        self.held += len(word) + OWN
         return n
 
 
@@ -64,10 +73,10 @@ def stretches(data: bytes, size: int = STRETCH) -> Iterator[bytes]:
         a = b
 
 
-def batches(docs: DataFrame, columns: list[str], limit: int = BATCH, hot: Broadcast | None = None) -> DataFrame:
+def batches(docs: DataFrame, columns: list[str], limit: int = BATCH, hot: Broadcast | None = None, held: int = HELD) -> DataFrame:
     """These columns of BATCHES: distinct words and the texts' words as numbers, their low 16 bits and the 8 above.
 
-    With hot, a broadcast of ids by word, those words have the first numbers in its order, and n_words counts the others."""
+    With hot, a broadcast of numbers by word, those words have these numbers, the first ones, and n_words counts the others."""
     common.ship(docs.sparkSession)
     common.small_batches(docs.sparkSession)
 
@@ -76,15 +85,21 @@ def batches(docs: DataFrame, columns: list[str], limit: int = BATCH, hot: Broadc
 
         if len(numbers) + HOT >= 1 << 24:
             raise ValueError("a batch of texts has too many distinct words")
-        whole, n = np.concatenate([np.empty(0, np.uint32), *at]), len(numbers)
+        n, place = len(numbers), np.arange(len(numbers), dtype=np.uint32)
         if hot is not None:
-            known = dict(zip(hot.value, range(len(hot.value)), strict=True))
+            known = hot.value
             place = np.fromiter((known.get(w, -1) for w in numbers), np.int64, n)
             n = int((place < 0).sum())
             place[place < 0] = np.arange(len(known), len(known) + n)
-            whole = place.astype(np.uint32)[whole]
+            place = place.astype(np.uint32)
+        low, high = [], []
+        if "low" in columns:
+            for part in at:
+                part = place[part]
+                low.append(part.astype("<u2").tobytes())
+                high.append((part >> 16).astype(np.uint8).tobytes())
         digest = xxhash.xxh3_64_intdigest(b"\n".join(numbers)) - (1 << 63)
-        row = {"batch": key, "digest": digest, "n_words": n, "words": list(numbers), "doc_id": docs_, "many": many, "low": whole.astype("<u2").tobytes(), "high": (whole >> 16).astype(np.uint8).tobytes()}
+        row = {"batch": key, "digest": digest, "n_words": n, "words": list(numbers) if "words" in columns else [], "doc_id": docs_, "many": many, "low": b"".join(low), "high": b"".join(high)}
         types = {"words": pa.list_(pa.binary()), "doc_id": pa.list_(pa.int64()), "many": pa.list_(pa.int64()), "low": pa.binary(), "high": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([row[c]], types.get(c, pa.int64())) for c in columns], columns)
 
@@ -99,11 +114,13 @@ def batches(docs: DataFrame, columns: list[str], limit: int = BATCH, hot: Broadc
                 for part in stretches(prepared(text)):
                     ws = part.split()
                     n += len(ws)
-                    at.append(np.fromiter(map(numbers.__getitem__, ws), np.uint32, len(ws)))
+                    part = np.fromiter(map(numbers.__getitem__, ws), np.uint32, len(ws))
+                    if "low" in columns:
+                        at.append(part)
                 docs_.append(doc)
                 many.append(n)
                 size += n
-                if size >= limit:
+                if size >= limit or numbers.held >= held:
                     yield made(key, numbers, at, docs_, many)
                     key, size = key + 1, 0
                     numbers, at, docs_, many = Numbers(), [], [], []
@@ -118,7 +135,7 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
     """(word, many, ids) of distinct words (word, many), ids as little-endian uint32."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, 0)
         for b in found:
             for at in range(0, b.num_rows, BLOCK):
                 block = b.slice(at, BLOCK)
@@ -139,18 +156,29 @@ def frequent(table: DataFrame, most: int) -> int:
     return math.ceil(2 ** (at / 8) - 1e-9)
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, limit: int = BATCH, most: int = HOT) -> DataFrame:
+def flat(ids: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of an array of ids as one array, and where those of each element begin, with the end; a null has none."""
+    if not len(ids):
+        return np.empty(0, "<u4"), np.zeros(1, np.int64)
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+    if (ends % 4).any():
+        raise ValueError("ids are not whole")
+    return np.frombuffer(ids.buffers()[2] or b"", "<u4")[ends[0] // 4 : ends[-1] // 4], (ends - ends[0]) // 4
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, limit: int = BATCH, most: int = HOT, held_bytes: int = HELD) -> DataFrame:
     """(doc_id, n_tokens, ids) of each row of docs (doc_id, text); ids as little-endian uint32.
 
-    limit: words of a batch; most: words that are broadcast. Results do not depend on them."""
+    limit: words of a batch; most: words that are broadcast; held_bytes: of a batch's distinct words. Results do not depend on them."""
     spark, path = docs.sparkSession, tokenizer or tokenizer_path()
-    held = common.written(batches(docs, WORDS, limit), "zstd")
+    held = common.written(batches(docs, WORDS, limit, held=held_bytes), "zstd")
     each = held.select("batch", F.posexplode("words").alias("k", "word"))
     table = common.written(word_table(each.groupBy("word").agg(F.count("*").alias("many")), path), "zstd")
     common.free_shuffles(spark)
     is_hot = (F.col("many") >= frequent(table, most)) & (F.octet_length("word") <= LONG)
     head = sorted((-r.many, bytes(r.word), bytes(r.ids)) for r in table.where(is_hot).toLocalIterator())  # at most `most`
-    hot = spark.sparkContext.broadcast({word: ids for _, word, ids in head})
+    hot = spark.sparkContext.broadcast({word: k for k, (_, word, _) in enumerate(head)})
+    hot_ids = spark.sparkContext.broadcast((b"".join(ids for *_, ids in head), np.array([len(ids) // 4 for *_, ids in head], np.int64)))
     rare = each.join(F.broadcast(table.where(is_hot).select("word")), "word", "left_anti")
     found = common.written(rare.join(table.where(~is_hot), "word").select("batch", "k", "ids"), "zstd")
     common.free_shuffles(spark)
@@ -158,19 +186,31 @@ def encode(docs: DataFrame, tokenizer: str | None = None, limit: int = BATCH, mo
     ids = common.written(held.select("batch", "digest").join(gathered, "batch"), "zstd")
     common.forget(held, table, found)
     common.free_shuffles(spark)
-    met = batches(docs, NUMBERS, limit, hot).join(ids, ["batch", "digest"], "left")
+    met = batches(docs, NUMBERS, limit, hot, held_bytes).join(ids, ["batch", "digest"], "left")
     whole = F.when(F.coalesce(F.size("ids"), F.lit(0)) == F.col("n_words"), F.col("ids")).when(F.col("n_words") > 0, F.raise_error(F.lit("docs gave other batches the second time"))).alias("ids")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_ids = list(hot.value.values())
+        hot_flat, hot_many = np.frombuffer(hot_ids.value[0], "<u4"), hot_ids.value[1]
         for b in found:
-            for docs_, many, low, high, words in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                at = np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 16
-                ends, of = np.cumsum([0, *many]).tolist(), [*first_ids, *(words or [])].__getitem__
-                for first in range(0, len(docs_), 256):
-                    cut = range(first, min(first + 256, len(docs_)))
-                    made = [b"".join(map(of, at[ends[k] : ends[k + 1]].tolist())) for k in cut]
-                    yield pa.RecordBatch.from_arrays([pa.array([docs_[k] for k in cut], pa.int64()), pa.array([len(x) // 4 for x in made], pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for k in range(b.num_rows):
+                docs_, many = b.column(0)[k].values, np.array(b.column(1)[k].as_py(), np.int64)
+                low, high = (np.frombuffer(b.column(c)[k].as_buffer() or b"", kind) for c, kind in ((2, "<u2"), (3, np.uint8)))
+                own, starts = flat(b.column(4)[k].values) if b.column(4)[k].is_valid else (hot_flat[:0], np.zeros(1, np.int64))
+                ids, n = np.concatenate([hot_flat, own]), np.concatenate([hot_many, np.diff(starts)])
+                starts, ends, first = np.cumsum(n) - n, np.concatenate([[0], np.cumsum(many)]), 0
+                while first < len(many):
+                    last = min(max(first + 1, int(np.searchsorted(ends, ends[first] + CUT, "right")) - 1), first + 256)
+                    made, lengths = [np.empty(0, "<u4")], [np.zeros(1, np.int64)]
+                    for a in range(ends[first], ends[last], CUT):
+                        cut = slice(a, min(a + CUT, ends[last]))
+                        at = low[cut] | high[cut].astype(np.uint32) << 16
+                        lengths.append(n[at])
+                        up_to = np.cumsum(lengths[-1])
+                        made.append(ids[np.repeat(starts[at] + lengths[-1] - up_to, lengths[-1]) + np.arange(up_to[-1])])
+                    to = np.cumsum(np.concatenate(lengths))[ends[first : last + 1] - ends[first]]
+                    binary = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.array(to * 4, pa.int32()).buffers()[1], pa.py_buffer(np.concatenate(made))])
+                    yield pa.RecordBatch.from_arrays([docs_[first:last], pa.array(np.diff(to), pa.int64()), binary], ["doc_id", "n_tokens", "ids"])
+                    first = last
 
     return met.select("doc_id", "many", "low", "high", whole).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -195,13 +235,16 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path)
-        whole = len(table) if None not in table else 0
+        known, texts = np.array([x is not None for x in table]), pa.array([x and x.decode() for x in table], pa.string())
         for b in found:
-            made = []
-            for raw in b.column(b.schema.get_field_index("ids")).to_pylist():
-                ids = np.frombuffer(raw or b"", "<u4")
-                at = ids.tolist() if not len(ids) or int(ids.max()) < whole else [i for i in ids.tolist() if i < len(table) and table[i] is not None]
-                made.append(None if raw is None else b" ".join(map(table.__getitem__, at)).decode())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names)
+            raw = b.column(b.schema.get_field_index("ids"))
+            ids, ends = flat(raw)
+            there = ids < len(table)
+            there[there] = known[ids[there]]
+            if not there.all():
+                ids, ends = ids[there], np.concatenate([[0], np.cumsum(there)])[ends]
+            made = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.take(pa.array(ids))), " ")
+            made = pc.if_else(raw.is_valid(), made, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names)
 
     return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*encoded.dtypes, ("decoded", "string")]))

@@ -80,3 +80,37 @@ def test_bound_on_broadcast_words(spark):
         at = word_table.frequent(table, most)
         assert sum(c >= at for c in counts) <= most
     assert word_table.frequent(table, len(counts)) == 1 and word_table.frequent(table, 20) == 3
+
+
+class Caught:
+    """Stands for a table: gives the function that a worker would run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_workers_keep_no_words_of_the_table(monkeypatch):
+    import pyarrow as pa
+    from anchorloom.llm import tokens, word_table
+
+    monkeypatch.setattr(tokens, "_encoders", {})
+    run = word_table.word_table(Caught(), tokens.tokenizer_path())
+    words = [b"word" + bytes([97 + k % 26, 97 + k // 26 % 26, 97 + k // 676]) + b"," * (k % 2) for k in range(10_000)]
+    blocks = [pa.RecordBatch.from_arrays([pa.array(words[a : a + 500], pa.binary()), pa.array([1] * 500, pa.int64())], ["word", "many"]) for a in range(0, 10_000, 500)]
+    assert sum(b.num_rows for b in run(iter(blocks))) == 10_000
+    (enc,) = tokens._encoders.values()
+    assert len(enc.memory) + len(enc.older) <= 2000
+
+
+def test_distinct_words_bound_a_batch(spark, tokenizer):
+    from anchorloom.llm import word_table
+
+    rows = [(k, " ".join(f"own{k}x{i}" for i in range(20)) + " the same") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    made = word_table.batches(docs, word_table.WORDS, held=10_000).collect()
+    assert len(made) > 10 and max(sum(len(w) + word_table.OWN for w in r.words) for r in made) < 10_000 + 22 * 120
+    got = word_table.decode(word_table.encode(docs, held_bytes=10_000)).collect()
+    assert Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in got) == expected(tokenizer, rows)
