@@ -155,15 +155,15 @@ def _encoded(docs: DataFrame, path: str, end: int, window: int) -> DataFrame:
         names = ["number", "doc_id", "ids", "width", "tokens", "df"]
         enc, number, df = encoder(path), TaskContext.get().partitionId() << 40, np.zeros(0, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                block = b.slice(at, BLOCK)
-                ids = enc.encode(block.column(1).to_pylist(), end)
-                n = len(ids)
-                if not len(df):
-                    df = np.zeros(len(enc.ends), np.int64)
-                df += np.bincount(distinct([x[len(x) // window * window :] for x in ids])[1], minlength=len(df))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + n)), block.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([np.dtype(enc.dtype).itemsize] * n, pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.nulls(n, pa.binary())], names)
-                number += n
+            ids = enc.encode(b.column(1), end)
+            n = len(ids)
+            if not len(df):
+                df = np.zeros(len(enc.ends), np.int64)
+            tails = [x[len(x) // window * window :] for x in ids]
+            for k in range(0, n, BLOCK):
+                df += np.bincount(distinct(tails[k : k + BLOCK])[1], minlength=len(df))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + n)), b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([np.dtype(enc.dtype).itemsize] * n, pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.nulls(n, pa.binary())], names)
+            number += n
         if len(df):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())), pa.array([df.astype("<i8").tobytes()], pa.binary())], names)
 

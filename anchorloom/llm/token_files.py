@@ -40,15 +40,12 @@ def write(docs: DataFrame, to: str, tokenizer: str | None = None, end: int = END
             if not b.num_rows:
                 continue
             files = files or {k: common.SharedFile(f"{to}/part-{part:06d}.{k}") for k in ("ids", "doc", "len")}
-            # Batches hold up to 2000 rows; blocks of fewer bound what is held of long texts.
-            for at in range(0, b.num_rows, 256):
-                block = b.slice(at, 256)
-                ids = enc.encode(block.column(1).to_pylist(), end)
-                lengths = np.array([len(x) for x in ids], "<u8")
-                files["ids"].write(b"".join(x.tobytes() for x in ids))
-                files["doc"].write(np.array([NO_ID if d is None else d for d in block.column(0).to_pylist()], "<i8").tobytes())
-                files["len"].write(lengths.tobytes())
-                n, total = n + len(ids), total + int(lengths.sum())
+            ids = enc.encode(b.column(1), end)
+            lengths = np.array([len(x) for x in ids], "<u8")
+            files["ids"].write(b"".join(x.tobytes() for x in ids))
+            files["doc"].write(np.array([NO_ID if d is None else d for d in b.column(0).to_pylist()], "<i8").tobytes())
+            files["len"].write(lengths.tobytes())
+            n, total = n + len(ids), total + int(lengths.sum())
         if files:
             for f in files.values():
                 f.done()

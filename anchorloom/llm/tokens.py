@@ -1,9 +1,10 @@
-"""Token ids of texts by a public tokenizer, one word at a time with a memory of words seen that is bounded.
+"""Token ids of texts by a public tokenizer: each distinct word of a block is encoded once, and words' parts are remembered up to a bound.
 
 The tokenizer drops white space and never joins words across it, so a text's ids are its words' ids in a row. It ignores
 case, takes a run of letters as one piece, and does not join letters with the punctuation that follows. So A-Z is lowered,
-and words of ASCII or Latin-1 letters are encoded many at a time by the tokenizer's own merges without its slower steps
-that find such pieces; all other words take the whole way (tests/llm holds all this against encoding whole texts).
+and words of ASCII or Latin-1 letters are parted from the punctuation at their end and encoded many at a time by the tokenizer's
+own merges without its slower steps that find such pieces; all other words take the whole way (tests/llm holds all this against
+encoding whole texts). Splitting, finding distinct words and putting ids in place are Arrow's work.
 """
 
 from __future__ import annotations
@@ -11,21 +12,19 @@ from __future__ import annotations
 import codecs
 import json
 import os
-import re
 from array import array
-from itertools import accumulate, chain
 
 import numpy as np
-
-from anchorloom.llm.common import words
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER, END = "word_bpe_49k.json", 1
-#: Punctuation that is in no contraction or special token.
-MARKS = b".,;:!?*$%&#"
-#: Words that the tokenizer takes as one piece: ASCII and Latin-1 letters.
-LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-#: Words remembered in each of two generations (about 170 bytes a word), and words encoded at a time.
-MEMORY, BLOCK = 300_000, 20_000
+#: Words that the tokenizer takes as one piece, ASCII and Latin-1 letters, and punctuation after them that is in no contraction or special token.
+LETTERS = "[a-zÀ-ÖØ-öø-ÿ]+"
+PARTS = f"^(?P<core>{LETTERS})(?P<marks>[.,;:!?*$%&#]*)$"
+#: Parts of words after which a generation of remembered ones ends (about 40 bytes each), or else their bytes. Distinct words
+#: are sought in BLOCK words at a time.
+MEMORY, HELD, BLOCK = 300_000, 64 << 20, 1 << 21
 #: Byte-level alphabets write bytes without a visible Latin-1 character as the characters from U+0100 on, in order.
 HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 ALPHABET = "".join(chr(b if b not in HIDDEN or b == 0x20 else 256 + HIDDEN.index(b)) for b in range(256))
@@ -37,8 +36,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _remembered(words: pa.StringArray, ids: pa.BinaryArray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([words, ids], ["word", "ids"])
+
+
+def _places(words: pa.StringArray, among: pa.StructArray) -> np.ndarray:
+    """Where each word is, -1 if nowhere."""
+    return pc.fill_null(pc.index_in(words, value_set=among.field("word")), -1).to_numpy().astype(np.int64)
+
+
 class Encoder:
-    """Ids as little-endian integers; `bound`: words remembered in each of two generations, of which the older one goes."""
+    """Ids as little-endian integers; `bound`: parts of words remembered in each of two generations, of which the older one goes."""
 
     def __init__(self, path: str, bound: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,95 +60,64 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         whole = json.loads(self.tokenizer.to_str())
         self.merges = Tokenizer.from_str(json.dumps(whole | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
-        self.tails: dict[bytes, bytes] = {}
-        self.memory: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        # Parts of words and their ids, as flat arrays: objects would take four times the memory.
+        self.memory = self.older = _remembered(pa.array([], pa.string()), pa.array([], pa.binary()))
         self.bound = bound
 
-    def _each(self, block: list[bytes]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in block], add_special_tokens=False)
-        return [array(self.code, x.ids).tobytes() for x in made]
+    def _each(self, block: pa.StringArray) -> pa.BinaryArray:
+        made = self.tokenizer.encode_batch_fast(block.to_numpy(zero_copy_only=False).tolist(), add_special_tokens=False)
+        return pa.array([array(self.code, x.ids).tobytes() for x in made], pa.binary())
 
-    def _letters(self, block: list[bytes]) -> list[bytes]:
+    def _letters(self, block: pa.StringArray) -> pa.BinaryArray:
         """Words of letters, encoded in one text: each ends at the token that ends a word."""
-        text = codecs.charmap_decode(b" ".join(block).decode().lower().encode(), "strict", ALPHABET)[0]
+        text = codecs.charmap_decode(" ".join(block.to_numpy(zero_copy_only=False)).lower().encode(), "strict", ALPHABET)[0]
         ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-        cut = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        cut = np.flatnonzero(self.ends[ids]) + 1
         if len(cut) != len(block):
             return self._each(block)
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
-
-    def _tail(self, marks: bytes) -> bytes:
-        if marks not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[marks] = self._each([marks])[0]
-        return self.tails[marks]
-
-    def _learn(self, missing: set[bytes]) -> None:
-        memory, older, cores, ended, other = self.memory, self.older, set(), [], []
-        for w in missing:
-            ids = older.get(w)
-            if ids is not None:
-                memory[w] = ids
-                continue
-            core = w.rstrip(MARKS)
-            if not LETTERS.fullmatch(core):
-                other.append(w)
-            else:
-                if core is not w:
-                    ended.append((w, core))
-                if core not in memory and core not in older:
-                    cores.add(core)
-        new: dict[bytes, bytes] = {}
-        letters = list(cores)
-        for a in range(0, len(letters), 200):
-            new.update(zip(letters[a : a + 200], self._letters(letters[a : a + 200]), strict=True))
-        for a in range(0, len(other), 2000):
-            memory.update(zip(other[a : a + 2000], self._each(other[a : a + 2000]), strict=True))
-        for w, core in ended:
-            memory[w] = (new.get(core) or memory.get(core) or older[core]) + self._tail(w[len(core) :])
-        memory.update((w, ids) for w, ids in new.items() if w in missing)
-
-    def _block(self, split: list[list[bytes]]) -> list[bytes]:
-        if len(self.memory) > self.bound:
-            self.older, self.memory = self.memory, {}
-        memory, ws = self.memory, list(chain.from_iterable(split))
-        ids = list(map(memory.get, ws))
-        if missing := [k for k, x in enumerate(ids) if x is None]:
-            self._learn({ws[k] for k in missing})
-            for k in missing:
-                ids[k] = memory[ws[k]]
-        ends = list(accumulate(map(len, split)))
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(block), [None, pa.py_buffer((np.append(0, cut) * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+
+    def _known(self, distinct: pa.StringArray) -> pa.BinaryArray:
+        """The ids of each of these, which are remembered."""
+        if len(self.memory) > self.bound or self.memory.nbytes > HELD:
+            self.older, self.memory = self.memory, self.memory[:0]
+        at = _places(distinct, self.memory)
+        missing = np.flatnonzero(at < 0)
+        words = distinct.take(pa.array(missing))
+        was, plain = _places(words, self.older), pc.match_substring_regex(words, f"^{LETTERS}$").to_numpy(zero_copy_only=False).astype(bool)
+        known, letters, other = was >= 0, (was < 0) & plain, (was < 0) & ~plain
+        more = [self.older.take(pa.array(was[known]))]
+        for new, size, encoded in ((letters, 200, self._letters), (other, 2000, self._each)):
+            ws = words.filter(pa.array(new))
+            more += [_remembered(w, encoded(w)) for w in (ws.slice(a, size) for a in range(0, len(ws), size))]
+        at[np.concatenate([missing[x] for x in (known, letters, other)])] = len(self.memory) + np.arange(len(missing))
+        self.memory = pa.concat_arrays([self.memory, *more])
+        return self.memory.field("ids").take(pa.array(at))
+
+    def _words(self, words: pa.StringArray) -> pa.BinaryArray:
+        """The ids of each word: those of its letters, then those of the punctuation at its end; other words are not parted."""
+        parts = pc.extract_regex(words, PARTS)
+        both = pa.concat_arrays([pc.coalesce(pc.struct_field(parts, "core"), words), pc.fill_null(pc.struct_field(parts, "marks"), "")]).dictionary_encode()
+        ids = self._known(both.dictionary).take(both.indices)
+        return pc.binary_join_element_wise(ids[: len(words)], ids[len(words) :], b"")
 
     def each(self, ws: list[bytes]) -> list[bytes]:
         """The ids of each of these words, in this encoder's type."""
-        return self._block([[w] for w in ws])
-
-    def encode(self, texts: list[str | None], end: int | None = END) -> list[np.ndarray]:
-        """Blocks of BLOCK words; a longer text is encoded piece by piece, so that no text outgrows the memory."""
-        tail = b"" if end is None else array(self.code, [end]).tobytes()
-        out, held, n = [], [], 0
-
-        def done() -> None:
-            nonlocal held, n
-            out.extend(np.frombuffer(raw + tail, self.dtype) for raw in self._block(held))
-            held, n = [], 0
-
-        for t in texts:
-            ws = words(t, lower="<|" not in (t or ""))  # special tokens know case
-            if len(ws) > BLOCK:
-                done()
-                out.append(np.frombuffer(b"".join(self._block([ws[k : k + BLOCK]])[0] for k in range(0, len(ws), BLOCK)) + tail, self.dtype))
-                continue
-            held.append(ws)
-            n += len(ws)
-            if n >= BLOCK:
-                done()
-        done()
-        return out
+        return self._words(pa.array(ws, pa.binary()).cast(pa.string())).to_numpy(zero_copy_only=False).tolist()
+
+    def encode(self, texts: pa.StringArray, end: int | None = END) -> list[np.ndarray]:
+        """The ids of each text, null or not. Distinct words are sought in BLOCK words at a time, so that no text outgrows the memory."""
+        texts = texts.fill_null("")
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special tokens know case
+        split = pc.ascii_split_whitespace(lowered)  # white space is that of bytes.split(); around it words may be empty, which have no ids
+        words, blocks = split.flatten(), []
+        for a in range(0, max(1, len(words)), BLOCK):
+            found = words.slice(a, BLOCK).dictionary_encode()
+            blocks.append(self._words(found.dictionary).take(found.indices))
+        joined = pc.binary_join(pa.ListArray.from_arrays(split.offsets, pa.concat_arrays(blocks)), b"")
+        if end is not None:
+            joined = pc.binary_join_element_wise(joined, array(self.code, [end]).tobytes(), b"")
+        return [np.frombuffer(x, self.dtype) for x in joined.to_numpy(zero_copy_only=False)]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}

@@ -117,3 +117,29 @@ def test_terms_of_many_documents_come_from_one_sort():
         best = [t if weight[t] > 0 else 0 for t in sorted(weight, key=lambda t: (-weight[t], t))]  # the least of equal ones
         best = (best + [0] * 3)[:3]
         assert name == best[0] << 40 | best[1] << 20 | best[2]
+
+
+def test_parts_of_words_are_encoded_once_and_memory_is_bounded(ids, monkeypatch):
+    import pyarrow as pa
+
+    from anchorloom.llm import tokens
+
+    encode = lambda e, texts: [x.astype("<u4").tobytes() for x in e.encode(pa.array(texts, pa.string()))]
+    e, seen = tokens.Encoder(tokens.tokenizer_path()), collections.Counter()
+    letters, each = e._letters, e._each
+    monkeypatch.setattr(e, "_letters", lambda block: (seen.update(block.to_pylist()), letters(block))[1])
+    monkeypatch.setattr(e, "_each", lambda block: (seen.update(block.to_pylist()), each(block))[1])
+    blocks = [["Zebrafinch, zebrafinch. ÀÉß!", None, " \t "], ["zebrafinch!? àéß; x-ray's"], ["", "ÀÉß ZEBRAFINCH; x-ray's \x1cq"], []]
+    for texts in blocks:
+        assert encode(e, texts) == [ids(t) for t in texts]
+    assert seen["zebrafinch"] == 1 and max(seen.values()) == 1  # whatever punctuation follows
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdé,.-!"), rng.integers(1, 9))) for _ in range(n)) for n in (0, 1, 40, 700, 3)] + ODD
+    want = [ids(t) for t in texts]
+    for bound, held, block in ((0, 1 << 20, 7), (5, 1 << 20, 50), (5, 100, 50), (10_000, 1 << 20, 1)):
+        monkeypatch.setattr(tokens, "HELD", held)
+        monkeypatch.setattr(tokens, "BLOCK", block)
+        e = tokens.Encoder(tokens.tokenizer_path(), bound)
+        assert encode(e, texts) == want and encode(e, texts[::-1]) == want[::-1]
+        assert max(len(e.memory), len(e.older)) <= bound + 2 * block + 1
+        assert [np.frombuffer(x, e.dtype).astype("<u4").tobytes() for x in e.each([b"abc", b"", b"d\xc3\xa9,", b"abc"])] == [ids(w)[:-4] for w in ("abc", "", "dé,", "abc")]
